@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing, secrets, urls
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op9_url_filters": urls.op9_url_filters,
 }
 
 SQL = {
