@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing, secrets, urls
+from . import bpe, media, mixing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_url_filters": urls.op9_url_filters,
+    "op10_bpe_codec": bpe.op10_bpe_codec,
 }
 
 SQL = {
