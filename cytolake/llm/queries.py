@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality, secrets, toxicity, urls
+from . import bpe, media, mixing, ngram_join, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
 }

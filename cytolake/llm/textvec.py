@@ -85,10 +85,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            short = U(b - a)
-            for k in range(b - a):
-                short = short + words[a + k] * q[k]
-            out.append(mix64(np.array([short], U)))
+            out.append(mix64(np.add.reduce(words[a:b] * np.array(q[: b - a], U), keepdims=True) + U(b - a)))
         else:
             out.append(np.zeros(0, U))
     return out
