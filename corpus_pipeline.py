@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cytolake.llm.bpe import encode_documents
 from cytolake.llm.common import materialize, read_table
 from cytolake.llm.mixing import mixed_documents
+from cytolake.llm.ngram_join import one_of_each
+from cytolake.llm.secrets import redact
+from cytolake.llm.toxicity import without_toxic
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    return without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking secrets are masked; every document stays."""
+    return redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +32,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed_documents(docs)
 
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of the decoded text."""
+    return encode_documents(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("secret scans", secrets_stage),
     ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", encoding_stage),
 ]
 
 #: Learned stages have no SQL form; tests hold run() against the stages done one by one.

@@ -446,14 +446,9 @@ def described(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, cls long, point binary, regular boolean")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
-
-    Texts without words (null, empty, white space) have no shingles and are their own component. Rows that repeat a
-    text are in one component, and so are rows that repeat an id only if their texts link. A null id counts as larger
-    than any other: a component of null ids only has a null component_id."""
+def joined_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n, root, component_id for every row of docs (doc_id, text); no words: root is null."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for seed in range(8):  # sets with too few cells for the bound are so rare that another seed settles it
         table = materialize(described(docs, seed), "join-docs")
         if table.where(~F.col("regular")).isEmpty():
@@ -478,8 +473,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links)
     release(spark)
     rooted = classes.select("cls", "class_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("cls", "component_id")
-    return table.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("cls", "root", "component_id")
+    return table.select("doc_id", "text_hash", "n", "cls").join(named, "cls", "left").select("doc_id", "text_hash", "n", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    Texts without words (null, empty, white space) have no shingles and are their own component. Rows that repeat a
+    text are in one component; rows that repeat an id are only if their texts link. A null id counts as larger than
+    any other: a component of null ids only has a null component_id. Empty tables give no rows."""
+    rows = joined_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one of each component: the smallest id, then the smallest text hash. Texts without words
+    are linked with nothing and stay."""
+    first = joined_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(F.col("root").isNotNull())
+    first = first.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("id_"), F.col("r.text_hash").alias("hash_"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(worded).withColumn("hash_", F.xxhash64("text"))
+    kept = keyed.join(first, (keyed["hash_"] == first["hash_"]) & keyed["doc_id"].cast("long").eqNullSafe(first["id_"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash_"]).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
