@@ -12,7 +12,6 @@ import heapq
 import json
 import unicodedata
 from collections import Counter
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -58,6 +57,9 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+_NO_MERGE = (1 << 30, 0)
+
+
 class Vocabulary:
     """What a tokenizer file of this kind (BPE with word ends, byte-level alphabet, no decoder) says."""
 
@@ -81,12 +83,19 @@ class Vocabulary:
         ids = [self.inner[b] for b in word[:-1]] + [self.outer[word[-1]]]
         if len(ids) > 48:
             return self._merged_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((m[0], i, m[1]) if (m := merges.get((ids[i], ids[i + 1]))) else (1 << 30, i, 0) for i in range(len(ids) - 1))
-            if best[0] == 1 << 30:
+        get, none = self.merges.get, _NO_MERGE
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none:
                 break
-            ids[best[1] : best[1] + 2] = [best[2]]
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -119,7 +128,10 @@ class Codec:
         later = self.v.pattern.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{_LATER})+").replace(r"[\p{L}]+", rf"(?:(?!{_LATER})\p{{L}})+").replace(r"[\p{N}]", rf"(?!{_LATER})\p{{N}}")
         self.later_words = regex.compile(later)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) or r"(?!)")
-        self.memory: dict[str, tuple[int, str, str, list[int]]] = {}
+        # pieces of late, and those before them: (number of ids, ids, tokens); likewise words
+        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The text's parts between white space; special tokens are pieces of their own."""
@@ -144,25 +156,39 @@ class Codec:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remember all pieces of these texts."""
-        memory = self.memory
-        if len(memory) > self.limit:
-            memory.clear()
-        fresh = {p for pieces in texts for p in pieces if p not in memory}
-        split = {p: self.words_of(p) for p in fresh if p not in self.v.special}
-        words = {w: w.encode("utf-8", "replace") for ws in split.values() for w in ws}
-        ids = {}
-        listed = list(words)
-        ranks = self.lexicon.ranks([words[w] for w in listed]).tolist() if self.lexicon else [-1] * len(listed)
-        for w, rank in zip(listed, ranks, strict=True):
-            ids[w] = self.lexicon.ids_of(rank) if rank >= 0 else self.v.merged(words[w])
+        if len(self.memory) > self.limit:
+            self.older, self.memory = self.memory, {}
+        if len(self.known) > self.limit:
+            self.known = {}
+        memory, older, known = self.memory, self.older, self.known
+        fresh = set().union(*texts).difference(memory)
+        split = {}
         for p in fresh:
-            own = [self.v.special[p]] if p in self.v.special else [i for w in split[p] for i in ids[w]]
-            memory[p] = (len(own), " ".join(map(str, own)), self.decode(own), own)
+            if (found := older.get(p)) is not None:
+                memory[p] = found
+            elif p in self.v.special:
+                memory[p] = self._entry([self.v.special[p]])
+            else:
+                split[p] = self.words_of(p)
+        words = list({w for ws in split.values() for w in ws}.difference(known))
+        raw = [w.encode("utf-8", "replace") for w in words]
+        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
+        for w, b, rank in zip(words, raw, ranks, strict=True):
+            known[w] = self._entry(self.lexicon.ids_of(rank) if rank >= 0 else self.v.merged(b))
+        for p, ws in split.items():
+            if len(ws) == 1:
+                memory[p] = known[ws[0]]
+            else:
+                parts = [known[w] for w in ws]
+                memory[p] = (sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         parts = [self.pieces(t) for t in texts]
         self.learn(parts)
-        return [list(chain.from_iterable(self.memory[p][3] for p in ps)) for ps in parts]
+        return [list(map(int, " ".join([self.memory[p][1] for p in ps]).split())) for ps in parts]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does where a file names no decoder; unknown ids are left out."""
