@@ -390,6 +390,18 @@ def linked_edges(pruned: DataFrame, sets: DataFrame, partitions: int) -> DataFra
     return joined.repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
 
 
+def verification_units(pruned: DataFrame) -> DataFrame:
+    """unit, cls: the classes that units connect, each in one unit; where such a component is too large for a task, its
+    classes stay in the units of before, which hold all of its pairs and are bounded."""
+    first = pruned.groupBy("unit").agg(F.min("cls").alias("b"))
+    roots = components(pruned.join(first, "unit").select(F.col("cls").alias("a"), "b"))
+    rooted = roots.select(F.col("node").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
+    large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK).select("root")
+    small = rooted.join(large, "root", "left_anti").select(F.col("root").alias("unit"), "cls")
+    rest = rooted.join(large, "root", "left_semi").select("cls")
+    return materialize(small.unionByName(pruned.join(rest, "cls", "left_semi").select("unit", "cls")), "join-verify")
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, shingles of the wanted classes (cls, text_hash), from one text of each."""
 
@@ -467,7 +479,8 @@ def joined_rows(docs: DataFrame) -> DataFrame:
     release(spark)
     grouped = materialize(units(emit_keys(docs, seed, common, buckets), max(partitions, buckets)), "join-units")
     release(spark)
-    pruned = materialize(pruned_units(grouped, classes, partitions), "join-pruned")
+    pruned = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"))
+    release(spark)
     wanted = classes.join(pruned.select("cls").distinct(), "cls", "left_semi").select("cls", "text_hash")
     links = linked_edges(pruned, class_sets(docs, wanted), partitions)
     roots = components(links)
