@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_factorials(n: np.ndarray) -> np.ndarray:
@@ -37,7 +38,7 @@ def midp_fisher(mc: int, mt: int, nc: int, nt: int) -> float:
     return float(min(1.0, 2 * min(p[x < mc].sum() + at, p[x > mc].sum() + at)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _midp(mc: pd.Series, mt: pd.Series, nc: pd.Series, nt: pd.Series) -> pd.Series:
     return pd.Series([midp_fisher(*map(int, r)) for r in zip(mc, mt, nc, nt, strict=True)], dtype="float64")
 
@@ -164,7 +165,7 @@ def rank_sum_p(n1: int, n2: int, w: float, z: float | None, ties: bool) -> float
     return math.nan if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_sum_pvalue(n1: pd.Series, n2: pd.Series, w: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([rank_sum_p(int(a), int(b), float(c), d, bool(e)) for a, b, c, d, e in zip(n1, n2, w, z, ties, strict=True)], dtype="float64")
 

@@ -1,0 +1,151 @@
+"""Readers and writers of the field's file formats, with explicit schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..schema import CELL_INFO
+
+
+def read_calls(spark: SparkSession, path: str, context: str | None = None, chromosomes: list[str] | None = None) -> DataFrame:
+    """Base-level calls kept as Parquet partitioned by context and chr: both filters prune partitions."""
+    df = spark.read.parquet(path)
+    df = df.where(F.col("context") == context) if context else df
+    return df.where(F.col("chr").isin(chromosomes)) if chromosomes else df
+
+
+def write_calls(calls: DataFrame, path: str) -> None:
+    """Partitioned by context and chr, sorted by cell and position, so that row-group statistics serve point ranges."""
+    calls.repartition("context", "chr", F.floor(F.col("pos") / 10_000_000)).sortWithinPartitions("cell_id", "pos").write.mode("overwrite").partitionBy("context", "chr").parquet(path)
+
+
+def read_h5_calls(spark: SparkSession, files: DataFrame, context: str = "CG") -> DataFrame:
+    """cell_id, chr, pos, c, t from HDF5 files (barcode, path, optional prefix), where h5py is installed."""
+    try:
+        import h5py  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 needs h5py on the driver and the executors") from e
+
+    def scan(batches):
+        import h5py
+        import pandas as pd
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                with h5py.File(r.path, "r") as f:
+                    d = pd.DataFrame.from_records(f[f"{context}/{r.barcode}/1"][:])
+                d["chr"] = d["chr"].str.decode("ascii") if d["chr"].dtype == object else d["chr"]
+                yield pd.DataFrame({"cell_id": r.cell_id, "chr": d["chr"], "pos": d["pos"].astype("int64"), "c": d["c"].astype("int64"), "t": d["t"].astype("int64")})
+
+    prefix = F.coalesce(F.col("prefix"), F.lit("")) if "prefix" in files.columns else F.lit("")
+    return files.select("barcode", "path", F.concat(prefix, "barcode").alias("cell_id")).mapInPandas(scan, "cell_id string, chr string, pos bigint, c bigint, t bigint")
+
+
+def plain_barcode(barcode: Column) -> Column:
+    """A barcode without what follows its first dot."""
+    return F.regexp_replace(barcode, r"\..*$", "")
+
+
+def read_cell_info(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless TSV of 6 or 10 columns, or of any number up to 10 of them in order."""
+    n = len(spark.read.csv(path, sep="\t").columns)
+    if n > len(CELL_INFO):
+        raise ValueError(f"{n} columns; at most {len(CELL_INFO)} are known")
+    return spark.read.csv(path, sep="\t", schema=", ".join(CELL_INFO[:n]))
+
+
+def read_annotation(spark: SparkSession, path: str, name: str = "annot") -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema=f"cell_id string, {name} string")
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """chr, start, end of a headerless BED file; more columns than three are an error. Duplicate rows count once."""
+    if len(spark.read.csv(path, sep="\t").columns) > 3:
+        raise ValueError("a BED file of exactly three columns is needed")
+    return spark.read.csv(path, sep="\t", schema="chr string, start bigint, end bigint").distinct()
+
+
+def read_windows_csv(spark: SparkSession, path: str) -> DataFrame:
+    """chr, start, end by the header's names."""
+    df = spark.read.csv(path, header=True)
+    missing = {"chr", "start", "end"} - set(df.columns)
+    if missing:
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    return df.select("chr", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+def gtf_attribute(attributes: Column, key: str) -> Column:
+    """The quoted value of a key of GTF attributes, or null."""
+    return F.nullif(F.regexp_extract(attributes, rf'(?:^|;\s*){key} "([^"]*)"', 1), F.lit(""))
+
+
+def read_gtf(spark: SparkSession, path: str, attributes: tuple[str, ...] = ("gene_name", "exon_number", "gene_type")) -> DataFrame:
+    """chr, source, type, start, end, strand, the attributes, location (chr_start_end), and ord, which follows the file."""
+    raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("#"))
+    parts = raw.withColumn("p", F.split("value", "\t"))
+    cols = [F.get("p", F.lit(i)) for i in range(9)]
+    base = parts.select(cols[0].alias("chr"), cols[1].alias("source"), cols[2].alias("type"), cols[3].cast("bigint").alias("start"), cols[4].cast("bigint").alias("end"), cols[6].alias("strand"), *[gtf_attribute(cols[8], a).alias(a) for a in attributes], "ord")
+    return base.withColumn("location", F.concat_ws("_", "chr", "start", "end"))
+
+
+def read_scale_matrix(spark: SparkSession, mtx: str, features: str, cells: str) -> DataFrame:
+    """feature, cell_id, value of one sample: MatrixMarket entries joined to their features' and passing cells' names.
+
+    Entries that the file leaves out are 0 within a sample; they stay left out here, see matrix.filled()."""
+    lines = spark.read.text(mtx).where(~F.col("value").startswith("%")).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    size = lines.withColumn("o", F.monotonically_increasing_id()).orderBy("o").limit(1).select("value").first()[0]
+    entries = lines.where(F.col("value") != size).select(F.col("p")[0].cast("bigint").alias("i"), F.col("p")[1].cast("bigint").alias("j"), F.col("p")[2].cast("double").alias("value"))
+    order = Window.orderBy("o")
+    names = spark.read.csv(features, sep="\t").select(F.col("_c0").alias("feature"), F.monotonically_increasing_id().alias("o")).withColumn("i", F.row_number().over(order)).drop("o")
+    barcodes = spark.read.csv(cells, header=True).withColumn("o", F.monotonically_increasing_id()).where(F.col("pass") == "pass").withColumn("j", F.row_number().over(order)).select("j", F.col("cell_id"))
+    return entries.join(names, "i").join(barcodes, "j").select("feature", "cell_id", "value")
+
+
+def scale_paths(spark: SparkSession, pattern: str) -> DataFrame:
+    """cell_id, path of the passing cells of all *.allCells.csv files of a directory."""
+    df = spark.read.csv(pattern, header=True).withColumn("dir_", F.regexp_replace(F.input_file_name(), r"/[^/]*$", ""))
+    return df.where(F.col("pass") == "pass").select("cell_id", F.concat("dir_", F.lit("/"), "tgmt_well", F.lit(".h5")).alias("path"))
+
+
+#: Marker genes of blood cells. Other lists are given as files, one gene a line.
+PBMC_MARKERS = ["Spi1", "Cd19", "Cd2", "Cd6", "Cd8a", "Cd4", "Csf1r", "S100a8", "Gata1", "Cd79a", "Cd3g", "Elane", "Mpo", "Itgam", "Retnlg", "Ly6g", "S100a8", "Mpeg1", "Fn1", "Irf8", "Lyz2", "Cd74", "Rora", "Gzmk", "Cd3e", "Cd3d", "Meis1", "Kir2dl4", "Klrb1"]
+
+
+def fetch_markers(spark: SparkSession, species: str, path: str | None = None) -> DataFrame:
+    """gene_name of the marker list: the blood list, or the file's; in capitals for human."""
+    genes = spark.read.text(path).select(F.trim("value").alias("gene_name")) if path else spark.createDataFrame([(g,) for g in PBMC_MARKERS], "gene_name string")
+    return genes.select(F.upper("gene_name").alias("gene_name")) if species == "human" else genes
+
+
+def write_text(df: DataFrame, path: str) -> None:
+    df.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def scan_motifs(fasta: DataFrame, kind: str = "CG") -> DataFrame:
+    """chr, pos, motif, strand of the CG (or CHN) sites of FASTA lines (ord, value), on both strands, across line breaks.
+
+    Lines get their offset in the sequence by cumulated lengths and borrow the bases that a motif needs from the lines
+    before; the sites of a line are then found without looking elsewhere."""
+    named = fasta.withColumn("head", F.col("value").startswith(">"))
+    order = Window.orderBy("ord")
+    named = named.withColumn("seq_", F.sum(F.col("head").cast("int")).over(order)).withColumn("chr_", F.when(F.col("head"), F.regexp_extract("value", r"^>(\S*)", 1)))
+    own = Window.partitionBy("seq_").orderBy("ord")
+    lines = named.withColumn("chr", F.first("chr_", True).over(Window.partitionBy("seq_"))).where(~F.col("head")).withColumn("s", F.upper("value")).where(F.length("s") > 0)
+    before = F.coalesce(F.sum(F.length("s")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = 2 if kind == "CG" else 3
+    tail = F.coalesce(F.concat_ws("", *[F.lag("s", i).over(own) for i in range(k - 1, 0, -1)]), F.lit(""))
+    tail = F.substring(F.concat(F.lit("N" * (k - 1)), tail), -(k - 1), k - 1)
+    grams = lines.withColumn("before", before).withColumn("t", F.concat(tail, "s")).select("chr", "before", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substr("t", i, F.lit(k)))).alias("i", "g"))
+    end = (F.col("before") + F.col("i") + 1).cast("bigint")
+    if kind == "CG":
+        hit = grams.where("g = 'CG'").select("chr", "g", F.explode(F.array(F.struct((end - 1).alias("pos"), F.lit("+").alias("strand")), F.struct(end.alias("pos"), F.lit("-").alias("strand")))).alias("x"))
+        return hit.select("chr", "x.pos", F.col("g").alias("motif"), "x.strand")
+    forward = grams.where(F.col("g").rlike("^C[^G]")).select("chr", (end - 2).alias("pos"), F.col("g").alias("motif"), F.lit("+").alias("strand"))
+    back = grams.where(F.col("g").rlike(".[^C]G$")).select("chr", end.alias("pos"), F.translate(F.reverse("g"), "ATGC", "TACG").alias("motif"), F.lit("-").alias("strand"))
+    return forward.unionByName(back)
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """ord, value of a FASTA file's lines; .gz is read as well."""
+    return spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
