@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_slices, materialize, read_table
@@ -29,8 +30,9 @@ WIDTH = 5
 #: Linked: 7 * overlap >= 3 * (sum of sizes), that is a Jaccard similarity of 0.75.
 OVERLAP, SIZES = 3, 7
 SMALL = 64  # below this size every shingle is a cell of its own
-GROUPS = 128  # coordinates of a point
-BLOCK = 2048  # classes of a unit's side
+GROUPS = 64  # coordinates of a point, at least; a point has a quarter to half as many as its set has shingles
+BLOCK = 1024  # classes of a unit's side
+UNIT_SHINGLES = 2_000_000  # of all sets of a unit that was put together from others
 LEAF = 32
 COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many are told to all tasks (2 MB), commonest first
 BUCKET_BYTES = 24 << 20
@@ -270,8 +272,26 @@ def surviving_pairs(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> U(17)).astype(np.int64) % GROUPS, minlength=GROUPS), 0xFFFFFFFF).astype("<u4")
+def groups_of(n: int) -> int:
+    """How many groups the shingles of a set of n are hashed into: a power of two."""
+    return max(GROUPS, 1 << (n // 4).bit_length())
+
+
+def point(s: np.ndarray) -> bytes:
+    """The group counts, in as few bytes as the largest needs."""
+    g = groups_of(len(s))
+    counts = np.bincount((s >> U(17)).astype(np.int64) & (g - 1), minlength=g)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def points_of(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points with as many groups as the smallest set has: groups that agree in the lower bits are added up."""
+    least = groups_of(int(sizes.min()))
+    out = np.zeros((len(packed), least), np.uint32)
+    for i, (raw, n) in enumerate(zip(packed, sizes.tolist(), strict=True)):
+        g = groups_of(n)
+        out[i] = np.frombuffer(raw, "<u1" if len(raw) == g else "<u4").reshape(-1, least).sum(0)
+    return out if out.max() >= 1 << 15 else out.astype(np.int16)
 
 
 def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -323,8 +343,7 @@ def pruned_units(unit_table: DataFrame, classes: DataFrame, partitions: int) ->
     def parts(batches):
         for t in _unit_batches(batches):
             cls, sizes = t.column("cls").to_numpy(), t.column("n").to_numpy()
-            p = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
-            i, j = surviving_pairs(p, sizes)
+            i, j = surviving_pairs(points_of(t.column("point").to_pylist(), sizes), sizes)
             label = connected(len(cls), i, j)
             order = np.argsort(label, kind="stable")
             start = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
@@ -372,51 +391,43 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_edges(pruned: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree."""
+def linked_edges(verify: DataFrame, classes: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
+    """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree.
+
+    One text of each class travels to its unit; its set is made there."""
 
     def edges(batches):
         for t in _unit_batches(batches):
-            cls = t.column("cls").to_numpy()
-            own = [np.frombuffer(s, "<u8") for s in t.column("shingles").to_pylist()]
-            sizes = np.array([len(s) for s in own])
+            own = shingle_sets([x.encode("utf-8", "replace") for x in t.column("text").to_pylist()], WIDTH)
+            cls, sizes = np.array([set_id(s) for s in own]), np.array([len(s) for s in own])
             i, j = np.nonzero(np.triu(SIZES * overlaps(own) >= OVERLAP * (sizes[:, None] + sizes[None]), 1))
             label = connected(len(cls), i, j)
             moved = np.flatnonzero(label != np.arange(len(cls)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], ["a", "b"])
 
-    joined = pruned.join(sets, "cls").select("unit", "cls", "shingles")
-    return joined.repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
+    wanted = verify.join(classes.select("cls", "row_key"), "cls").select("unit", "row_key")
+    text = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").groupBy("unit", "row_key").agg(F.first("text").alias("text"))
+    return text.select("unit", "text").repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
+
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
-def verification_units(pruned: DataFrame) -> DataFrame:
+
+def verification_units(pruned: DataFrame, classes: DataFrame) -> DataFrame:
     """unit, cls: the classes that units connect, each in one unit; where such a component is too large for a task, its
     classes stay in the units of before, which hold all of its pairs and are bounded."""
     first = pruned.groupBy("unit").agg(F.min("cls").alias("b"))
     roots = components(pruned.join(first, "unit").select(F.col("cls").alias("a"), "b"))
     rooted = roots.select(F.col("node").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
-    large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK).select("root")
+    sized = rooted.join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    large = sized.where((F.col("k") > 2 * BLOCK) | (F.col("n") > UNIT_SHINGLES)).select("root")
     small = rooted.join(large, "root", "left_anti").select(F.col("root").alias("unit"), "cls")
     rest = rooted.join(large, "root", "left_semi").select("cls")
     return materialize(small.unionByName(pruned.join(rest, "cls", "left_semi").select("unit", "cls")), "join-verify")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles of the wanted classes (cls, text_hash), from one text of each."""
-
-    def run(batches):
-        for b in batches:
-            for part in bounded_slices(b, "text", MAX_SLICE):
-                sets = shingle_sets([(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()], WIDTH)
-                kept = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in kept], pa.binary())], ["cls", "shingles"])
-
-    text = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
-    one_each = text.groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
-    return one_each.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of every node of edges (a, b): alternating large and small stars until nothing changes."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "join-edges")
@@ -438,24 +449,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def described(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, text_hash, n, cls, point, regular of every row."""
+    """doc_id, text_hash, row_key, n, cls, point, regular of every row."""
 
     def run(batches):
         for b in batches:
             for part in bounded_slices(b, "text", MAX_SLICE):
                 sets = shingle_sets([(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()], WIDTH)
                 cols = [
-                    part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([point(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([is_regular(s, seed) for s in sets], pa.bool_()),
+                    part.column("doc_id"), part.column("text_hash"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.array([is_regular(s, seed) for s in sets], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "cls", "point", "regular"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "row_key", "n", "cls", "point", "regular"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, cls long, point binary, regular boolean")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, text_hash long, row_key long, n long, cls long, point binary, regular boolean")
 
 
 def joined_rows(docs: DataFrame) -> DataFrame:
@@ -468,7 +481,7 @@ def joined_rows(docs: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("no seed spreads all sets over enough cells")
     classes = materialize(
-        table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("point").alias("point")),
+        table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"), F.max("n").alias("n"), F.first("point").alias("point")).withColumn("row_key", F.col("first.row_key")).drop("first"),
         "join-classes",
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -479,10 +492,9 @@ def joined_rows(docs: DataFrame) -> DataFrame:
     release(spark)
     grouped = materialize(units(emit_keys(docs, seed, common, buckets), max(partitions, buckets)), "join-units")
     release(spark)
-    pruned = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"))
+    verify = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"), classes)
     release(spark)
-    wanted = classes.join(pruned.select("cls").distinct(), "cls", "left_semi").select("cls", "text_hash")
-    links = linked_edges(pruned, class_sets(docs, wanted), partitions)
+    links = linked_edges(verify, classes, docs, partitions)
     roots = components(links)
     release(spark)
     rooted = classes.select("cls", "class_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
