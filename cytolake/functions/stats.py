@@ -106,7 +106,7 @@ def hommel(p: np.ndarray) -> np.ndarray:
 
 
 def _hommel(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         known = part[p].notna()

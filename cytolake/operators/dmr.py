@@ -78,11 +78,10 @@ def collapse_dmr(dmrs: DataFrame, max_dist: int = 0, min_length: int = 1000, mer
 def annotate(dmrs: DataFrame, genes: DataFrame) -> DataFrame:
     """dmrs with gene_names: the genes that they overlap, by start and name, each once; null where there is none."""
     first = genes.withColumn("n_", F.row_number().over(Window.partitionBy("gene_name").orderBy("ord"))).where("n_ = 1").select("chr", "start", "end", "gene_name")
-    placed = dmrs.withColumn("start", F.col("dmr_start")).withColumn("end", F.col("dmr_end"))
-    hits = overlap_join(placed, first, bin_width=10_000)
-    names = hits.groupBy(*dmrs.columns).agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("b_start", "b_gene_name"))), lambda g: g["b_gene_name"]), ", ").alias("gene_names"))
-    same = [dmrs[c].eqNullSafe(names[c]) for c in dmrs.columns]
-    return dmrs.join(names, same, "left").select(*[dmrs[c] for c in dmrs.columns], "gene_names")
+    keys = ["test", "chr", "dmr_start", "dmr_end"] + (["direction"] if "direction" in dmrs.columns else [])
+    placed = dmrs.select(*keys).withColumn("start", F.col("dmr_start")).withColumn("end", F.col("dmr_end"))
+    names = overlap_join(placed, first, bin_width=10_000).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("b_start", "b_gene_name"))), lambda g: g["b_gene_name"]), ", ").alias("gene_names"))
+    return dmrs.join(names, keys, "left").select(*dmrs.columns, "gene_names")
 
 
 def cluster_markers(matrix: DataFrame, groups: DataFrame, nmin: int = 10, method: str = "bonferroni", min_values: bool = False) -> DataFrame:

@@ -113,6 +113,13 @@ def r6(df, *cols):
     return df
 
 
+def r5(df, *cols):
+    """Rounded after a shift that keeps means of four decimals away from ties."""
+    for c in cols:
+        df = df.withColumn(c, F.round(F.col(c) + 1e-9, 5))
+    return df
+
+
 # --- windows
 
 for _metric, _value in (("percent", "r * 100"), ("score", "round(CASE WHEN r > g THEN (r - g) / nullif(1 - g, 0) ELSE (r - g) / nullif(g, 0) END, 3)"), ("ratio", "round(r / nullif(g, 0), 3)")):
@@ -221,15 +228,15 @@ query("dmr_filter", sql('SELECT chr, "start", "end", test, mc, mt, nc, nt, "logF
 _ISLES = """pad AS (SELECT *, "start" - 500 AS s, "end" + 500 AS e FROM dmr),
 m AS (SELECT *, max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM pad),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m),
-col AS (SELECT {k}, min(s) + 500 AS dmr_start, max(e) - 500 AS dmr_end, max(e) - min(s) - 1000 AS dmr_length, round(avg(padj), 6) AS dmr_padj, round(avg({v}), 6) AS "dmr_logFC" FROM i GROUP BY {k}, g HAVING max(e) - min(s) - 1000 >= 500)"""
+col AS (SELECT {k}, min(s) + 500 AS dmr_start, max(e) - 500 AS dmr_end, max(e) - min(s) - 1000 AS dmr_length, round(avg(padj) + 1e-9, 5) AS dmr_padj, round(avg({v}) + 1e-9, 5) AS "dmr_logFC" FROM i GROUP BY {k}, g HAVING max(e) - min(s) - 1000 >= 500)"""
 query("dmr_collapse", sql("", *_D).rstrip() + ",\n" + _ISLES.format(k="test, chr, direction", v='"logFC"') + "\nSELECT * FROM col")(
-    lambda s, d: r6(dmr.collapse_dmr(dmrs(s, d), 500, 500), "dmr_padj", "dmr_logFC"))
+    lambda s, d: r5(dmr.collapse_dmr(dmrs(s, d), 500, 500), "dmr_padj", "dmr_logFC"))
 query("dmr_collapse_merged", sql("", *_D).rstrip() + ",\n" + _ISLES.format(k="test, chr", v='abs("logFC")') + "\nSELECT * FROM col")(
-    lambda s, d: r6(dmr.collapse_dmr(dmrs(s, d), 500, 500, True), "dmr_padj", "dmr_logFC"))
+    lambda s, d: r5(dmr.collapse_dmr(dmrs(s, d), 500, 500, True), "dmr_padj", "dmr_logFC"))
 query("dmr_annotate", sql("", "genes", *_D).rstrip() + ",\n" + _ISLES.format(k="test, chr, direction", v='"logFC"') + """,
 f AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY ord) = 1)
 SELECT col.*, (SELECT string_agg(gene_name, ', ' ORDER BY "start", gene_name) FROM f WHERE f.chr = col.chr AND f."start" <= dmr_end AND f."end" >= dmr_start) AS gene_names FROM col""")(
-    lambda s, d: r6(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d)), "dmr_padj", "dmr_logFC"))
+    lambda s, d: r5(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d)), "dmr_padj", "dmr_logFC"))
 query("dmr_gene_list")(lambda s, d: dmr.gene_list(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d))))
 
 _RS = """v AS (SELECT feature, grp, value FROM mat JOIN cells USING (cell_id)),
@@ -266,8 +273,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY test, direction ORDER BY padj, c
 SELECT *, rank_p + rank_fc AS total_rank FROM k QUALIFY rank() OVER (PARTITION BY test, direction ORDER BY rank_p + rank_fc) <= 5""")(
     lambda s, d: dmr.dual_rank_top(r6(dmrs(s, d), "padj").select("chr", "start", "end", "test", "direction", "padj", "logFC"), 5))
 query("overlap_class_share", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
-h AS (SELECT DISTINCT g.chr, g."start", g."end", strand, EXISTS (SELECT 1 FROM bed b WHERE b.chr = g.chr AND b."start" <= g."end" AND b."end" >= g."start") AS overlaps FROM genes g)
-SELECT strand, overlaps, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY strand)::DOUBLE, 6) AS share FROM h GROUP BY strand, overlaps""")(
+h AS (SELECT DISTINCT g.chr, g."start", g."end", strand, EXISTS (SELECT 1 FROM bed b WHERE b.chr = g.chr AND b."start" <= g."end" AND b."end" >= g."start") AS has_overlap FROM genes g)
+SELECT strand, has_overlap AS "overlaps", count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY strand)::DOUBLE, 6) AS share FROM h GROUP BY strand, has_overlap""")(
     lambda s, d: r6(dmr.overlap_shares(genes(s, d), bed(s, d), "strand"), "share"))
 query("region_venn", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
 a AS (SELECT chr, "start", "end", 'genes' AS name FROM genes UNION ALL SELECT chr, "start", "end", 'bed' FROM bed),
