@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ MAX_SLICE = 8 << 20
 #: Words compiled into the lexicon, at most; all others are merged.
 LEXICON_WORDS = 65_536
 #: Pieces that a worker remembers, and distinct pieces that a task counts before it passes them on.
-MEMORY, COUNTED = 300_000, 200_000
+MEMORY, COUNTED = 150_000, 200_000
 #: White space in Unicode, without the four separators U+001C to U+001F that Python adds to it.
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -57,7 +58,8 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-_NO_MERGE = (1 << 30, 0)
+NO_RANK = 1 << 30
+_NO_MERGE = (NO_RANK, 0)
 
 
 class Vocabulary:
@@ -76,6 +78,13 @@ class Vocabulary:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.outer = [vocab[s + self.suffix] for s in symbols]
+        pairs_ = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs_, kind="stable")
+        self.pair_keys, self.pair_ranks = pairs_[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.merged_ids = np.zeros(len(pairs), np.int32)
+        for rank, new in self.merges.values():
+            self.merged_ids[rank] = new
+        self.inner_ids, self.outer_ids = np.array(self.inner, np.int32), np.array(self.outer, np.int32)
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
 
     def merged(self, word: bytes) -> list[int]:
@@ -98,6 +107,57 @@ class Vocabulary:
                 ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merged_many(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of many words: words of like length are merged together, one pair of each at a step."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, 28)):
+            own = np.flatnonzero((lengths > low) & (lengths <= high))
+            for at in range(0, len(own), 1 << 15):
+                rows = own[at : at + (1 << 15)]
+                for row, ids in zip(rows.tolist(), self._merged_block([words[r] for r in rows.tolist()], lengths[rows]), strict=True):
+                    out[row] = ids
+        for row in np.flatnonzero(lengths > 28).tolist():
+            out[row] = self.merged(words[row])
+        return out
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NO_RANK for pairs that do not merge."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NO_RANK)
+
+    def _merged_block(self, words: list[bytes], lengths: np.ndarray) -> list[list[int]]:
+        width = int(lengths.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        ids = self.inner_ids[raw]
+        place = np.arange(width)
+        ids[place >= lengths[:, None]] = -1
+        rows = np.arange(len(words))
+        ids[rows, lengths - 1] = self.outer_ids[raw[rows, lengths - 1]]
+        after = np.concatenate((ids[:, 1:], np.full((len(ids), 1), -1, ids.dtype)), 1)
+        ranks = self._rank(ids, after)
+        out = ids.copy()
+        while len(rows):
+            best = ranks.argmin(1)
+            rank = ranks[np.arange(len(rows)), best]
+            going = rank < NO_RANK
+            out[rows[~going], : ids.shape[1]] = ids[~going]
+            out[rows[~going], ids.shape[1] :] = -1
+            rows, ids, ranks, best, rank = rows[going], ids[going], ranks[going], best[going], rank[going]
+            if not len(rows):
+                break
+            here = np.arange(len(rows))
+            ids[here, best] = self.merged_ids[rank]
+            source = place[: ids.shape[1] - 1] + (place[: ids.shape[1] - 1] > best[:, None])
+            ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
+            best = np.minimum(best, ids.shape[1] - 1)
+            right = np.where(best + 1 < ids.shape[1], ids[here, np.minimum(best + 1, ids.shape[1] - 1)], -1)
+            ranks[here, best] = self._rank(ids[here, best], right)
+            left = np.maximum(best - 1, 0)
+            ranks[here, left] = np.where(best > 0, self._rank(ids[here, left], ids[here, best]), ranks[here, left])
+        return [r[r >= 0].tolist() for r in out]
+
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list, for words of any length."""
         n = len(ids)
@@ -149,6 +209,10 @@ class Codec:
 
     def words_of(self, piece: str) -> list[str]:
         """The words of a piece after normalising: composed, lower case character by character, split by the pattern."""
+        last = piece[-1]
+        body = piece[:-1] if last in ".,;:!?" else piece
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250") and (low := body.lower()).isalpha():
+            return [low] if body is piece else [low, last]
         if piece.isascii():
             return self.words.findall(piece.lower())
         piece = unicodedata.normalize("NFC", piece).translate(_LOWER).lower()
@@ -173,8 +237,12 @@ class Codec:
         words = list({w for ws in split.values() for w in ws}.difference(known))
         raw = [w.encode("utf-8", "replace") for w in words]
         ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
-        for w, b, rank in zip(words, raw, ranks, strict=True):
-            known[w] = self._entry(self.lexicon.ids_of(rank) if rank >= 0 else self.v.merged(b))
+        unseen = [i for i, rank in enumerate(ranks) if rank < 0]
+        for i, ids in zip(unseen, self.v.merged_many([raw[i] for i in unseen]), strict=True):
+            known[words[i]] = self._entry(ids)
+        for w, rank in zip(words, ranks, strict=True):
+            if rank >= 0:
+                known[w] = self._entry(self.lexicon.ids_of(rank))
         for p, ws in split.items():
             if len(ws) == 1:
                 memory[p] = known[ws[0]]
@@ -248,8 +316,8 @@ class Shared:
         vocabulary = Vocabulary(path or default_path())
         context = docs.sparkSession.sparkContext
         self.vocabulary = context.broadcast(vocabulary)
-        lexicon = {b: tuple(vocabulary.merged(b)) for w in frequent_words(docs, self.vocabulary, words) if (b := w.encode("utf-8", "replace"))}
-        self.lexicon = context.broadcast(compile_words(lexicon))
+        listed = [w.encode("utf-8", "replace") for w in frequent_words(docs, self.vocabulary, words) if w]
+        self.lexicon = context.broadcast(compile_words(dict(zip(listed, map(tuple, vocabulary.merged_many(listed)), strict=True))))
 
     def codec(self) -> Codec:
         return Codec(self.vocabulary.value, Lexicon.mapped(self.lexicon.value))

@@ -45,6 +45,13 @@ def test_random_texts(codec, library, text):
     same(codec, library, [text])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeilnorstuy'!,é", min_size=1, max_size=40), max_size=30))
+def test_words_merged_together_are_merged_as_one_by_one(codec, words):
+    raw = [w.encode() for w in words]
+    assert codec.v.merged_many(raw) == [codec.v.merged(w) for w in raw]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.binary(min_size=1, max_size=6), st.lists(st.integers(0, 9), max_size=3).map(tuple), max_size=40), st.lists(st.binary(max_size=6), max_size=10))
 def test_lexicon_holds_its_words_and_no_others(entries, others):
