@@ -107,15 +107,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each as often as it is taken, in the columns of docs."""
+    """The documents of the mix: each as often as it is taken, in the columns of docs. Texts without words have no size, so
+    the mix takes none of them."""
     decided = docs.withColumn("mix_size_", word_count(F.col("text"))).withColumn("mix_u_", document_hash(F.col("doc_id")))
     small = decided.select(F.col("doc_id"), F.col("source").alias("src"), F.col("mix_size_").alias("size"), F.col("mix_u_").alias("u"))
     items = materialize(small, "mix-sizes")
     targets = materialize(source_targets(items.groupBy("src").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    cut = thresholds(items, targets).select("src", "copies", "edge")
-    repeats = (F.col("copies") + F.when(F.col("mix_u_") < F.col("edge"), 1).otherwise(0)).cast("int")
+    cut = thresholds(items, targets).select(F.col("src").alias("mix_src_"), F.col("copies").alias("mix_copies_"), F.col("edge").alias("mix_edge_"))
+    repeats = (F.col("mix_copies_") + F.when(F.col("mix_u_") < F.col("mix_edge_"), 1).otherwise(0)).cast("int")
     return (
-        decided.join(cut, decided["source"].eqNullSafe(cut["src"]))
+        decided.join(cut, F.col("source").eqNullSafe(F.col("mix_src_")))
         .where((F.col("mix_size_") > 0) & (repeats > 0))
         .withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), repeats)))
         .select(*docs.columns)

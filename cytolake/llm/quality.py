@@ -60,9 +60,9 @@ def indicators(texts: list[str]) -> np.ndarray:
         mark(outline, outline_row, n, 10 + n)
     words, first = word_hashes(raw, fold_case=False)
     for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        n = b - a
-        pairs = float((words[a + 1 : b] == words[a : b - 1]).sum()) / max(1, n)
-        unlike = len(np.unique(words[a:b])) / max(1, n)
+        own, n = words[a:b], b - a
+        pairs = float((own[1:] == own[:-1]).sum()) / max(1, n)
+        unlike = len(np.unique(own)) / max(1, n)
         lines = raw[i].split(b"\n")
         same = 1 - len(set(lines)) / len(lines)
         upper = sum(map(raw[i].count, (b"!!", b"|", b"***"))) / max(1, n)
