@@ -36,6 +36,7 @@ UNIT_SHINGLES = 2_000_000  # of all sets of a unit that was put together from ot
 LEAF = 32
 COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many are told to all tasks (2 MB), commonest first
 BUCKET_BYTES = 24 << 20
+KEY_BITS, MAX_BUCKETS = 42, 1 << 21  # of 64 bits, the rest number the buckets
 MAX_SLICE, FLUSH_KEYS = 8 << 20, 2_000_000
 
 
@@ -100,15 +101,15 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def short_key(key: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits of a key that travel: 48 within its bucket."""
-    return (bucket_of(key, buckets) << U(48)) | (mix64(key) >> U(16))
+    """The bits of a key that travel: KEY_BITS within its bucket."""
+    return (bucket_of(key, buckets) << U(KEY_BITS)) | (mix64(key) >> U(64 - KEY_BITS))
 
 
 # --- map and reduce sides of the exchange of keys, packed by bucket
 
 
 def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets: int) -> DataFrame:
-    """bucket, low, high (48-bit keys in two arrays), cls, counts: keys of all classes, many to a row."""
+    """bucket, low, high (keys in two arrays), cls, counts: keys of all classes, many to a row."""
     table = sorted(common)
     shared = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in table], U), np.array([n for _, n in table], np.int64)))
 
@@ -124,16 +125,16 @@ def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets
                 return
             key = short_key(np.concatenate(found), buckets)
             cls = np.repeat(np.array(ids, np.int64), [len(k) for k in found])
-            order = np.argsort(key >> U(48), kind="stable")
+            order = np.argsort(key >> U(KEY_BITS), kind="stable")
             key, cls = key[order], cls[order]
-            bucket = (key >> U(48)).astype(np.int64)
+            bucket = (key >> U(KEY_BITS)).astype(np.int64)
             start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             rows = []
             for a, b in zip(start, [*start[1:], len(key)], strict=True):
                 own = cls[a:b]
                 edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 count = np.diff(np.append(edge, b - a))
-                rows.append((int(bucket[a]), (key[a:b] & U(0xFFFFFFFF)).astype("<u4").tobytes(), (key[a:b] >> U(32) & U(0xFFFF)).astype("<u2").tobytes(), own[edge].astype("<i8").tobytes(), count.astype("<u4").tobytes()))
+                rows.append((int(bucket[a]), (key[a:b] & U(0xFFFFFFFF)).astype("<u4").tobytes(), (key[a:b] >> U(32) & U((1 << KEY_BITS - 32) - 1)).astype("<u2").tobytes(), own[edge].astype("<i8").tobytes(), count.astype("<u4").tobytes()))
             names = ["bucket", "low", "high", "cls", "counts"]
             types = [pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -155,7 +156,7 @@ def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets
     return docs.select("text").mapInArrow(run, "bucket int, low binary, high binary, cls binary, counts binary")
 
 
-def by_bucket(packed: DataFrame, partitions: int, reduce, schema: str) -> DataFrame:
+def by_bucket(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
     """reduce(keys, classes, starts) of every bucket: its distinct (key, class) pairs by key, and where each key starts."""
 
     def one(rows):
@@ -180,19 +181,19 @@ def by_bucket(packed: DataFrame, partitions: int, reduce, schema: str) -> DataFr
         if rows:
             yield from reduce(at, *one(rows))
 
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def common_keys(packed: DataFrame, partitions: int) -> list[tuple[int, int]]:
+def common_keys(packed: DataFrame, buckets: int) -> list[tuple[int, int]]:
     """The commonest keys and their numbers of classes; decides the order of cells only, so that a bound loses nothing."""
 
     def reduce(bucket, key, cls, start):
         n = np.diff(np.append(start, len(key)))
         many = n >= COMMON
-        tag = (U(bucket) << U(48)) | key[start[many]]
+        tag = (U(bucket) << U(KEY_BITS)) | key[start[many]]
         yield pa.RecordBatch.from_arrays([pa.array(tag.astype(np.int64)), pa.array(n[many])], ["tag", "n"])
 
-    rows = by_bucket(packed, partitions, reduce, "tag long, n long").orderBy(F.desc("n"), "tag").limit(MAX_COMMON).collect()
+    rows = by_bucket(packed, buckets, reduce, "tag long, n long").orderBy(F.desc("n"), "tag").limit(MAX_COMMON).collect()
     return [(r.tag & 0xFFFFFFFFFFFFFFFF, r.n) for r in rows]
 
 
@@ -205,7 +206,7 @@ def unit_rows(members: np.ndarray):
         yield set_id(np.sort(own.astype(U))), own
 
 
-def units(packed: DataFrame, partitions: int) -> DataFrame:
+def units(packed: DataFrame, buckets: int) -> DataFrame:
     """unit, cls: the groups of at least two classes; groups with the same classes are one."""
 
     def reduce(bucket, key, cls, start):
@@ -223,7 +224,7 @@ def units(packed: DataFrame, partitions: int) -> DataFrame:
             for i in range(0, len(unit), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(unit[i : i + (1 << 18)]), pa.array(member[i : i + (1 << 18)])], ["unit", "cls"])
 
-    return by_bucket(packed, partitions, reduce, "unit long, cls long").distinct()
+    return by_bucket(packed, buckets, reduce, "unit long, cls long").distinct()
 
 
 # --- the R-tree
@@ -487,10 +488,10 @@ def joined_rows(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions, math.ceil(shingles * 5 / BUCKET_BYTES))
-    buckets = min(buckets, 1 << 15)
-    common = common_keys(emit_keys(docs, seed, [], buckets), max(partitions, buckets))
+    buckets = min(buckets, MAX_BUCKETS)
+    common = common_keys(emit_keys(docs, seed, [], buckets), buckets)
     release(spark)
-    grouped = materialize(units(emit_keys(docs, seed, common, buckets), max(partitions, buckets)), "join-units")
+    grouped = materialize(units(emit_keys(docs, seed, common, buckets), buckets), "join-units")
     release(spark)
     verify = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"), classes)
     release(spark)
