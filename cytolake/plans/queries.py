@@ -148,11 +148,11 @@ query("smoothed_region_subset", sql("""SELECT * FROM sm WHERE chr = 'chr2' AND "
 query("load_smoothed", sql("""SELECT grp, chr, "start" + 500 AS "start", "end" - 500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, round(100::DOUBLE * sum(c) / sum(c + t)::DOUBLE, 2) AS pct
 FROM agg JOIN cells USING (cell_id) WHERE grp IN (SELECT grp FROM cells GROUP BY grp HAVING count(DISTINCT cell_id) > 1) GROUP BY grp, chr, "start", "end" HAVING sum(c_nz + t_nz) >= 10""", "calls", "cells", "agg"))(
     lambda s, d: windows.load_smoothed_windows(agg(s, d), cells(s, d)))
-query("facet_disjoint", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT *, (floor((pos - 500) / 1500.0) * 1500 + 500)::BIGINT AS s FROM calls) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
+query("uniform_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT *, (floor((pos - 500) / 1500.0) * 1500 + 500)::BIGINT AS s FROM calls) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
     lambda s, d: windows.aggregate_windows(windows.step_windows(calls(s, d), 1500, 500)))
-query("facet_stepped", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT calls.*, pos // 500 * 500 - o * 500 AS s FROM calls CROSS JOIN (VALUES (0), (1), (2)) v(o)) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
+query("stepped_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT calls.*, pos // 500 * 500 - o * 500 AS s FROM calls CROSS JOIN (VALUES (0), (1), (2)) v(o)) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
     lambda s, d: cli.aggregate(calls(s, d), cli.parse_uniform("1500:500")).drop("name"))
-query("facet_custom_windows", sql('SELECT cell_id, b.chr, b."start", b."end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM calls JOIN bed b ON calls.chr = b.chr AND pos >= b."start" AND pos < b."end" GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls", "bed"))(
+query("custom_windows", sql('SELECT cell_id, b.chr, b."start", b."end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM calls JOIN bed b ON calls.chr = b.chr AND pos >= b."start" AND pos < b."end" GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls", "bed"))(
     lambda s, d: windows.aggregate_windows(windows.custom_windows(calls(s, d), bed(s, d))))
 query("context_whitelist", sql("SELECT cell_id, count(*) AS n FROM calls WHERE cell_id IN (SELECT cell_id FROM cells WHERE batch = 0) GROUP BY cell_id", "calls", "cells"))(
     lambda s, d: windows.only(calls(s, d), cells(s, d).where("batch = 0"), "cell_id").groupBy("cell_id").agg(F.count("*").alias("n")))
