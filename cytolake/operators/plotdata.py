@@ -37,10 +37,10 @@ def blended(matrix: DataFrame, genes: list[str], layout: DataFrame) -> DataFrame
     if len(genes) not in (2, 3):
         raise ValueError("blending takes 2 or 3 genes")
     chosen = matrix.where(F.col("feature").isin(genes))
-    top = chosen.agg(F.max("value").alias("top_"))
+    top = chosen.agg(F.max("value")).first()[0]
     by_cell = chosen.groupBy("cell_id").pivot("feature", genes).agg(F.first("value")).dropna()
-    hexed = [F.format_string("%02X", F.round(F.try_divide(F.col(f"`{g}`"), F.col("top_")) * 255).cast("int")) for g in genes] + [F.lit("00")] * (3 - len(genes))
-    return by_cell.join(F.broadcast(top)).withColumn("mix", F.concat(F.lit("#"), *hexed)).join(layout, "cell_id").select("cell_id", "dim_x", "dim_y", "mix")
+    hexed = [F.format_string("%02X", F.round(F.try_divide(F.col(f"`{g}`"), F.lit(top)) * 255).cast("int")) for g in genes] + [F.lit("00")] * (3 - len(genes))
+    return by_cell.withColumn("mix", F.concat(F.lit("#"), *hexed)).join(layout, "cell_id").select("cell_id", "dim_x", "dim_y", "mix")
 
 
 def violin_values(matrix: DataFrame, genes: list[str], cells: DataFrame, group: str) -> DataFrame:

@@ -1,0 +1,211 @@
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cytolake import cli, workspace
+from cytolake.operators import cluster, dmr, doublets, matrix, metacells, plotdata, reduce, windows
+from cytolake.sources import genomes, readers
+from cytolake.streaming import ingest
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"chr1_{f * 1000}_{f * 1000 + 1000}", f"c{c}", float((c % 3) * 20 + rng.normal(0, 1))) for f in range(12) for c in range(18) if (f + c) % 5]
+    m = spark.createDataFrame(rows, "feature string, cell_id string, value double")
+    cells = spark.createDataFrame([(f"c{c}", f"g{c % 3}", 10 + c) for c in range(18)], "cell_id string, grp string, cov int")
+    return m, cells
+
+
+def test_minimum_values_are_strict(spark):
+    m = spark.createDataFrame([("f", f"c{i}", 1.0) for i in range(5)], "feature string, cell_id string, value double")
+    groups = spark.createDataFrame([(f"c{i}", "g") for i in range(6)], "cell_id string, grp string")
+    assert matrix.aggregate_matrix(m, groups, 5, 5).count() == 0
+    assert matrix.aggregate_matrix(m, groups, 5, 4).count() == 1
+
+
+def test_upsert(spark):
+    schema = "chr string, start bigint, end bigint, grp string, pct double"
+    old, new = spark.createDataFrame([("chr1", 0, 10, "a", 1.0)], schema), spark.createDataFrame([("chr1", 0, 10, "a", 2.0), ("chr1", 10, 20, "a", 3.0)], schema)
+    values = lambda df: sorted(r.pct for r in df.collect())
+    assert values(workspace.upsert_track(old, new)) == [1.0, 3.0]
+    assert values(workspace.upsert_track(old, new, force=True)) == [2.0, 3.0]
+    assert workspace.missing_windows(new, old).count() == 1
+
+
+def test_prefixes_keep_values_apart(spark, small):
+    m, cells = small
+    both = workspace.combine([workspace.Workspace(cells=cells, matrices={"m": m}).add_prefix(p) for p in ("1_", "2_")])
+    assert both.matrices["m"].count() == 2 * m.count()
+    one = both.matrices["m"].where(F.col("cell_id").startswith("1_")).select("feature", F.expr("substr(cell_id, 3)").alias("cell_id"), "value")
+    assert one.exceptAll(m).count() == 0 and m.exceptAll(one).count() == 0
+    assert both.subset(both.cells.where("grp = 'g0'")).cells.count() == 12
+
+
+def test_metadata_and_legacy_tables(spark, small):
+    _, cells = small
+    more = spark.createDataFrame([("c0", 99)], "cell_id string, cov int")
+    joined = workspace.add_metadata(cells, more)
+    assert {"cov.x", "cov.y"} <= set(joined.columns) and joined.count() == 18
+    with pytest.raises(ValueError):
+        workspace.add_metadata(cells, more.where("false"))
+    old = workspace.convert_legacy({"h5paths": spark.createDataFrame([("b", "p")], "barcode string, paths string"), "metadata": cells.withColumn("umap_x", F.lit(1.0)).withColumn("umap_y", F.lit(2.0)), "cg_tracks": more})
+    assert old.paths.columns == ["barcode", "path"] and "umap" in old.reductions and "cg_tracks" in old.tracks and "umap_x" not in old.cells.columns
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "info.tsv").write_text("a\t1\t2\t70.5\t3\t1.5\n")
+    assert readers.read_cell_info(spark, str(tmp_path / "info.tsv")).first().mcg_pct == 70.5
+    (tmp_path / "x.bed").write_text("chr1\t1\t5\nchr1\t1\t5\n")
+    assert readers.read_bed(spark, str(tmp_path / "x.bed")).count() == 1
+    (tmp_path / "y.bed").write_text("chr1\t1\t5\tname\n")
+    with pytest.raises(ValueError):
+        readers.read_bed(spark, str(tmp_path / "y.bed"))
+    (tmp_path / "g.gtf").write_text('#c\nchr1\tS\tgene\t5\t9\t.\t+\t.\tgene_id "X"; gene_name "ABC"; level 2\nchr1\tS\texon\t5\t6\t.\t+\t.\tgene_id "X"\n')
+    rows = readers.read_gtf(spark, str(tmp_path / "g.gtf")).orderBy("ord").collect()
+    assert [(r.gene_name, r.location) for r in rows] == [("ABC", "chr1_5_9"), (None, "chr1_5_6")]
+    (tmp_path / "w.csv").write_text("end,chr,start\n9,chr1,2\n")
+    assert readers.read_windows_csv(spark, str(tmp_path / "w.csv")).first() == ("chr1", 2, 9)
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 0.5\n2 2 0.7\n")
+    (tmp_path / "f.tsv").write_text("w1\nw2\n")
+    (tmp_path / "c.csv").write_text("cell_id,pass\na,pass\nz,fail\nb,pass\n")
+    got = readers.read_scale_matrix(spark, *(str(tmp_path / n) for n in ("m.mtx", "f.tsv", "c.csv"))).collect()
+    assert sorted(map(tuple, got)) == [("w1", "a", 0.5), ("w2", "b", 0.7)]
+
+
+def test_motifs(spark):
+    fasta = spark.createDataFrame([(0, ">chr desc"), (1, "AC"), (2, "GT")], "ord bigint, value string")
+    assert sorted(map(tuple, readers.scan_motifs(fasta).collect())) == [("chr", 2, "CG", "+"), ("chr", 3, "CG", "-")]
+
+
+def test_genomes_and_grid(spark):
+    sizes = genomes.chromosome_sizes(spark, "hg38")
+    assert sizes.count() == 24
+    last = windows.genome_grid(sizes.where("chr = 'chr21'"), 1_000_000).orderBy(F.desc("start")).first()
+    assert (last.start, last.end) == (46_000_000, 46_709_983)
+
+
+def test_job_file(spark):
+    members = spark.createDataFrame([("MC1", "a"), ("MC1", "b")], "metacell_id string, cell_id string")
+    paths = spark.createDataFrame([("a", "A", "/p"), ("b", "B", "/p")], "cell_id string, barcode string, path string")
+    grid = spark.createDataFrame([("chr1", 0, 100), ("chr1", 100, 150)], "chr string, start bigint, end bigint")
+    job = json.loads(metacells.job_spec(members, paths, grid).first().value)
+    assert job["chrom_sizes"] == {"chr1": 150} and [m["barcode"] for m in job["metacells"]["MC1"]] == ["A", "B"]
+
+
+def test_svd_against_numpy(spark, small):
+    m, cells = small
+    dense = m.toPandas().pivot(index="feature", columns="cell_id", values="value").fillna(0).to_numpy()
+    assert reduce.singular_values(m, cells, 5) == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:5])
+    e = reduce.truncated_svd({"m": m}, cells, {"m": 3})
+    x = np.array([r.vec for r in e.orderBy("cell_id").collect()])
+    assert x.T @ x == pytest.approx(np.eye(3), abs=1e-9)
+    assert reduce.estimate_dims(m, cells, 12, 0.5) == 1
+
+
+def test_residuals_do_not_follow_coverage(spark, small):
+    _, cells = small
+    e = cells.select("cell_id", F.array(F.ln(F.col("cov").cast("double")) * 3 + 1, F.col("cov").cast("double")).alias("vec"))
+    x = np.array([r.vec for r in reduce.regress_out(e, cells).collect()])
+    assert np.abs(x[:, 0]).max() < 1e-8
+    assert np.abs(np.array([r.vec for r in reduce.regress_out(e, cells, knots=2).collect()])[:, 1]).max() < 0.5
+
+
+def blobs(spark, n=90):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (n, 3)) + np.eye(3)[np.arange(n) % 3] * 5
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cell_id bigint, vec array<double>")
+
+
+@pytest.mark.parametrize(("method", "resolution"), [("louvain", 1.0), ("leiden", 0.05)])
+def test_communities_find_blobs(spark, method, resolution):
+    got = {r.cell_id: r.cluster_id for r in cluster.cluster_cells(blobs(spark), 10, method, resolution).collect()}
+    blob_of = {}
+    for cell, name in got.items():
+        assert blob_of.setdefault(name, cell % 3) == cell % 3
+    assert len(got) == 90 and 3 <= len(blob_of) <= 9
+
+
+@pytest.mark.parametrize("layout", [reduce.tsne, reduce.umap])
+def test_layouts_keep_neighbours(spark, layout):
+    rows = layout(blobs(spark), 10, rounds=150).orderBy("cell_id").collect()
+    xy = np.array([(r.dim_x, r.dim_y) for r in rows])
+    assert np.isfinite(xy).all()
+    d = ((xy[:, None] - xy[None]) ** 2).sum(-1) + np.eye(90) * 1e9
+    assert (d.argmin(1) % 3 == np.arange(90) % 3).mean() > 0.95
+
+
+@pytest.mark.parametrize("mode", ["knn", "dbscan", "adaptive"])
+def test_metacells_hold_every_cell(spark, mode):
+    got = metacells.make_metacells(blobs(spark), 10, mode=mode)
+    assert {r.cell_id for r in got.collect()} == set(range(90))
+    mixed = got.groupBy("metacell_id").agg(F.count_distinct(F.col("cell_id") % 3).alias("k"))
+    assert mixed.where("k > 1").count() <= 2
+
+
+def test_imputation_and_refilling():
+    rng = np.random.default_rng(3)
+    low = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 15))
+    holes = low.copy()
+    holes[rng.random(low.shape) < 0.1] = np.nan
+    _, full = reduce.iterative_pca(holes, 2, 1e-6, 500)
+    assert np.abs(full - low)[np.isnan(holes)].mean() < 0.1
+    assert reduce.diffuse(np.ones((9, 4)), 2) == pytest.approx(np.ones((9, 4)))
+
+
+def test_doublets(spark, small):
+    m, cells = small
+    both, flags = doublets.simulated(m, cells, 0.5)
+    assert flags.where("artificial").count() == 9 and both.count() > m.count()
+    again, _ = doublets.simulated(m, cells, 0.5)
+    assert both.exceptAll(again).count() == 0
+
+
+def test_markers(spark, small):
+    m, cells = small
+    out = dmr.cluster_markers(m, cells, nmin=3).collect()
+    top = [r for r in out if r.grp == "g2"]
+    assert all(r.direction == "hypermethylated" and 0 <= r.p_val <= r.p_adj <= 1 for r in top) and top
+
+
+def test_palettes():
+    assert len(plotdata.PALETTES) == 30
+    assert plotdata.palette("toucan", 2, sample=False) == ["#150808", "#ec5151"]
+    grown = plotdata.palette(3, 7)
+    assert len(grown) == 7 and grown[0] == "#150808" and grown[2].lower() == "#ec5151"
+
+
+def test_blend_needs_two_or_three_genes(spark, small):
+    with pytest.raises(ValueError):
+        plotdata.blended(small[0], ["a"], small[1])
+
+
+def test_chromosome_order(spark):
+    df = spark.createDataFrame([(c,) for c in ("chrX", "chr10", "chr2", "chrM")], "chr string")
+    assert [r.chr for r in df.orderBy(*plotdata.chromosome_order(F.col("chr"))).collect()] == ["chr2", "chr10", "chrM", "chrX"]
+
+
+def test_stream_and_batch_agree(spark, tmp_path):
+    rows = [(i % 3, "chr1", i * 137 % 5000, i % 2, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "cell_id bigint, chr string, pos bigint, c bigint, t bigint")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    q = ingest.running_windows(ingest.stream_calls(spark, str(tmp_path / "in"), 1), 1000).writeStream.outputMode("complete").format("memory").queryName("running").start()
+    q.processAllAvailable()
+    q.stop()
+    got, want = spark.table("running"), ingest.running_windows(df, 1000)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    df = spark.createDataFrame([("CG", "a", "chr1", 5, 1, 0), ("CG", "b", "chr1", 700, 0, 1), ("CH", "a", "chr1", 5, 1, 1)], "context string, cell_id string, chr string, pos bigint, c bigint, t bigint")
+    df.write.parquet(str(tmp_path / "calls"))
+    (tmp_path / "skip").write_text("b\n")
+    cli.main(["agg", str(tmp_path / "calls"), str(tmp_path / "out"), "-u", "500", "-u", "w=1000:500", "-c", "CG", "--skipbc", str(tmp_path / "skip")])
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {(str(r.name), r.start) for r in out.collect()} == {("500", 0), ("w", 0), ("w", -500)}
+    cli.main(["delete", "context", "CH", str(tmp_path / "calls"), str(tmp_path / "less")])
+    assert spark.read.parquet(str(tmp_path / "less")).count() == 2
+    cli.main(["version"])
+    assert capsys.readouterr().out.strip()
