@@ -19,14 +19,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, read_table
+from .common import bounded_slices, most_frequent, read_table
 from .lexicon import Lexicon, compile_words
 
-MAX_SLICE = 8 << 20
+MAX_SLICE = 3 << 20
 #: Words compiled into the lexicon, at most; all others are merged.
 LEXICON_WORDS = 65_536
 #: Pieces that a worker remembers, and distinct pieces that a task counts before it passes them on.
-MEMORY, COUNTED = 150_000, 200_000
+MEMORY, COUNTED = 100_000, 150_000
 #: White space in Unicode, without the four separators U+001C to U+001F that Python adds to it.
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -283,7 +283,7 @@ def default_path() -> str:
 
 
 def frequent_words(docs: DataFrame, vocabulary, limit: int) -> list[str]:
-    """The limit most frequent words of all texts after normalising; ties to the smaller word."""
+    """The most frequent words of all texts after normalising, in order of the words; limit bounds their number."""
 
     def run(batches):
         codec = Codec(vocabulary.value)
@@ -306,7 +306,7 @@ def frequent_words(docs: DataFrame, vocabulary, limit: int) -> list[str]:
         yield from passed_on(counts)
 
     words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    return sorted(r.word for r in most_frequent(words, limit, "bpe-words").select("word").collect())
 
 
 class Shared:

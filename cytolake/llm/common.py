@@ -54,16 +54,34 @@ def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterat
         yield batch.slice(start)
 
 
+def most_frequent(counted: DataFrame, limit: int, label: str) -> DataFrame:
+    """The rows of counted (column n) with the highest counts, as many as are surely no more than limit.
+
+    A histogram of counts over a fixed number of steps gives the bound, so nothing is sorted and the driver sees only
+    the histogram; rows of one step are taken all or none. counted is written once and read back."""
+    kept = materialize(counted, label)
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    held, bound = 0, None
+    for r in sorted(kept.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > limit:
+            break
+        bound = r["step"]
+    return kept.where(step >= bound) if bound is not None else kept.limit(0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list[tuple[str, int]]:
     """At most limit labelled texts with crc32(doc_id) mod 5 != 0, chosen by a hash of doc_id; bounded for the driver.
 
     Rows without a doc_id, label or usable text are skipped (null text counts as empty)."""
-    picked = (
+    usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
         .groupBy("doc_id").agg(F.max(label).alias("label_"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
+    share = min(1.0, 1.2 * (limit + 1000) / max(1, usable.count()))  # only so many come to be sorted
+    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(limit)
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(picked), "doc_id")

@@ -6,7 +6,6 @@ sum along a word's path is the word's rank, and the rank points to the word's id
 
 from __future__ import annotations
 
-import hashlib
 import os
 import struct
 import tempfile
@@ -93,14 +92,11 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, data: bytes) -> "Lexicon":
-        """Map the automaton from a file of this machine, written by the first worker that needs it."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            fd, part = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(fd, "wb") as f:
-                f.write(data)
-            os.replace(part, path)
-        return cls(path)
+        """Map the automaton from a file of this machine; the file loses its name at once and goes with the mapping."""
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return cls(f.name)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Each word's rank among the compiled ones, or -1."""

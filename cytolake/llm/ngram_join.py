@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialize, read_table
+from .common import bounded_slices, materialize, most_frequent, read_table
 from .textvec import U, mix64, shingle_sets
 
 WIDTH = 5
@@ -193,7 +193,7 @@ def common_keys(packed: DataFrame, buckets: int) -> list[tuple[int, int]]:
         tag = (U(bucket) << U(KEY_BITS)) | key[start[many]]
         yield pa.RecordBatch.from_arrays([pa.array(tag.astype(np.int64)), pa.array(n[many])], ["tag", "n"])
 
-    rows = by_bucket(packed, buckets, reduce, "tag long, n long").orderBy(F.desc("n"), "tag").limit(MAX_COMMON).collect()
+    rows = most_frequent(by_bucket(packed, buckets, reduce, "tag long, n long"), MAX_COMMON, "join-common").collect()
     return [(r.tag & 0xFFFFFFFFFFFFFFFF, r.n) for r in rows]
 
 
