@@ -52,39 +52,57 @@ def with_midp(df: DataFrame, cols: tuple[str, str, str, str] = ("mc", "mt", "nc"
 METHODS = ("none", "bonferroni", "holm", "hochberg", "hommel", "BH", "fdr", "BY")
 
 
+def _p_bucket(p: Column) -> Column:
+    """A number that grows with p and takes a bounded number of values: even steps above 1/64, powers of 2 below."""
+    small = 1024 + 4 * (F.log2(F.greatest(p, F.lit(1e-300))) + 6)
+    return F.floor(F.when(p >= 1 / 64, p * 65536).otherwise(small)).cast("int")
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b on keys, nulls being equal; the keys of a stay."""
+    b = b.withColumnsRenamed({k: f"{k}_r_" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_r_"))
+    return a.join(b, on, how).drop(*[f"{k}_r_" for k in keys])
+
+
 def adjust(df: DataFrame, p: str = "pval", method: str = "BH", by: list[str] | None = None, n: Column | None = None, out: str = "padj") -> DataFrame:
     """df with adjusted p-values, within `by` or over all rows; n: how many tests count, by default the p-values there.
 
-    Adjusted values depend on p alone, so ranks are cumulated over distinct p-values and joined back. Null p-values stay
-    null and are not counted."""
+    Adjusted values depend on p alone, so they are worked out for distinct p-values and joined back. These are dealt into
+    a bounded number of buckets in order of p; ranks and running extremes within a bucket go on from what the buckets
+    before it add up to, so no task sees the whole order. Null p-values stay null and are not counted. Hommel's method
+    needs a family at once and gets it in one task."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     by = by or []
-    tests = F.col("n_") if n is None else n.cast("double")
-    whole = Window.partitionBy(*by)
-    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("k_")).withColumn("n_", F.sum("k_").over(whole).cast("double"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum("k_").over(up)
-    values = values.withColumn("last_", last.cast("double")).withColumn("first_", F.col("last_") - F.col("k_") + 1)
-    x = F.col(p)
-    if method == "none":
-        adjusted = x
-    elif method == "bonferroni":
-        adjusted = x * tests
-    elif method in ("BH", "fdr"):
-        adjusted = F.min(x * tests / F.col("last_")).over(down)
-    elif method == "BY":
-        harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), tests.cast("int"))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
-        adjusted = F.min(x * tests / F.col("last_")).over(down) * harmonic
-    elif method == "holm":
-        adjusted = F.max((tests - F.col("first_") + 1) * x).over(up)
-    elif method == "hochberg":
-        adjusted = F.min((tests - F.col("last_") + 1) * x).over(down)
-    else:
+    if method == "hommel":
         return _hommel(df, p, by, out)
-    values = values.withColumn(out, F.least(F.lit(1.0), adjusted)).select(*by, p, out)
-    return df.join(values, [df[c].eqNullSafe(values[c]) for c in [*by, p]], "left").drop(*[values[c] for c in [*by, p]])
+    keys = [*by, "b_"]
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("k_")).withColumn("b_", _p_bucket(F.col(p)))
+    buckets = values.groupBy(*keys).agg(F.sum("k_").alias("kb_"))
+    before = F.sum("kb_").over(Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1))
+    buckets = buckets.select(*keys, F.coalesce(before, F.lit(0)).alias("before_"), F.sum("kb_").over(Window.partitionBy(*by)).cast("double").alias("n_"))
+    inside = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _joined(values, buckets, keys).withColumn("last_", (F.col("before_") + F.sum("k_").over(inside)).cast("double")).withColumn("first_", F.col("last_") - F.col("k_") + 1)
+    x, tests = F.col(p), F.col("n_") if n is None else n.cast("double")
+    raw, best = {
+        "none": (x, None), "bonferroni": (x * tests, None), "holm": ((tests - F.col("first_") + 1) * x, F.max), "hochberg": ((tests - F.col("last_") + 1) * x, F.min),
+        "BH": (x * tests / F.col("last_"), F.min), "fdr": (x * tests / F.col("last_"), F.min), "BY": (x * tests / F.col("last_"), F.min),
+    }[method]
+    ranked = ranked.withColumn("e_", raw)
+    adjusted = F.col("e_")
+    if best is not None:  # from the largest p down, or for Holm from the smallest up
+        down = best is F.min
+        outer = Window.partitionBy(*by).orderBy(F.desc("b_") if down else F.col("b_")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = ranked.groupBy(*keys).agg(best("e_").alias("m_")).withColumn("carry_", best("m_").over(outer)).drop("m_")
+        run = best("e_").over(Window.partitionBy(*keys).orderBy(F.desc(p) if down else F.col(p)).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = _joined(ranked, carry, keys)
+        adjusted = (F.least if down else F.greatest)(run, F.coalesce("carry_", run))
+    if method == "BY":
+        adjusted = adjusted * F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), tests.cast("int"))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
+    return _joined(df, ranked.select(*by, p, F.least(F.lit(1.0), adjusted).alias(out)), [*by, p], "left")
 
 
 def hommel(p: np.ndarray) -> np.ndarray:
