@@ -122,21 +122,39 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def sequence_lines(fasta: DataFrame, borrow: int) -> DataFrame:
+    """chr, before, tail, s of the sequence lines of FASTA (ord, value): where a line starts in its sequence, and the
+    borrow bases before it (N where there are none).
+
+    ord is as read_fasta() gives it: its high bits number the file splits. Lines are placed within their split; one row
+    for each split then says how its first lines go on from the splits before. A split that starts within a sequence is
+    taken to hold at least borrow of its bases."""
+    split = Window.partitionBy("split").orderBy("ord")
+    head = F.col("value").startswith(">")
+    lines = fasta.withColumn("split", F.shiftright("ord", 33)).withColumn("head", head.cast("int")).withColumn("s", F.when(head, "").otherwise(F.upper("value")))
+    lines = lines.withColumn("part", F.sum("head").over(split)).withColumn("name", F.last(F.when(head, F.regexp_extract("value", r"^>(\S*)", 1)), True).over(split))
+    part = Window.partitionBy("split", "part").orderBy("ord")
+    lines = lines.withColumn("here", F.coalesce(F.sum(F.length("s")).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = F.concat_ws("", *[F.lag("s", i).over(part) for i in range(borrow, 0, -1)])
+    lines = lines.withColumn("near", near).where((F.length("s") > 0) | (F.col("head") == 1))
+    ends = lines.groupBy("split").agg(F.max("part").alias("parts"), F.max_by(F.struct("name", (F.col("here") + F.length("s")).alias("size"), F.concat("near", "s").alias("last")), "ord").alias("e"))
+    order = Window.orderBy("split")
+    ends = ends.withColumn("run", F.sum((F.col("parts") > 0).cast("int")).over(order)).withColumn("sum_", F.sum("e.size").over(Window.partitionBy("run").orderBy("split")))
+    ends = ends.select(F.col("split").alias("split_"), F.lag("sum_").over(order).alias("carry"), F.lag("e.last").over(order).alias("carried"), F.last("e.name", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_name"))
+    first = F.col("part") == 0
+    placed = lines.where("head = 0").join(ends, F.col("split") == F.col("split_"))
+    tail = F.concat(F.lit("N" * borrow), F.when(first, F.coalesce("carried", F.lit(""))).otherwise(""), "near")
+    return placed.select(
+        F.when(first, F.col("carry_name")).otherwise(F.col("name")).alias("chr"), (F.col("here") + F.when(first, F.coalesce("carry", F.lit(0))).otherwise(0)).alias("before"),
+        F.substring(tail, -borrow, borrow).alias("tail"), "s",
+    )
+
+
 def scan_motifs(fasta: DataFrame, kind: str = "CG") -> DataFrame:
-    """chr, pos, motif, strand of the CG (or CHN) sites of FASTA lines (ord, value), on both strands, across line breaks.
-
-    Lines get their offset in the sequence by cumulated lengths and borrow the bases that a motif needs from the lines
-    before; the sites of a line are then found without looking elsewhere."""
-    named = fasta.withColumn("head", F.col("value").startswith(">"))
-    order = Window.orderBy("ord")
-    named = named.withColumn("seq_", F.sum(F.col("head").cast("int")).over(order)).withColumn("chr_", F.when(F.col("head"), F.regexp_extract("value", r"^>(\S*)", 1)))
-    own = Window.partitionBy("seq_").orderBy("ord")
-    lines = named.withColumn("chr", F.first("chr_", True).over(Window.partitionBy("seq_"))).where(~F.col("head")).withColumn("s", F.upper("value")).where(F.length("s") > 0)
-    before = F.coalesce(F.sum(F.length("s")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """chr, pos, motif, strand of the CG (or CHN) sites of FASTA lines (ord, value), on both strands, across line breaks."""
     k = 2 if kind == "CG" else 3
-    tail = F.coalesce(F.concat_ws("", *[F.lag("s", i).over(own) for i in range(k - 1, 0, -1)]), F.lit(""))
-    tail = F.substring(F.concat(F.lit("N" * (k - 1)), tail), -(k - 1), k - 1)
-    grams = lines.withColumn("before", before).withColumn("t", F.concat(tail, "s")).select("chr", "before", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substr("t", i, F.lit(k)))).alias("i", "g"))
+    lines = sequence_lines(fasta, k - 1).withColumn("t", F.concat("tail", "s"))
+    grams = lines.select("chr", "before", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substr("t", i, F.lit(k)))).alias("i", "g"))
     end = (F.col("before") + F.col("i") + 1).cast("bigint")
     if kind == "CG":
         hit = grams.where("g = 'CG'").select("chr", "g", F.explode(F.array(F.struct((end - 1).alias("pos"), F.lit("+").alias("strand")), F.struct(end.alias("pos"), F.lit("-").alias("strand")))).alias("x"))

@@ -80,6 +80,26 @@ def test_motifs(spark):
     assert sorted(map(tuple, readers.scan_motifs(fasta).collect())) == [("chr", 2, "CG", "+"), ("chr", 3, "CG", "-")]
 
 
+@pytest.mark.parametrize("kind", ["CG", "CHN"])
+def test_motifs_do_not_depend_on_splits(spark, kind):
+    rng = np.random.default_rng(6)
+    lines = [">a x"] + ["".join(rng.choice(list("ACGTN"), rng.integers(2, 9))) for _ in range(12)] + [">b", "", "CC", "GGC"] + [">c"] + ["".join(rng.choice(list("cgAT"), 5)) for _ in range(9)]
+    whole = [(i, v) for i, v in enumerate(lines)]
+    cuts = [(min(i // 4, 5) << 33 | i, v) for i, v in enumerate(lines)]
+    scan = lambda rows: sorted(map(tuple, readers.scan_motifs(spark.createDataFrame(rows, "ord bigint, value string"), kind).collect()))
+    want = []
+    for name, seq in {"a": "".join(lines[1:13]), "b": "CCGGC", "c": "".join(lines[18:])}.items():
+        seq = "N" * 2 + seq.upper()
+        for e in range(2, len(seq)):
+            g = seq[e - 1 : e + 1] if kind == "CG" else seq[e - 2 : e + 1]
+            if kind == "CG":
+                want += [(name, e - 2, g, "+"), (name, e - 1, g, "-")] if g == "CG" else []
+            else:
+                want += [(name, e - 3, g, "+")] if g[0] == "C" and g[1] != "G" else []
+                want += [(name, e - 1, g[::-1].translate(str.maketrans("ATGC", "TACG")), "-")] if g[1] != "C" and g[2] == "G" else []
+    assert scan(whole) == scan(cuts) == sorted(want)
+
+
 def test_genomes_and_grid(spark):
     sizes = genomes.chromosome_sizes(spark, "hg38")
     assert sizes.count() == 24
