@@ -37,7 +37,7 @@ LEAF = 32
 COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many are told to all tasks (2 MB), commonest first
 BUCKET_BYTES = 24 << 20
 KEY_BITS, MAX_BUCKETS = 42, 1 << 21  # of 64 bits, the rest number the buckets
-MAX_SLICE, FLUSH_KEYS = 8 << 20, 2_000_000
+MAX_SLICE, FLUSH_KEYS = 3 << 20, 1_000_000
 
 
 # --- sets, cells and keys
@@ -143,7 +143,7 @@ def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets
             for part in bounded_slices(b, "text", MAX_SLICE):
                 for s in shingle_sets([(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()], WIDTH):
                     if len(s) and (c := set_id(s)) not in done:
-                        if len(done) < 1_000_000:  # copies that slip by meet again at the other side
+                        if len(done) < 500_000:  # copies that slip by meet again at the other side
                             done.add(c)
                         found.append(keys(s, seed, tags, rank, buckets))
                         ids.append(c)

@@ -25,7 +25,7 @@ TOKEN = re.compile(r"[A-Za-z0-9_-]{24,}")
 MIXED = [re.compile(x) for x in ("[A-Z]", "[a-z]", "[0-9]")]
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this finds the runs of HEX that pass
 
-MAX_SLICE = 16 << 20
+MAX_SLICE = 4 << 20
 
 
 def _hash(value: str) -> int:

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-CHUNK = 4 << 20  # bytes hashed at a time; bounds the working arrays whatever a text's length
+CHUNK = 1 << 20  # bytes hashed at a time; bounds the working arrays whatever a text's length
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,7 +43,7 @@ def _chunk_words(data: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndar
     word = ~_SPACE[data]
     edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(16, int(len(data)).bit_length())
+    size = 1 << max(16, (len(data) - 1).bit_length())
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_tables()[0][data] * _powers(size, False)[: len(data)], out=total[1:])
     return mix64((total[end] - total[start]) * _powers(size, True)[start]), start

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_slices, labelled_sample, read_table
 
-MAX_SLICE = 16 << 20
+MAX_SLICE = 4 << 20
 #: Characters that stand for letters in disguised words, and words that address the reader.
 DISGUISES = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "*": ""})
 SECOND_PERSON = {"you", "your", "yours", "u", "ur", "youre", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "vous", "votre", "vos", "ton", "ta", "tú", "ti", "usted", "ustedes", "vosotros"}
@@ -84,7 +84,7 @@ def lexicon_of(counts: list[list[Counter]], min_docs: int = 3, min_ratio: float
 class Hits(dict):
     """word -> (weight, is disguised or None, is second person), worked out at first sight; emptied when it gets large."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
         self.roots = {e.rstrip("~")[: PREFIXES[0]] for e in lexicon}
