@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_license_scans": licenses.op7_license_scans,
+    "op7_license_lines": licenses.op7_license_lines,
     "op8_ann_search": ann.op8_ann_search,
     "op9_url_filters": urls.op9_url_filters,
     "op10_bpe_codec": bpe.op10_bpe_codec,
@@ -21,5 +22,6 @@ SQL = {
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
+    "op7_license_lines": licenses.OP7_LINES_SQL,
     "op8_ann_search": ann.OP8_SQL,
 }

@@ -282,6 +282,26 @@ def test_licences(spark, docs, rows, empty):
     assert licenses.find_licenses(docs).count() == len(rows) and licenses.find_licenses(empty).count() == 0
 
 
+def test_licence_files_with_and_without_titles(spark):
+    given = {n: t for n, t in licenses.known_texts() if n in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause")}
+    assert len(given) == 4
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    apache = (folder / "Apache-2.0.txt").read_text()
+    texts = [("Apache-2.0", apache), ("Apache-2.0", apache[: apache.index("END OF TERMS")]), ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licenses.KNOWN[0][1])]
+    texts += [(n, (folder / f"{n}.txt").read_text()) for n in ("GPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC0-1.0")] + [(None, apache + "\nmore")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert [r.license for r in licenses.find_licenses(df).orderBy("doc_id").collect()] == [n for n, _ in texts]
+
+
+def test_licence_lines_within_documents(spark, empty):
+    mit = licenses.KNOWN[0][1].replace(", ", ",\n")
+    texts = ["Prose.\nReleased under the MIT License.\nMore prose.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\r\nx\nLicensed under the Apache License, Version 2.0.", "Prose\n \n" + mit + "\n\nend", "Prose that is not Released under the MIT License.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.find_license_lines(df).collect())
+    assert got == [(0, "line", 1, "MIT"), (1, "line", 0, "GPL-3.0"), (2, "line", 0, "CC-BY-NC-4.0"), (2, "line", 2, "Apache-2.0"), (3, "paragraph", 1, "MIT")]
+    assert licenses.find_license_lines(empty).count() == 0
+
+
 # --- 8: neighbours
 
 
