@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,16 @@ def bed(spark, d):
 CTES["bed"] = """bed AS (SELECT DISTINCT 'chr' || (o_orderkey % 7 + 1) AS chr, (o_custkey * 97) % 20000 AS "start", (o_custkey * 97) % 20000 + 1500 AS "end" FROM orders WHERE o_orderkey % 50 = 0)"""
 
 
+def bed_all(spark, d):
+    """Regions from all orders, spread over the range of the calls; most are short, so that gaps stay."""
+    start = F.col("o_orderkey") * 10 + F.col("o_custkey") % 1000
+    width = F.when(F.col("o_custkey") % 100 == 0, 1500).otherwise(20)
+    return table(spark, d, "orders").select(F.concat(F.lit("chr"), (F.col("o_orderkey") % 7 + 1).cast("string")).alias("chr"), start.alias("start"), (start + width).alias("end")).distinct()
+
+
+BED_ALL = """bed AS (SELECT DISTINCT 'chr' || (o_orderkey % 7 + 1) AS chr, o_orderkey * 10 + o_custkey % 1000 AS "start", o_orderkey * 10 + o_custkey % 1000 + CASE WHEN o_custkey % 100 = 0 THEN 1500 ELSE 20 END AS "end" FROM orders)"""
+
+
 def mat(s, d):
     w = windows.make_windows(calls(s, d), stepsize=1000)
     return w.select("cell_id", F.concat_ws("_", "chr", "start", "end").alias("feature"), "value")
@@ -127,7 +138,7 @@ for _metric, _value in (("percent", "r * 100"), ("score", "round(CASE WHEN r > g
     SQL[f"window_{_metric}"] = sql(f'SELECT cell_id, chr, s AS "start", s + 1000 AS "end", {_value} AS value FROM (SELECT *, round(m / (m + u)::DOUBLE, 3) AS r FROM win) JOIN rates USING (cell_id)', "calls", "win", "rates")
 
 query("bed_percent", sql('SELECT cell_id, chr, "start", "end", round(m / (m + u)::DOUBLE, 4) * 100 AS value FROM (SELECT cell_id, b.chr, b."start", b."end", count(*) FILTER (c <> 0) AS m, count(*) FILTER (t <> 0) AS u, sum(c + t) AS n FROM calls JOIN bed b ON calls.chr = b.chr AND pos BETWEEN b."start" AND b."end" GROUP BY ALL) WHERE n >= 2', "calls", "bed"))(
-    lambda s, d: windows.make_windows(calls(s, d), bed=bed(s, d)))
+    lambda s, d, bed=bed: windows.make_windows(calls(s, d), bed=bed(s, d)))
 
 _GENE = """first_ AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY ord) = 1),
 counted AS (SELECT cell_id, gene_name AS feature, count(*) FILTER (c <> 0) AS m, count(*) FILTER (t <> 0) AS u, sum(c + t) AS n
@@ -153,7 +164,7 @@ query("uniform_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "en
 query("stepped_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT calls.*, pos // 500 * 500 - o * 500 AS s FROM calls CROSS JOIN (VALUES (0), (1), (2)) v(o)) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
     lambda s, d: cli.aggregate(calls(s, d), cli.parse_uniform("1500:500")).drop("name"))
 query("custom_windows", sql('SELECT cell_id, b.chr, b."start", b."end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM calls JOIN bed b ON calls.chr = b.chr AND pos >= b."start" AND pos < b."end" GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls", "bed"))(
-    lambda s, d: windows.aggregate_windows(windows.custom_windows(calls(s, d), bed(s, d))))
+    lambda s, d, bed=bed: windows.aggregate_windows(windows.custom_windows(calls(s, d), bed(s, d))))
 query("context_whitelist", sql("SELECT cell_id, count(*) AS n FROM calls WHERE cell_id IN (SELECT cell_id FROM cells WHERE batch = 0) GROUP BY cell_id", "calls", "cells"))(
     lambda s, d: windows.only(calls(s, d), cells(s, d).where("batch = 0"), "cell_id").groupBy("cell_id").agg(F.count("*").alias("n")))
 query("context_blacklist", sql("SELECT cell_id, count(*) AS n FROM calls WHERE cell_id NOT IN (SELECT cell_id FROM cells WHERE batch = 0) GROUP BY cell_id", "calls", "cells"))(
@@ -275,15 +286,15 @@ SELECT *, rank_p + rank_fc AS total_rank FROM k QUALIFY rank() OVER (PARTITION B
 query("overlap_class_share", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
 h AS (SELECT DISTINCT g.chr, g."start", g."end", strand, EXISTS (SELECT 1 FROM bed b WHERE b.chr = g.chr AND b."start" <= g."end" AND b."end" >= g."start") AS has_overlap FROM genes g)
 SELECT strand, has_overlap AS "overlaps", count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY strand)::DOUBLE, 6) AS share FROM h GROUP BY strand, has_overlap""")(
-    lambda s, d: r6(dmr.overlap_shares(genes(s, d), bed(s, d), "strand"), "share"))
+    lambda s, d, bed=bed: r6(dmr.overlap_shares(genes(s, d), bed(s, d), "strand"), "share"))
 query("region_venn", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
 a AS (SELECT chr, "start", "end", 'genes' AS name FROM genes UNION ALL SELECT chr, "start", "end", 'bed' FROM bed),
 m AS (SELECT *, max("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM a),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR "start" > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT chr, min("start") AS "start", max("end") AS "end", string_agg(DISTINCT name, ',' ORDER BY name) AS members FROM i GROUP BY chr, g""")(
-    lambda s, d: dmr.region_venn(genes(s, d).select("chr", "start", "end", F.lit("genes").alias("name")).unionByName(bed(s, d).withColumn("name", F.lit("bed")))))
+    lambda s, d, bed=bed: dmr.region_venn(genes(s, d).select("chr", "start", "end", F.lit("genes").alias("name")).unionByName(bed(s, d).withColumn("name", F.lit("bed")))))
 query("covered_sites", sql('SELECT DISTINCT calls.chr, pos FROM calls JOIN bed b ON calls.chr = b.chr AND pos BETWEEN b."start" AND b."end"', "calls", "bed"))(
-    lambda s, d: dmr.covered_sites(bed(s, d), calls(s, d).select("chr", "pos")))
+    lambda s, d, bed=bed: dmr.covered_sites(bed(s, d), calls(s, d).select("chr", "pos")))
 query("balanced_downsample", sql("", "calls", "cells", "win", "mat").rstrip() + """,
 b AS (SELECT cell_id, grp, ((row_number() OVER (PARTITION BY grp ORDER BY cell_id) - 1) % 5)::INTEGER AS bin FROM cells)
 SELECT grp, bin, feature, round(avg(value), 6) AS value FROM mat JOIN b USING (cell_id) GROUP BY ALL""")(lambda s, d: r6(dmr.balanced_means(mat(s, d), cells(s, d), 5), "value"))
@@ -306,11 +317,11 @@ query("coding_promoters", sql("""SELECT chr, tss - 1500 AS "start", tss + 1500 A
 query("parse_regions", sql("""SELECT DISTINCT split_part(feature, '_', 1) AS chr, split_part(feature, '_', 2)::BIGINT AS "start", split_part(feature, '_', 3)::BIGINT AS "end" FROM mat""", "calls", "win", "mat"))(
     lambda s, d: intervals.parse_regions(mat(s, d).select("feature").distinct(), "feature"))
 query("windows_in_ranges", sql("""SELECT DISTINCT m.chr, m."start", m."end" FROM (SELECT DISTINCT chr, s AS "start", s + 1000 AS "end" FROM win) m JOIN bed b ON b.chr = m.chr AND m."start" >= b."start" AND m."end" <= b."end\"""", "calls", "win", "bed"))(
-    lambda s, d: intervals.windows_within(windows.make_windows(calls(s, d), stepsize=1000).select("chr", "start", "end").distinct(), bed(s, d)))
+    lambda s, d, bed=bed: intervals.windows_within(windows.make_windows(calls(s, d), stepsize=1000).select("chr", "start", "end").distinct(), bed(s, d)))
 query("region_merge", "WITH " + CTES["bed"] + """,
 m AS (SELECT *, max("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM bed),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR "start" > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
-SELECT chr, min("start") AS "start", max("end") AS "end" FROM i GROUP BY chr, g""")(lambda s, d: intervals.merged(bed(s, d), ["chr"]))
+SELECT chr, min("start") AS "start", max("end") AS "end" FROM i GROUP BY chr, g""")(lambda s, d, bed=bed: intervals.merged(bed(s, d), ["chr"]))
 query("add_metadata", sql("SELECT c.cell_id, c.grp, c.batch, c.cov, n.n FROM cells c LEFT JOIN (SELECT cell_id, count(*) AS n FROM calls WHERE cell_id % 3 = 0 GROUP BY 1) n USING (cell_id)", "calls", "cells"))(
     lambda s, d: workspace.add_metadata(cells(s, d), calls(s, d).where("cell_id % 3 = 0").groupBy("cell_id").agg(F.count("*").alias("n"))))
 query("add_prefix", sql("SELECT 'a_' || cell_id AS cell_id, feature, value FROM mat", "calls", "win", "mat"))(lambda s, d: workspace.Workspace(cells=cells(s, d), matrices={"m": mat(s, d)}).add_prefix("a_").matrices["m"])
@@ -389,7 +400,7 @@ query("violin_values", sql("SELECT feature, cell_id, grp, value FROM mat JOIN ce
 query("dot_means", sql("SELECT grp, feature, round(avg(value), 6) AS mean_size, round(avg(value / 100), 6) AS mean_colour FROM mat JOIN cells USING (cell_id) WHERE feature IN ('chr1_0_1000', 'chr3_2000_3000') GROUP BY ALL", "calls", "cells", "win", "mat"))(
     lambda s, d: r6(plotdata.dot_means(mat(s, d), mat(s, d).withColumn("value", F.col("value") / 100), ["chr1_0_1000", "chr3_2000_3000"], cells(s, d), "grp"), "mean_size", "mean_colour"))
 query("heat_track")(
-    lambda s, d: r6(plotdata.track_values(sm(s, d).select("grp", "chr", "start", "end", "pct"), bed(s, d), 1000, True), "glob_m"))
+    lambda s, d, bed=bed: r6(plotdata.track_values(sm(s, d).select("grp", "chr", "start", "end", "pct"), bed(s, d), 1000, True), "glob_m"))
 SQL["heat_track"] = sql("", "calls", "cells", "bulk", "sm", "bed").rstrip() + """,
 tr AS (SELECT grp, chr, "start", "end", round(100::DOUBLE * c / (c + t)::DOUBLE, 2) AS pct FROM sm),
 gm AS (SELECT grp, round(avg(pct), 6) AS glob_m FROM tr GROUP BY grp)
@@ -411,9 +422,17 @@ query("metacell_points", "WITH " + CTES["cells"] + ",\n" + CTES["members"] + f""
 {_LAY}, ml AS (SELECT metacell_id, round(avg(dim_x), 6) AS meta_x, round(avg(dim_y), 6) AS meta_y FROM members JOIN lay USING (cell_id) GROUP BY 1)
 SELECT cell_id, metacell_id, dim_x, dim_y, meta_x, meta_y FROM members JOIN lay USING (cell_id) JOIN ml USING (metacell_id)""")(
     lambda s, d: plotdata.metacell_points(members(s, d), layout(s, d), r6(members(s, d).join(layout(s, d), "cell_id").groupBy(F.col("metacell_id").alias("cell_id")).agg(F.avg("dim_x").alias("dim_x"), F.avg("dim_y").alias("dim_y")), "dim_x", "dim_y")))
-query("meta_map")(lambda s, d: plotdata.meta_map(windows.metacell_smoothed_windows(calls(s, d), members(s, d)).select("chr", "start", "end", F.col("metacell_id").alias("grp"), "pct"), bed(s, d)))
+query("meta_map")(lambda s, d: plotdata.meta_map(windows.metacell_smoothed_windows(calls(s, d), members(s, d)).select("chr", "start", "end", F.col("metacell_id").alias("grp"), "pct"), bed_all(s, d)))
 query("palettes")(lambda s, d: plotdata.palette_table(s))
 
+# --- the queries of bed and add_metadata over whole tables
+
+for _name in ("bed_percent", "custom_windows", "overlap_class_share", "region_venn", "covered_sites", "windows_in_ranges", "region_merge", "heat_track"):
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], bed=bed_all)
+    SQL[f"{_name}_all"] = SQL[_name].replace(CTES["bed"], BED_ALL)
+query("add_metadata_all", sql("SELECT c.cell_id, c.grp, c.batch, c.cov, n.n FROM cells c LEFT JOIN (SELECT cell_id, count(*) AS n FROM calls GROUP BY 1) n USING (cell_id)", "calls", "cells"))(
+    lambda s, d: workspace.add_metadata(cells(s, d), calls(s, d).groupBy("cell_id").agg(F.count("*").alias("n"))))
+
 # --- sequences, streaming kernels
 
 _FASTA = [(0, ">chrA test"), (1, "ACGTCCGA"), (2, "CGNNCATG"), (3, ">chrB"), (4, "TTCAGG"), (5, "C"), (6, "G")]

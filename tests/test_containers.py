@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cytolake import cli, workspace
 from cytolake.operators import cluster, dmr, doublets, matrix, metacells, plotdata, reduce, windows
+from cytolake.plans import queries
 from cytolake.sources import genomes, readers
 from cytolake.streaming import ingest
 
@@ -229,3 +230,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "less")).count() == 2
     cli.main(["version"])
     assert capsys.readouterr().out.strip()
+
+
+def test_whole_bed_reads_every_order_and_the_range_of_the_calls(spark, tmp_path):
+    spark.createDataFrame([(k, 1) for k in range(1, 150)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 1, 1, 1, 1.0, "R") for k in range(1, 150)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    regions = queries.bed_all(spark, str(tmp_path))
+    assert regions.count() == 149 and regions.agg(F.max("start")).first()[0] == 1491
+    assert queries.QUERIES["region_merge_all"](spark, str(tmp_path)).count() == 149
+    assert queries.QUERIES["covered_sites_all"](spark, str(tmp_path)).count() > queries.QUERIES["covered_sites"](spark, str(tmp_path)).count()
+    for name in [n for n in queries.SQL if n.endswith("_all")]:
+        assert "% 50 = 0" not in queries.SQL[name] and "cell_id % 3 = 0" not in queries.SQL[name], name
