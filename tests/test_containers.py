@@ -126,6 +126,17 @@ def test_svd_against_numpy(spark, small):
     assert reduce.estimate_dims(m, cells, 12, 0.5) == 1
 
 
+@pytest.mark.parametrize("fill", [0.0, 1.5, "cov"])
+def test_svd_beyond_the_bound_of_the_gram_matrix(spark, small, monkeypatch, fill):
+    m, cells = small
+    want, near = reduce.singular_values(m, cells, 5, fill), reduce.truncated_svd({"m": m}, cells, {"m": 3}, {"m": fill})
+    monkeypatch.setattr(reduce, "GRAM_CELLS", 10)
+    assert reduce.singular_values(m, cells, 5, fill) == pytest.approx(want)
+    x, y = (np.array([r.vec for r in e.orderBy("cell_id").collect()]) for e in (near, reduce.truncated_svd({"m": m}, cells, {"m": 3}, {"m": fill})))
+    assert y == pytest.approx(x, abs=1e-6)
+    assert reduce.singular_values(m.limit(0), cells, 5) == pytest.approx(np.zeros(5))
+
+
 def test_residuals_do_not_follow_coverage(spark, small):
     _, cells = small
     e = cells.select("cell_id", F.array(F.ln(F.col("cov").cast("double")) * 3 + 1, F.col("cov").cast("double")).alias("vec"))
