@@ -368,8 +368,8 @@ query("dim_estimate")(lambda s, d: s.createDataFrame([(reduce.estimate_dims(mat(
 query("svd_embedding")(lambda s, d: reduce.truncated_svd({"m": mat(s, d)}, cells(s, d), {"m": 5}))
 query("louvain")(lambda s, d: cluster.cluster_cells(embedding(s, d), 15))
 query("leiden")(lambda s, d: cluster.cluster_cells(embedding(s, d), 15, "leiden", 0.05))
-query("umap")(lambda s, d: reduce.umap(embedding(s, d), rounds=50))
-query("tsne")(lambda s, d: reduce.tsne(embedding(s, d), rounds=100))
+query("umap")(lambda s, d: reduce.umap(embedding(s, d)))
+query("tsne")(lambda s, d: reduce.tsne(embedding(s, d)))
 query("impute")(lambda s, d: reduce.impute(mat(s, d), cells(s, d)))
 query("metacells")(lambda s, d: metacells.make_metacells(embedding(s, d), 25))
 query("metacells_dbscan")(lambda s, d: metacells.make_metacells(embedding(s, d), 25, mode="dbscan", dims=4))
@@ -380,7 +380,7 @@ query("metacells_adaptive")(lambda s, d: metacells.make_metacells(embedding(s, d
 def _doublets(s, d):
     m, flags = doublets.simulated(mat(s, d), cells(s, d), 0.5)
     e = reduce.truncated_svd({"m": m}, flags, {"m": 5})
-    model, _ = doublets.fit_model(e, flags, trees=20)
+    model, _ = doublets.fit_model(e, flags)
     return doublets.scores(model, e)
 
 

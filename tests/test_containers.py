@@ -252,3 +252,15 @@ def test_whole_bed_reads_every_order_and_the_range_of_the_calls(spark, tmp_path)
     assert queries.QUERIES["covered_sites_all"](spark, str(tmp_path)).count() > queries.QUERIES["covered_sites"](spark, str(tmp_path)).count()
     for name in [n for n in queries.SQL if n.endswith("_all")]:
         assert "% 50 = 0" not in queries.SQL[name] and "cell_id % 3 = 0" not in queries.SQL[name], name
+
+
+def test_layout_and_doublet_queries_use_the_defaults(monkeypatch):
+    given = {}
+    for where, name in ((reduce, "umap"), (reduce, "tsne"), (doublets, "fit_model")):
+        monkeypatch.setattr(where, name, lambda *a, _n=name, **k: given.update({_n: k}) or (None, None))
+    for where, name in ((queries, "embedding"), (queries, "mat"), (queries, "cells"), (reduce, "truncated_svd"), (doublets, "scores")):
+        monkeypatch.setattr(where, name, lambda *a: None)
+    monkeypatch.setattr(doublets, "simulated", lambda *a: (None, None))
+    for name in ("umap", "tsne", "doublet_scores"):
+        queries.QUERIES[name](None, "")
+    assert given == {"umap": {}, "tsne": {}, "fit_model": {}}
