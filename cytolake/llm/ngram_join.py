@@ -445,6 +445,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -145,6 +145,13 @@ def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert by_id(ngram_join.jaccard_components(df)) == sorted(brute_components(brute_sets(rows)), key=repr)
 
 
+def test_components_do_not_stop_short(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        ngram_join.components(chain, 1)
+    assert {r.root for r in ngram_join.components(chain).collect()} == {0}
+
+
 def test_rtree_gives_every_pair_that_reaches_the_bound():
     rng = np.random.default_rng(2)
     points = rng.poisson(rng.choice([1, 3, 6], (150, 1)), (150, 16)).astype(np.int16)
