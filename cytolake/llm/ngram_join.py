@@ -392,8 +392,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_edges(verify: DataFrame, classes: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
-    """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree.
+def linked_edges(verify: DataFrame, classes: DataFrame, docs: DataFrame, partitions: int, every: bool = False) -> DataFrame:
+    """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree. With every:
+    all linked pairs of classes, a < b.
 
     One text of each class travels to its unit; its set is made there."""
 
@@ -402,6 +403,10 @@ def linked_edges(verify: DataFrame, classes: DataFrame, docs: DataFrame, partiti
             own = shingle_sets([x.encode("utf-8", "replace") for x in t.column("text").to_pylist()], WIDTH)
             cls, sizes = np.array([set_id(s) for s in own]), np.array([len(s) for s in own])
             i, j = np.nonzero(np.triu(SIZES * overlaps(own) >= OVERLAP * (sizes[:, None] + sizes[None]), 1))
+            if every:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+                continue
             label = connected(len(cls), i, j)
             moved = np.flatnonzero(label != np.arange(len(cls)))
             if len(moved):
@@ -474,8 +479,10 @@ def described(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, text_hash long, row_key long, n long, cls long, point binary, regular boolean")
 
 
-def joined_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, root, component_id for every row of docs (doc_id, text); no words: root is null."""
+def joined_rows(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, text_hash, n, root, component_id for every row of docs (doc_id, text); no words: root is null.
+
+    With links also n_links, the number of other rows that a row is linked with."""
     spark = docs.sparkSession
     for seed in range(8):  # sets with too few cells for the bound are so rare that another seed settles it
         table = materialize(described(docs, seed), "join-docs")
@@ -497,12 +504,21 @@ def joined_rows(docs: DataFrame) -> DataFrame:
     release(spark)
     verify = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"), classes)
     release(spark)
-    links = linked_edges(verify, classes, docs, partitions)
-    roots = components(links)
+    edges = linked_edges(verify, classes, docs, partitions, links)
+    if links:
+        edges = materialize(edges, "join-pairs")
+    roots = components(edges)
     release(spark)
     rooted = classes.select("cls", "class_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("cls", "root", "component_id")
-    return table.select("doc_id", "text_hash", "n", "cls").join(named, "cls", "left").select("doc_id", "text_hash", "n", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    counted = []
+    if links:
+        size = table.where("n > 0").groupBy("cls").agg(F.count("*").alias("rows_"))
+        both = edges.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+        near = both.join(size.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("rows_").alias("near_"))
+        degree = size.join(near, "cls", "left").select("cls", (F.col("rows_") - 1 + F.coalesce("near_", F.lit(0))).alias("links_"))
+        named, counted = named.join(degree, "cls"), [F.coalesce("links_", F.lit(0)).alias("n_links")]
+    return table.select("doc_id", "text_hash", "n", "cls").join(named, "cls", "left").select("doc_id", "text_hash", "n", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counted)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,6 +531,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """jaccard_components() with n_links: the other rows that each row is linked with, those of the same set included.
+
+    All linked pairs of classes are written, which is the square of a group of near copies with different sets."""
+    rows = joined_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), True)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with one of each component: the smallest id, then the smallest text hash. Texts without words
     are linked with nothing and stay."""

@@ -145,6 +145,17 @@ def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert by_id(ngram_join.jaccard_components(df)) == sorted(brute_components(brute_sets(rows)), key=repr)
 
 
+@pytest.mark.parametrize("block", [None, 8])
+def test_links_of_each_row_by_all_pairs(docs, rows, empty, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+    sets = [s for _, s in brute_sets(rows)]
+    degree = [sum(i != j and bool(s) and 100 * len(s & o) >= 75 * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)]
+    found = ngram_join.jaccard_links(docs)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in found.collect()), key=repr) == sorted(((r[0], len(s), d) for r, s, d in zip(rows, sets, degree, strict=True)), key=repr)
+    assert max(degree) > 3 and ngram_join.jaccard_links(empty).count() == 0
+
+
 def test_components_do_not_stop_short(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
