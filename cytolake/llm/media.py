@@ -119,7 +119,12 @@ def _riff(b: bytes, at: int):
 
 
 def _pdf(b: bytes, at: int):
-    end = b.rfind(b"%%EOF", at)
+    """To the last trailer before the next header that has a trailer of its own."""
+    last = b.rfind(b"startxref", at, max(b.rfind(b"%%EOF", at), at))
+    following = b.find(b"%PDF-", at + 5)
+    while 0 <= following < last and not b[following + 5 : following + 6].isdigit():
+        following = b.find(b"%PDF-", following + 5)
+    end = b.rfind(b"%%EOF", at, following if 0 <= following < last else len(b))
     return ("pdf", end + 5 - at) if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
 
 
@@ -160,8 +165,8 @@ def _ogg(b: bytes, at: int):
     return ("ogg", i - at) if i > at else None
 
 
-def _flac(b: bytes, at: int):
-    """Frames carry no length, so the item reaches to the end of the bytes."""
+def _flac_head(b: bytes, at: int) -> int | None:
+    """Where the frames begin."""
     i, first = at + 4, True
     while i + 4 <= len(b):
         kind, n = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
@@ -169,10 +174,15 @@ def _flac(b: bytes, at: int):
             return None
         i, first = i + 4 + n, False
         if kind & 0x80:
-            return "flac", len(b) - at
+            return i
     return None
 
 
+def _flac(b: bytes, at: int):
+    """Frames carry no length, so the item reaches to the end of the bytes."""
+    return ("flac", len(b) - at) if _flac_head(b, at) else None
+
+
 def _au(b: bytes, at: int):
     if at + 24 > len(b):
         return None
@@ -207,7 +217,8 @@ def _automaton():
 def sniff(data: bytes, declared: str | None = None) -> dict:
     """What the bytes are: type, status (ok, corrected, unknown), length, and the items carved from within.
 
-    An item that lies in another carved one is part of it and is not listed again."""
+    An item that lies in another carved one is part of it and is not listed again; but what lies behind the head of FLAC,
+    whose end is not known, is."""
     hits = sorted((end + 1 - back, kind) for end, (back, kind) in _automaton().iter(data.decode("latin-1")) if end + 1 >= back)
     whole, carved, covered = None, [], 0
     for at, kind in hits:
@@ -218,7 +229,7 @@ def sniff(data: bytes, declared: str | None = None) -> dict:
                 whole = item
             else:
                 carved.append((item[0], at, item[1]))
-                covered = at + item[1]
+                covered = _flac_head(data, at) if kind == "flac" else at + item[1]
     kind, length = whole or (None, len(data))
     mime = MIME.get(kind, "application/octet-stream")
     status = "unknown" if kind is None else "ok" if declared == mime else "corrected"

@@ -94,6 +94,16 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(r.id, r.type, r.status) for r in media.sniff_column(df, "id", "data").orderBy("id").collect()] == [(1, "image/png", "corrected"), (2, "application/octet-stream", "unknown"), (3, "application/octet-stream", "unknown")]
 
 
+def test_items_behind_pdf_and_flac_are_carved():
+    pdf = b"%PDF-1.4\nstartxref\n9\n%%EOF"
+    updated = pdf + b"\nmore\nstartxref\n9\n%%EOF"
+    flac = b"fLaC" + b"\x80\0\0\x22" + b"\1" * 34
+    s = media.sniff(b"x " + updated + b" " + png() + b" " + pdf + b" end")
+    assert s["carved"] == [("pdf", 2, len(updated)), ("png", 3 + len(updated), len(png())), ("pdf", 4 + len(updated) + len(png()), len(pdf))]
+    assert media.sniff(pdf + pdf)["length"] == len(pdf) and media.sniff(pdf + b" %PDF-x")["length"] == len(pdf)
+    assert [c[0] for c in media.sniff(b"x" + flac + b"frames" + png())["carved"]] == ["flac", "png"]
+
+
 # --- 2: n-gram join
 
 
