@@ -1,8 +1,9 @@
 """BPE encoding and decoding: frequent words from a memory-mapped transducer, unseen words by exact merging.
 
-Texts fall apart at white space, and no token reaches across it. Each piece between is encoded once per worker: it is
-normalised and split into words; a word's ids come from the lexicon of the corpus's frequent words, or else from
-merging its symbols by rank. The lexicon decides the speed only, never the ids.
+Texts fall apart at white space, and no token reaches across it. Whole slices of texts are cut into words at once, on
+arrays of code points; pieces with characters that normalising or the pattern treats specially are cut one by one. A
+word's ids come from the lexicon of the corpus's frequent words, or else from merging its symbols by rank, many words
+together. Lexicon and memories decide the speed only, never the ids.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,15 @@ from .common import bounded_slices, most_frequent, read_table
 from .lexicon import Lexicon, compile_words
 
 MAX_SLICE = 3 << 20
+#: Characters that are cut into words at a time; bounds the working arrays whatever a text's length.
+CHUNK = 1 << 20
 #: Words compiled into the lexicon, at most; all others are merged.
 LEXICON_WORDS = 65_536
-#: Pieces that a worker remembers, and distinct pieces that a task counts before it passes them on.
-MEMORY, COUNTED = 100_000, 150_000
+#: Merged words that a worker remembers, and distinct words that a task counts before it passes them on.
+MEMORY, COUNTED = 150_000, 500_000
+#: Code points below this may be cut by arrays, where simple_classes() knows them; words of more symbols are merged alone.
+SIMPLE, LONG = 0x530, 48
+SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 #: White space in Unicode, without the four separators U+001C to U+001F that Python adds to it.
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -59,7 +66,6 @@ def byte_symbols() -> list[str]:
 
 
 NO_RANK = 1 << 30
-_NO_MERGE = (NO_RANK, 0)
 
 
 class Vocabulary:
@@ -78,85 +84,127 @@ class Vocabulary:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.outer = [vocab[s + self.suffix] for s in symbols]
-        pairs_ = np.array([a << 20 | b for a, b in self.merges], np.int64)
-        order = np.argsort(pairs_, kind="stable")
-        self.pair_keys, self.pair_ranks = pairs_[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
-        self.merged_ids = np.zeros(len(pairs), np.int32)
+        self.merged_ids = np.zeros(len(pairs) + 1, np.int32)
         for rank, new in self.merges.values():
             self.merged_ids[rank] = new
         self.inner_ids, self.outer_ids = np.array(self.inner, np.int32), np.array(self.outer, np.int32)
+        self._hash_pairs()
+        both = [self.ranks(np.repeat(self.inner_ids, 256), np.tile(second, 256)) for second in (self.inner_ids, self.outer_ids)]
+        self.first_ranks = np.stack(both).reshape(2, 256, 256)  # of pairs of bytes: within a word, at its end
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.digest = hashlib.sha256(json.dumps([spec["added_tokens"], model["vocab"], pairs, self.pattern, self.suffix]).encode()).hexdigest()
+
+    def _hash_pairs(self) -> None:
+        """The pairs in an open hash table: slots of keys and ranks, a free slot ends a search."""
+        keys = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        ranks = np.array([r for r, _ in self.merges.values()], np.int32)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.slots, self.slot_ranks = np.full(size, -1, np.int64), np.full(size, NO_RANK, np.int32)
+        at, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = self.slots[at[rest]] < 0
+            self.slots[at[rest[free]]] = keys[rest[free]]  # of several for a slot the last one has it
+            won = self.slots[at[rest]] == keys[rest]
+            self.slot_ranks[at[rest[won]]] = ranks[rest[won]]
+            rest = rest[~won]
+            at[rest] = (at[rest] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NO_RANK for pairs that do not merge."""
+        keys = a.astype(np.int64) << 20 | b
+        at = self._slot(keys)
+        found = self.slots[at]
+        out = np.where(found == keys, self.slot_ranks[at], np.int32(NO_RANK))
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self.slots)
+            found = self.slots[at[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.slot_ranks[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of a word: at each step the pair of lowest rank, the leftmost of these, becomes one symbol."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.outer[word[-1]]]
-        if len(ids) > 48:
-            return self._merged_long(ids)
-        get, none = self.merges.get, _NO_MERGE
-        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best is none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
-        return ids
+        return self._merged_long([self.inner[b] for b in word[:-1]] + [self.outer[word[-1]]])
 
     def merged_many(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of many words: words of like length are merged together, one pair of each at a step."""
-        out: list[list[int]] = [[]] * len(words)
+        """The ids of many words that are not empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 6), (6, 10), (10, 16), (16, 28)):
-            own = np.flatnonzero((lengths > low) & (lengths <= high))
-            for at in range(0, len(own), 1 << 15):
-                rows = own[at : at + (1 << 15)]
-                for row, ids in zip(rows.tolist(), self._merged_block([words[r] for r in rows.tolist()], lengths[rows]), strict=True):
-                    out[row] = ids
-        for row in np.flatnonzero(lengths > 28).tolist():
-            out[row] = self.merged(words[row])
-        return out
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of ids; NO_RANK for pairs that do not merge."""
-        key = a.astype(np.int64) << 20 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NO_RANK)
-
-    def _merged_block(self, words: list[bytes], lengths: np.ndarray) -> list[list[int]]:
-        width = int(lengths.max())
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        flat, n = self.merged_flat(np.frombuffer(b"".join(words), np.uint8), lengths)
+        end = np.cumsum(n)
+        return [flat[z - k : z].tolist() for z, k in zip(end.tolist(), n.tolist(), strict=True)]
+
+    def merged_flat(self, data: np.ndarray, lengths: np.ndarray, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one behind the other, and how many each has; data holds the words' bytes likewise.
+
+        All words of a block take a step together: each word's leftmost pair of lowest rank becomes one symbol."""
+        begin = np.cumsum(lengths) - lengths
+        counts = np.zeros(len(lengths), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # (rows, their ids)
+        short = np.flatnonzero(lengths <= LONG)
+        short = short[np.argsort(lengths[short], kind="stable")]
+        for at in range(0, len(short), block):
+            parts += self._merged_block(data, begin, lengths, short[at : at + block], counts)
+        for row in np.flatnonzero(lengths > LONG).tolist():
+            ids = self.merged(data[begin[row] : begin[row] + lengths[row]].tobytes())
+            counts[row] = len(ids)
+            parts.append((np.array([row]), np.array(ids, np.int32)))
+        out = np.zeros(int(counts.sum()), np.int32)
+        first = np.cumsum(counts) - counts
+        for rows, ids in parts:
+            out[ragged(first[rows], counts[rows])] = ids
+        return out, counts
+
+    def _merged_block(self, data, begin, lengths, rows, counts) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = lengths[rows]
+        raw = data[ragged(begin[rows], n)]
+        start = np.cumsum(n) - n
+        last = start + n - 1
         ids = self.inner_ids[raw]
-        place = np.arange(width)
-        ids[place >= lengths[:, None]] = -1
-        rows = np.arange(len(words))
-        ids[rows, lengths - 1] = self.outer_ids[raw[rows, lengths - 1]]
-        after = np.concatenate((ids[:, 1:], np.full((len(ids), 1), -1, ids.dtype)), 1)
-        ranks = self._rank(ids, after)
-        out = ids.copy()
+        ids[last] = self.outer_ids[raw[last]]
+        ranks = np.full(len(raw), NO_RANK, np.int32)
+        ranks[:-1] = self.first_ranks[0][raw[:-1], raw[1:]]
+        many = last[n > 1]
+        ranks[many - 1] = self.first_ranks[1][raw[many - 1], raw[many]]
+        ranks[last] = NO_RANK
+        out = []
         while len(rows):
-            best = ranks.argmin(1)
-            rank = ranks[np.arange(len(rows)), best]
-            going = rank < NO_RANK
-            out[rows[~going], : ids.shape[1]] = ids[~going]
-            out[rows[~going], ids.shape[1] :] = -1
-            rows, ids, ranks, best, rank = rows[going], ids[going], ranks[going], best[going], rank[going]
-            if not len(rows):
-                break
-            here = np.arange(len(rows))
-            ids[here, best] = self.merged_ids[rank]
-            source = place[: ids.shape[1] - 1] + (place[: ids.shape[1] - 1] > best[:, None])
-            ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
-            best = np.minimum(best, ids.shape[1] - 1)
-            right = np.where(best + 1 < ids.shape[1], ids[here, np.minimum(best + 1, ids.shape[1] - 1)], -1)
-            ranks[here, best] = self._rank(ids[here, best], right)
-            left = np.maximum(best - 1, 0)
-            ranks[here, left] = np.where(best > 0, self._rank(ids[here, left], ids[here, best]), ranks[here, left])
-        return [r[r >= 0].tolist() for r in out]
+            best = np.minimum.reduceat(ranks, start)
+            done = best == NO_RANK
+            if done.any():
+                over = np.repeat(done, n)
+                counts[rows[done]] = n[done]
+                out.append((rows[done], ids[over]))
+                going = ~done
+                rows, n, best = rows[going], n[going], best[going]
+                if not len(rows):
+                    break
+                ids, ranks = ids[~over], ranks[~over]
+                start = np.cumsum(n) - n
+            at = np.flatnonzero(ranks == np.repeat(best, n))
+            if len(at) > len(rows):  # a word's lowest rank stands there more than once: the leftmost
+                word = np.searchsorted(start, at, "right")
+                at = at[np.concatenate(([True], word[1:] != word[:-1]))]
+            ids[at] = self.merged_ids[best]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            closes = at + 1 == start + n - 1  # the pair ends its word
+            opens = at == start
+            ids, ranks = ids[keep], ranks[keep]
+            n = n - 1
+            start = np.cumsum(n) - n
+            at = at - np.arange(len(at))
+            ranks[at] = NO_RANK
+            inside = at[~closes]
+            ranks[inside] = self.ranks(ids[inside], ids[inside + 1])
+            inside = at[~opens]
+            ranks[inside - 1] = self.ranks(ids[inside - 1], ids[inside])
+        return out
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list, for words of any length."""
@@ -179,8 +227,46 @@ class Vocabulary:
         return [x for x, live in zip(ids, alive, strict=True) if live]
 
 
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n places each, one behind the other."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before, n) + np.arange(int(n.sum()))
+
+
+def strings(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
+def bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, one behind the other, and their lengths."""
+    words = pa.concat_arrays([words])  # from offset 0
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets).astype(np.int64)
+
+
+@lru_cache(1)
+def simple_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of every code point.
+
+    SPECIAL is whatever may compose with its neighbours, changes when normalised, has no single lower case, stands in
+    the pattern's fixed words or in special tokens, or lies beyond SIMPLE."""
+    classes, lower = np.full(0x110000, SPECIAL, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in range(SIMPLE):
+        x = chr(c)
+        low = x.translate(_LOWER).lower()
+        if x in "'<" or 0x1C <= c < 0x20 or unicodedata.category(x)[0] == "M" or not unicodedata.is_normalized("NFC", x) or len(low) > 1 or _HAS_LATER.match(x):
+            continue
+        classes[c] = LETTER if regex.match(r"\p{L}", x) else NUMBER if regex.match(r"\p{N}", x) else OTHER
+        lower[c] = ord(low)
+    for c in range(0x3001):
+        if _SPACES.match(chr(c)):
+            classes[c] = SPACE
+    return classes, lower
+
+
 class Codec:
-    """Encodes and decodes texts; remembers pieces."""
+    """Encodes and decodes texts; remembers the words that it merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memory: int = MEMORY):
         self.v, self.lexicon, self.limit = vocabulary, lexicon, memory
@@ -188,92 +274,202 @@ class Codec:
         later = self.v.pattern.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{_LATER})+").replace(r"[\p{L}]+", rf"(?:(?!{_LATER})\p{{L}})+").replace(r"[\p{N}]", rf"(?!{_LATER})\p{{N}}")
         self.later_words = regex.compile(later)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) or r"(?!)")
-        # pieces of late, and those before them: (number of ids, ids, tokens); likewise words
-        self.memory: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The text's parts between white space; special tokens are pieces of their own."""
-        if "<" in text and self.special.search(text):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += [*self._split(text[at : m.start()]), m[0]]
-                at = m.end()
-            return out + self._split(text[at:])
-        return self._split(text)
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        return [p for p in _SPACES.split(text) if p] if _SEPARATORS.search(text) else text.split()
-
-    def words_of(self, piece: str) -> list[str]:
-        """The words of a piece after normalising: composed, lower case character by character, split by the pattern."""
-        last = piece[-1]
-        body = piece[:-1] if last in ".,;:!?" else piece
-        if body.isalpha() and (body.isascii() or max(body) < "\u0250") and (low := body.lower()).isalpha():
-            return [low] if body is piece else [low, last]
+        most = max(self.v.tokens, default=0) + 1
+        self.id_text = pa.array(map(str, range(most)), pa.string())
+        self.token_text = pa.array([self.v.tokens.get(i, "") for i in range(most)], pa.string())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # merged word -> its number
+        self.held, self.held_ids = 0, [np.zeros(0, np.int32)]
+        self.known_first, self.known_n = np.zeros(self.limit, np.int64), np.zeros(self.limit, np.int64)
+
+    # --- cutting texts into words
+
+    def special_words(self, piece: str) -> list[str]:
+        """The words of a piece between white space; special tokens are words of their own, as they are."""
+        out, at = [], 0
+        for m in self.special.finditer(piece) if "<" in piece else ():
+            out += [*self._normalised_words(piece[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._normalised_words(piece[at:])
+
+    def _normalised_words(self, piece: str) -> list[str]:
+        """Composed, lower case character by character, split by the pattern."""
         if piece.isascii():
             return self.words.findall(piece.lower())
         piece = unicodedata.normalize("NFC", piece).translate(_LOWER).lower()
         return (self.later_words if _HAS_LATER.search(piece) else self.words).findall(piece)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Remember all pieces of these texts."""
-        if len(self.memory) > self.limit:
-            self.older, self.memory = self.memory, {}
-        if len(self.known) > self.limit:
-            self.known = {}
-        memory, older, known = self.memory, self.older, self.known
-        fresh = set().union(*texts).difference(memory)
-        split = {}
-        for p in fresh:
-            if (found := older.get(p)) is not None:
-                memory[p] = found
-            elif p in self.v.special:
-                memory[p] = self._entry([self.v.special[p]])
-            else:
-                split[p] = self.words_of(p)
-        words = list({w for ws in split.values() for w in ws}.difference(known))
-        raw = [w.encode("utf-8", "replace") for w in words]
-        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
-        unseen = [i for i, rank in enumerate(ranks) if rank < 0]
-        for i, ids in zip(unseen, self.v.merged_many([raw[i] for i in unseen]), strict=True):
-            known[words[i]] = self._entry(ids)
-        for w, rank in zip(words, ranks, strict=True):
-            if rank >= 0:
-                known[w] = self._entry(self.lexicon.ids_of(rank))
-        for p, ws in split.items():
-            if len(ws) == 1:
-                memory[p] = known[ws[0]]
-            else:
-                parts = [known[w] for w in ws]
-                memory[p] = (sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]))
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def cut(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the texts fall into, by arrays: the distinct items; which of them are pieces still to be cut one by one;
+        the texts' items in order, by number; and where each text's items begin (one more than texts)."""
+        classes, lower = simple_classes()
+        data = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
+        kind = classes[data]
+        apart = kind == SPACE
+        low = lower[data]
+        if (odd := np.flatnonzero(kind == SPECIAL)).size:
+            piece = np.cumsum(apart)  # white space before: the same for all of a piece
+            whole = np.zeros(int(piece[-1]) + 1, bool)
+            whole[piece[odd]] = True
+            inside = whole[piece] & ~apart
+            kind[inside] = SPECIAL
+            low[inside] = data[inside]
+        first = ~apart
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        start = np.flatnonzero(first)
+        solid = low[~apart]
+        place = np.flatnonzero(first[~apart])
+        raw = solid.tobytes().decode("utf-32-le").encode()
+        if len(raw) > len(solid):
+            width = np.ones(len(solid), np.int64)
+            for limit in (0x80, 0x800, 0x10000):
+                width += solid >= limit
+            place = (np.cumsum(width) - width)[place]
+        coded = strings(raw, np.append(place, len(raw))).dictionary_encode()
+        items, number = coded.dictionary, coded.indices.to_numpy()
+        special = np.zeros(len(items), bool)
+        special[number[kind[start] == SPECIAL]] = True
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return items, special, number, np.searchsorted(start, begin)
+
+    # --- ids of words
+
+    def word_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one behind the other, and how many each has: from the lexicon, from memory, or by merging."""
+        n = np.zeros(len(words), np.int64)
+        data, lengths = bytes_of(words)
+        rank = self.lexicon.ranks_flat(data, lengths) if self.lexicon else np.full(len(words), -1)
+        seen, other = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        slot = self._learned(words.take(pa.array(other)))
+        if len(seen):
+            n[seen] = self.lexicon.offsets[rank[seen] + 1] - self.lexicon.offsets[rank[seen]]
+        n[other] = self.known_n[slot]
+        flat = np.zeros(int(n.sum()), np.int32)
+        first = np.cumsum(n) - n
+        if len(seen):
+            flat[ragged(first[seen], n[seen])] = self.lexicon.ids[ragged(self.lexicon.offsets[rank[seen]].astype(np.int64), n[seen])]
+        if len(other):
+            flat[ragged(first[other], n[other])] = self.held_ids[0][ragged(self.known_first[slot], n[other])]
+        return flat, n
+
+    def _learned(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of distinct words in memory, after merging those that it lacks."""
+        keys = words.cast(pa.binary()).to_pylist()
+        if len(self.known) + len(keys) > self.limit:
+            self.limit = max(self.limit, len(keys))
+            self._forget()
+        get = self.known.get
+        slot = np.array([get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            data, lengths = bytes_of(words.take(pa.array(new)))
+            ids, n = self.v.merged_flat(data, lengths)
+            at = len(self.known)
+            slot[new] = np.arange(at, at + len(new))
+            self.known.update(zip([keys[i] for i in new.tolist()], slot[new].tolist(), strict=True))
+            self.known_n[slot[new]] = n
+            self.known_first[slot[new]] = self.held + np.cumsum(n) - n
+            if self.held + len(ids) > len(self.held_ids[0]):
+                grown = np.zeros(2 * (self.held + len(ids)), np.int32)
+                grown[: self.held] = self.held_ids[0][: self.held]
+                self.held_ids[0] = grown
+            self.held_ids[0][self.held : self.held + len(ids)] = ids
+            self.held += len(ids)
+        return slot
+
+    def item_ids(self, items: pa.StringArray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of items, one behind the other, and how many each has."""
+        pieces = np.flatnonzero(special)
+        if not len(pieces):
+            return self.word_ids(items)
+        split = [self.special_words(p) for p in items.take(pa.array(pieces)).to_pylist()]
+        plain = np.flatnonzero(~special)
+        listed = [w for ws in split for w in ws]
+        coded = pa.array([w for w in listed if w not in self.v.special], pa.string()).dictionary_encode()
+        words = pa.concat_arrays([items.take(pa.array(plain)), coded.dictionary])
+        words = words.dictionary_encode()
+        flat, n = self.word_ids(words.dictionary)
+        number = words.indices.to_numpy()
+        reserved = sorted(self.v.special.values())
+        flat, first = np.concatenate((flat, np.array(reserved, np.int32))), np.concatenate((np.cumsum(n) - n, len(flat) + np.arange(len(reserved))))
+        n = np.concatenate((n, np.ones(len(reserved), np.int64)))
+        own = iter(number[len(plain) :][coded.indices.to_numpy()].tolist())
+        base = len(first) - len(reserved)
+        parts = np.array([base + reserved.index(self.v.special[w]) if w in self.v.special else next(own) for w in listed], np.int64)
+        size = np.ones(len(items), np.int64)
+        size[pieces] = [len(ws) for ws in split]
+        order = np.zeros(int(size.sum()), np.int64)
+        begin = np.cumsum(size) - size
+        order[begin[plain]] = number[: len(plain)]
+        order[ragged(begin[pieces], size[pieces])] = parts
+        total = np.zeros(len(items), np.int64)
+        np.add.at(total, np.repeat(np.arange(len(items)), size), n[order])
+        return flat[ragged(first[order], n[order])], total
+
+    def chunks(self, texts: list[str]):
+        """Lists of (row, part of its text): whole texts together, and long ones cut at white space."""
+        held, size = [], 0
+        for row, t in enumerate(texts):
+            at = 0
+            while at < len(t) or not at:
+                end = len(t)
+                if end - at > CHUNK:
+                    m = _SPACES.search(t, at + CHUNK)
+                    end = m.end() if m else end
+                if held and size + end - at > CHUNK:
+                    yield held
+                    held, size = [], 0
+                held.append((row, t[at:end]))
+                size += end - at
+                at = max(end, 1)
+        if held:
+            yield held
+
+    def encoded(self, texts: list[str]):
+        """For each chunk: rows, ids of all items and their numbers, items of each part."""
+        for chunk in self.chunks(texts):
+            items, special, number, begin = self.cut([t for _, t in chunk])
+            flat, n = self.item_ids(items, special)
+            yield [row for row, _ in chunk], flat, n, number, begin
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.pieces(t) for t in texts]
-        self.learn(parts)
-        return [list(map(int, " ".join([self.memory[p][1] for p in ps]).split())) for ps in parts]
+        return [r[3].tolist() for r in self.results(texts, digests=False)]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does where a file names no decoder; unknown ids are left out."""
         tokens = self.v.tokens
         return " ".join(tokens[i] for i in ids if i in tokens)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, and digests of the ids and of the decoded text, without building the lists."""
-        parts = [self.pieces(t) for t in texts]
-        self.learn(parts)
-        out = []
-        for ps in parts:
-            found = [m for m in map(self.memory.__getitem__, ps) if m[0]]
-            ids = " ".join([m[1] for m in found]).encode()
-            decoded = " ".join([m[2] for m in found]).encode()
-            out.append((sum([m[0] for m in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return out
+    def results(self, texts: list[str], ids: bool = True, digests: bool = True) -> list[tuple[int, str, str, np.ndarray]]:
+        """Of each text the number of ids, digests of the ids and of the decoded text, and the ids."""
+        counts = [0] * len(texts)
+        hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in texts] if digests else []
+        listed: list[list[np.ndarray]] = [[] for _ in texts]
+        for rows, flat, n, number, begin in self.encoded(texts):
+            keep = n[number] > 0
+            begin = np.concatenate(([0], np.cumsum(keep)))[begin]
+            number = number[keep]
+            first = np.cumsum(n) - n
+            total = np.concatenate(([0], np.cumsum(n[number])))[begin]
+            if digests:
+                offsets = pa.array(np.append(first, len(flat)).astype(np.int32))
+                ends = pa.array(begin.astype(np.int32))
+                for which, text in enumerate((self.id_text, self.token_text)):
+                    words = pc.binary_join(pa.ListArray.from_arrays(offsets, text.take(pa.array(flat))), " ")
+                    lines = pc.binary_join(pa.ListArray.from_arrays(ends, words.take(pa.array(number))), " ")
+                    for row, line in zip(rows, lines.cast(pa.binary()).to_pylist(), strict=True):
+                        if line:
+                            hashes[row][which].update(b" " + line if counts[row] else line)
+            if ids:
+                every = flat[ragged(first[number], n[number])]
+            for k, row in enumerate(rows):
+                counts[row] += int(total[k + 1] - total[k])
+                if ids:
+                    listed[row].append(every[total[k] : total[k + 1]])
+        none = np.zeros(0, np.int32)
+        return [(counts[i], *([h.hexdigest() for h in hashes[i]] if digests else ("", "")), np.concatenate([none, *listed[i]])) for i in range(len(texts))]
 
 
 def default_path() -> str:
@@ -287,23 +483,28 @@ def frequent_words(docs: DataFrame, vocabulary, limit: int) -> list[str]:
 
     def run(batches):
         codec = Codec(vocabulary.value)
+        held: list[pa.Table] = []
 
-        def passed_on(counts):
-            words = Counter()
-            for piece, n in counts.items():
-                for w in codec.words_of(piece):
-                    words[w] += n
-            yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+        def counted():
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        counts = Counter()
         for b in batches:
             for part in bounded_slices(b, "text", MAX_SLICE):
-                for t in part.column("text").to_pylist():
-                    counts.update(codec.pieces(t or ""))
-                    if len(counts) > COUNTED:
-                        yield from passed_on(counts)
-                        counts = Counter()
-        yield from passed_on(counts)
+                for chunk in codec.chunks([t or "" for t in part.column("text").to_pylist()]):
+                    items, special, number, _ = codec.cut([t for _, t in chunk])
+                    n = np.bincount(number, minlength=len(items))
+                    held.append(pa.table({"word": items.filter(pa.array(~special)), "n": pa.array(n[~special])}))
+                    if special.any():
+                        split = [codec.special_words(p) for p in items.filter(pa.array(special)).to_pylist()]
+                        times = np.repeat(n[special], [len(ws) for ws in split])
+                        held.append(pa.table({"word": pa.array([w for ws in split for w in ws], pa.string()), "n": pa.array(times)}))
+                    if sum(len(t) for t in held) > 2 * COUNTED:
+                        held = [counted()]
+                        if len(held[0]) > COUNTED:
+                            yield from held[0].to_batches()
+                            held = []
+        if held:
+            yield from counted().to_batches()
 
     words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(r.word for r in most_frequent(words, limit, "bpe-words").select("word").collect())
@@ -316,7 +517,7 @@ class Shared:
         vocabulary = Vocabulary(path or default_path())
         context = docs.sparkSession.sparkContext
         self.vocabulary = context.broadcast(vocabulary)
-        listed = [w.encode("utf-8", "replace") for w in frequent_words(docs, self.vocabulary, words) if w]
+        listed = [w.encode() for w in frequent_words(docs, self.vocabulary, words) if w and w not in vocabulary.special]
         self.lexicon = context.broadcast(compile_words(dict(zip(listed, map(tuple, vocabulary.merged_many(listed)), strict=True))))
 
     def codec(self) -> Codec:
@@ -335,20 +536,22 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXI
         for b in batches:
             for part in bounded_slices(b, "text", MAX_SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                n, ids, decoded = zip(*codec.digests(texts), strict=True)
+                n, ids, decoded, every = zip(*codec.results(texts, with_ids), strict=True)
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-                cols += [pa.array(codec.encode(texts), pa.list_(pa.int32()))] if with_ids else []
+                if with_ids:
+                    ends = pa.array(np.cumsum([0, *map(len, every)]).astype(np.int32))
+                    cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(every), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
 def shared_codec(shared: Shared) -> Codec:
-    """One codec per worker process and lexicon, kept from task to task."""
-    key = hash(shared.lexicon.value)
+    """One codec per worker process, vocabulary and lexicon, kept from task to task."""
+    key = shared.vocabulary.value.digest, hash(shared.lexicon.value)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = shared.codec()

@@ -100,14 +100,16 @@ class Lexicon:
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Each word's rank among the compiled ones, or -1."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(self.keys) or not words:
+        return self.ranks_flat(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def ranks_flat(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The same for words whose bytes stand one behind the other."""
+        out = np.full(len(lengths), -1, np.int64)
+        if not len(self.keys) or not len(lengths):
             return out
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(lengths) - lengths
-        rows = np.arange(len(words))
-        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        rows = np.arange(len(lengths))
+        state, rank = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         step = 0
         while len(rows):
             ended = lengths[rows] == step

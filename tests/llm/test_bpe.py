@@ -60,3 +60,49 @@ def test_lexicon_holds_its_words_and_no_others(entries, others):
     for word, rank in zip(words, lexicon.ranks(words).tolist(), strict=True):
         assert (rank >= 0) == (word in entries)
         assert rank < 0 or tuple(lexicon.ids_of(rank)) == entries[word]
+
+
+def test_long_texts_are_cut_at_white_space_only(codec, library, monkeypatch):
+    """Chunks of a few characters give the same ids, whatever the text."""
+    from cytolake.llm import bpe
+
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    texts = ["", "été the of thand it's 12 <|endoftext|>x y" * 5, "a" * 40, " \n ", "the of", "hello, hello! hello"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert codec.encode(texts) == want
+
+
+def test_a_full_memory_changes_no_ids(codec, library):
+    small = Codec(codec.v, codec.lexicon, memory=3)
+    for _ in range(3):
+        same(small, library, ["zork plugh xyzzy frob quux it's", "the of blorb zork naïve Ünïcødé"])
+
+
+def test_digests_are_those_of_the_ids_and_of_the_decoded_text(codec, library):
+    import hashlib
+
+    texts = ["", "  ", "Hello the world!! été", "<|endoftext|>", "x" * 100 + " y"]
+    for text, (n, ids, decoded, _) in zip(texts, codec.results(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert n == len(want)
+        assert ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_codecs_of_two_vocabularies_are_told_apart(tmp_path, codec):
+    """Also where their lexicons are the same."""
+    import json
+    from types import SimpleNamespace
+
+    from cytolake.llm import bpe
+
+    spec = json.load(open(default_path(), encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][:100]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    empty = SimpleNamespace(value=compile_words({}))
+    found = []
+    for path in (default_path(), str(tmp_path / "other.json")):
+        shared = bpe.Shared.__new__(bpe.Shared)
+        shared.vocabulary, shared.lexicon = SimpleNamespace(value=Vocabulary(path)), empty
+        found.append(bpe.shared_codec(shared).encode(["something"])[0])
+    assert len(found[0]) < len(found[1])
