@@ -338,7 +338,7 @@ def test_neighbours_by_brute_force(spark):
     vecs = rng.normal(size=(600, 24)).astype(np.float32)
     vecs[300:330] = vecs[0]  # ties
     rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(vecs)]
-    rows += [(1000, None, ""), (1001, [0.0] * 24, ""), (1002, [math.nan] * 24, ""), (1003, [None] + [1.0] * 23, ""), (1020, [math.inf] + [1.0] * 23, ""), (None, [1.0] * 24, ""), (1004, [1.0], "")]
+    rows += [(1000, None, ""), (1001, [0.0] * 24, ""), (1002, [math.nan] * 24, ""), (1003, [None] + [1.0] * 23, ""), (1020, [math.inf] + [1.0] * 23, ""), (None, [1.0] * 24, ""), (1004, [1.0], ""), (1005, [], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = {}
     for r in ann.nearest(df).collect():
@@ -357,6 +357,41 @@ def test_neighbours_by_brute_force(spark):
     assert len(few) == 4 and [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("size", [64, 1 << 13])
+def test_neighbours_in_clusters_of_copies_and_of_several_lengths(spark, monkeypatch, size):
+    """Blocks of few vectors, a vector that a third of the rows repeat, repeated ids, and vectors of three lengths."""
+    monkeypatch.setattr(ann, "MIN_BLOCK", size)
+    monkeypatch.setattr(ann, "TASK_QUERIES", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16))
+    vecs = [(centres[i % 6] + 0.3 * rng.normal(size=16)).tolist() for i in range(600)]
+    for i in range(0, 600, 3):
+        vecs[i] = vecs[0]
+    vecs[300:360] = [rng.normal(size=3).tolist() for _ in range(60)]
+    vecs[360:380] = [[float(i + 1)] for i in range(20)]
+    rows = [(i, v, i) for i, v in enumerate(vecs)] + [(40, vecs[1], 0), (40, vecs[1], 0), (7, vecs[2], 0), (7, vecs[7], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block long").repartition(3)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    hits = wanted = 0
+    for q, found in got.items():
+        own = {tuple(v) for i, v, _ in rows if i == q}
+        assert len(own) == (2 if q == 40 else 1)
+        near = []
+        for w in own:
+            near += sorted(((-float(np.dot(v, w)), i) for i, v, _ in rows if i != q and len(v) == len(w)))[:20]
+        wanted += len(near)
+        assert len(found) == len(near)
+        left = sorted((round(-s, 9), i) for s, i in near)
+        for _, i, s in found:
+            if (round(s, 9), i) in left:
+                left.remove((round(s, 9), i))
+                hits += 1
+    assert hits >= 0.97 * wanted
+
+
 # --- 9: urls
 
 
