@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import ahocorasick
@@ -46,46 +47,102 @@ MIME = {
 RIFF_FORMS = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}
 
 
-def _png(b: bytes, at: int):
-    i = at + 8
-    while i + 12 <= len(b):
-        n = int.from_bytes(b[i : i + 4], "big")
-        if i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != int.from_bytes(b[i + 8 + n : i + 12 + n], "big"):
+class Marks:
+    """Where trailers and end records stand in the bytes, found once; and where walks from part to part led nowhere."""
+
+    def __init__(self, b: bytes):
+        self.b, self.found, self.dead = b, {}, set()
+
+    def of(self, mark: bytes) -> list[int]:
+        """All positions of a mark, in order."""
+        if mark not in self.found:
+            at, listed = self.b.find(mark), []
+            while at >= 0:
+                listed.append(at)
+                at = self.b.find(mark, at + 1)
+            self.found[mark] = listed
+        return self.found[mark]
+
+    def last(self, mark: bytes, begin: int, end: int) -> int:
+        """The last position from begin at which the mark ends by end, or -1."""
+        listed = self.of(mark)
+        i = bisect_right(listed, end - len(mark)) - 1
+        return listed[i] if i >= 0 and listed[i] >= begin else -1
+
+    def next(self, mark: bytes, begin: int) -> int:
+        listed = self.of(mark)
+        i = bisect_left(listed, begin)
+        return listed[i] if i < len(listed) else -1
+
+    def headers(self) -> list[int]:
+        """Headers of PDF: with a digit behind."""
+        if "pdf" not in self.found:
+            self.found["pdf"] = [i for i in self.of(b"%PDF-") if self.b[i + 5 : i + 6].isdigit()]
+        return self.found["pdf"]
+
+    def archives(self) -> dict[int, int]:
+        """Where ZIP archives begin, by their end records, and where the first such record's archive ends."""
+        if "zip" not in self.found:
+            b, ends = self.b, {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(b):
+                    size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+                    at = end - size - offset
+                    if at >= 0 and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b):
+                        ends.setdefault(at, end + 22 + comment)
+            self.found["zip"] = ends
+        return self.found["zip"]
+
+    def walk(self, kind: str, at: int, step):
+        """Where a chain of parts ends that begins at `at`: step(i) gives the next part's place, a negative number less one
+        than minus the end, or None. A place from which a walk failed is not walked from again."""
+        path, i = [], at
+        while i is not None and i >= 0 and (kind, i) not in self.dead:
+            path.append((kind, i))
+            i = step(i)
+        if i is None or i >= 0:
+            self.dead.update(path)
             return None
-        if i == at + 8 and b[i + 4 : i + 8] != b"IHDR":
+        return -i - 1
+
+
+def _png(b: bytes, at: int, marks: Marks):
+    def chunk(i):
+        n = int.from_bytes(b[i : i + 4], "big")
+        if i + 12 + n > len(b) or zlib.crc32(memoryview(b)[i + 4 : i + 8 + n]) != int.from_bytes(b[i + 8 + n : i + 12 + n], "big"):
             return None
-        if b[i + 4 : i + 8] == b"IEND":
-            return "png", i + 12 - at
-        i += 12 + n
-    return None
+        return -(i + 12) - 1 if b[i + 4 : i + 8] == b"IEND" else i + 12 + n
+
+    end = marks.walk("png", at + 8, chunk) if b[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
+    return ("png", end - at) if end else None
 
 
-def _jpeg(b: bytes, at: int):
-    i = at + 2
-    while i + 4 <= len(b) and b[i] == 0xFF:
+def _jpeg(b: bytes, at: int, marks: Marks):
+    def segment(i):
+        if i + 4 > len(b) or b[i] != 0xFF:
+            return -(i + 2) - 1 if b[i : i + 2] == b"\xff\xd9" else None
         if b[i + 1] == 0xD9:
-            return "jpeg", i + 2 - at
+            return -(i + 2) - 1
         n = int.from_bytes(b[i + 2 : i + 4], "big")
         if n < 2 or i + 2 + n > len(b):
             return None
-        if b[i + 1] == 0xDA:  # entropy-coded data: up to the next marker that is neither stuffing nor a restart
-            i += 2 + n
-            while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b) and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
-                i += 2
-            if i < 0:
-                return None
-        else:
-            i += 2 + n
-    return None
+        if b[i + 1] != 0xDA:
+            return i + 2 + n
+        i += 2 + n  # entropy-coded data: up to the next marker that is neither stuffing nor a restart
+        while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b) and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
+            i += 2
+        return i if i >= 0 else None
 
+    end = marks.walk("jpeg", at + 2, segment)
+    return ("jpeg", end - at) if end else None
 
-def _gif(b: bytes, at: int):
-    if at + 13 > len(b):
-        return None
-    i = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while i < len(b):
+
+def _gif(b: bytes, at: int, marks: Marks):
+    def block(i):
+        if i >= len(b):
+            return None
         if b[i] == 0x3B:
-            return "gif", i + 1 - at
+            return -(i + 1) - 1
         if b[i] == 0x21:
             i += 2
         elif b[i] == 0x2C and i + 10 <= len(b):
@@ -94,11 +151,15 @@ def _gif(b: bytes, at: int):
             return None
         while i < len(b) and b[i]:
             i += 1 + b[i]
-        i += 1
-    return None
+        return i + 1
+
+    if at + 13 > len(b):
+        return None
+    end = marks.walk("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), block)
+    return ("gif", end - at) if end else None
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(b: bytes, at: int, marks: Marks):
     if at + 30 > len(b):
         return None
     size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -106,7 +167,7 @@ def _bmp(b: bytes, at: int):
     return ("bmp", size) if ok else None
 
 
-def _riff(b: bytes, at: int):
+def _riff(b: bytes, at: int, marks: Marks):
     kind = RIFF_FORMS.get(bytes(b[at + 8 : at + 12]))
     size = int.from_bytes(b[at + 4 : at + 8], "little")
     if kind is None or size < 4 or at + 8 + size > len(b):
@@ -118,27 +179,24 @@ def _riff(b: bytes, at: int):
     return (kind, 8 + size) if i == end or i == end + 1 else None
 
 
-def _pdf(b: bytes, at: int):
+def _pdf(b: bytes, at: int, marks: Marks):
     """To the last trailer before the next header that has a trailer of its own."""
-    last = b.rfind(b"startxref", at, max(b.rfind(b"%%EOF", at), at))
-    following = b.find(b"%PDF-", at + 5)
-    while 0 <= following < last and not b[following + 5 : following + 6].isdigit():
-        following = b.find(b"%PDF-", following + 5)
-    end = b.rfind(b"%%EOF", at, following if 0 <= following < last else len(b))
-    return ("pdf", end + 5 - at) if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
-
-
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(b):
-            return "zip", end + 22 + comment - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    headers = marks.headers()
+    i = bisect_left(headers, at)
+    if i == len(headers) or headers[i] != at:
+        return None
+    last = marks.last(b"startxref", at, max(marks.last(b"%%EOF", at, len(b)), at))
+    following = headers[i + 1] if i + 1 < len(headers) else -1
+    end = marks.last(b"%%EOF", at, following if 0 <= following < last else len(b))
+    return ("pdf", end + 5 - at) if end > 0 and 0 < marks.next(b"startxref", at) <= end - len(b"startxref") else None
+
+
+def _zip(b: bytes, at: int, marks: Marks):
+    end = marks.archives().get(at)
+    return ("zip", end - at) if end else None
 
 
-def _gzip(b: bytes, at: int):
+def _gzip(b: bytes, at: int, marks: Marks):
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     try:
@@ -154,15 +212,16 @@ def _gzip(b: bytes, at: int):
         return None
 
 
-def _ogg(b: bytes, at: int):
-    i = at
-    while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0":
+def _ogg(b: bytes, at: int, marks: Marks):
+    def page(i):
+        if b[i : i + 5] != b"OggS\0" or i + 27 > len(b):
+            return -i - 1
         n = b[i + 26]
         size = 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i + size > len(b):
-            return None
-        i += size
-    return ("ogg", i - at) if i > at else None
+        return i + size if i + size <= len(b) else None
+
+    end = marks.walk("ogg", at, page)
+    return ("ogg", end - at) if end and end > at else None
 
 
 def _flac_head(b: bytes, at: int) -> int | None:
@@ -178,12 +237,12 @@ def _flac_head(b: bytes, at: int) -> int | None:
     return None
 
 
-def _flac(b: bytes, at: int):
+def _flac(b: bytes, at: int, marks: Marks):
     """Frames carry no length, so the item reaches to the end of the bytes."""
     return ("flac", len(b) - at) if _flac_head(b, at) else None
 
 
-def _au(b: bytes, at: int):
+def _au(b: bytes, at: int, marks: Marks):
     if at + 24 > len(b):
         return None
     start, size, coding, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
@@ -192,7 +251,7 @@ def _au(b: bytes, at: int):
     return ("au", start + size) if ok and 0 <= size <= len(b) - at - start else None
 
 
-def _mp4(b: bytes, at: int):
+def _mp4(b: bytes, at: int, marks: Marks):
     i = at
     while i + 8 <= len(b) and b[i + 4 : i + 8].isalnum():
         n = int.from_bytes(b[i : i + 4], "big")
@@ -220,11 +279,12 @@ def sniff(data: bytes, declared: str | None = None) -> dict:
     An item that lies in another carved one is part of it and is not listed again; but what lies behind the head of FLAC,
     whose end is not known, is."""
     hits = sorted((end + 1 - back, kind) for end, (back, kind) in _automaton().iter(data.decode("latin-1")) if end + 1 >= back)
+    marks = Marks(data)
     whole, carved, covered = None, [], 0
     for at, kind in hits:
         if at and at < covered:
             continue
-        if item := VALIDATORS[kind](data, at):
+        if item := VALIDATORS[kind](data, at, marks):
             if at == 0:
                 whole = item
             else:

@@ -104,6 +104,19 @@ def test_items_behind_pdf_and_flac_are_carved():
     assert [c[0] for c in media.sniff(b"x" + flac + b"frames" + png())["carved"]] == ["flac", "png"]
 
 
+@pytest.mark.parametrize("data", [
+    (b"PK\x03\x04" + b"." * 30) * 30_000 + (b"PK\x05\x06" + b"\1" * 18) * 30_000, b"%PDF-1.4 " * 100_000 + b"startxref %%EOF " * 100_000, (b"OggS\0" + b"\0" * 21 + b"\1\xff" + b"x" * 255) * 8_000 + b"OggS\0" + b"\0" * 21 + b"\xff",
+    b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR" * 60_000, b"GIF89a" * 200_000, b"\xff\xd8\xff\xe0\0\x04ab" * 150_000,
+], ids=["zip", "pdf", "ogg", "png", "gif", "jpeg"])
+def test_sniffing_takes_time_in_proportion(data):
+    """A megabyte or two of headers that lead nowhere, each of which would be followed to the end."""
+    import time
+
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 8
+
+
 # --- 2: n-gram join
 
 
