@@ -42,12 +42,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def extra_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates of the added kind: mixed runs that no base span overlaps."""
-    return [
-        (m.start(), 3, m.end(), m[0])
-        for m in TOKEN.finditer(text)
-        if all(p.search(m[0]) for p in MIXED) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)
-    ]
+    """Candidates of the added kind: mixed runs that no base span overlaps. base is in order of start."""
+    out, i, reach = [], 0, 0  # reach: the furthest end of the base spans that start before the run's end
+    for m in TOKEN.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= m.start() and all(p.search(m[0]) for p in MIXED):
+            out.append((m.start(), 3, m.end(), m[0]))
+    return out
 
 
 def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
