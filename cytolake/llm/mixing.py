@@ -2,7 +2,8 @@
 
 Sizes are summed by source and by the leading bits of a document's hash; the bucket in which a source's budget runs
 out is refined by the next bits, and the hash value found there is the source's threshold. Nothing is sorted by
-document, and every document's decision is a comparison with its source's threshold.
+document, and every document's decision is a comparison with its source's threshold. Documents that share the boundary
+hash are told apart by a hash of their texts, and rows that are equal in that too are counted off.
 """
 
 from __future__ import annotations
@@ -59,68 +60,98 @@ def _same_source(a: DataFrame, b: DataFrame) -> Column:
     return a["src"].eqNullSafe(b["src"])
 
 
-def thresholds(items: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the hash below which documents are taken once more, so that their sizes come nearest to its budget.
+def _boundary(items: DataFrame, state: DataFrame, column: str) -> DataFrame:
+    """Per source of state (src, rest, at: equal columns so far) the value of a hash column at which rest runs out.
 
-    items: src, size, u (HASH_BITS hash bits). Each level sums sizes by source and bucket, and keeps the bucket in which
-    the cumulated sizes pass the budget; a source whose documents all fit keeps none and takes the whole range."""
-    state = targets.select("src", F.col("budget").alias("rest"), F.lit(0).cast("long").alias("prefix"))
-    done, used = 0, [*LEVEL_BITS, HASH_BITS - sum(LEVEL_BITS)]
-    for bits in used:
+    Each level sums sizes by source and bucket, and keeps the bucket in which the cumulated sizes pass rest; a source
+    whose documents all fit keeps none. Returns src, rest (what is left before that value), the value by the column's
+    name, and rows, how many have it."""
+    state = state.withColumn("prefix", F.lit(0).cast("long"))
+    done = 0
+    for bits in [*LEVEL_BITS, HASH_BITS - sum(LEVEL_BITS)]:
         shift = HASH_BITS - done - bits
-        bucket = F.shiftrightunsigned(items["u"], shift)
-        hist = (
-            items.join(state, _same_source(items, state) & (F.shiftrightunsigned(items["u"], HASH_BITS - done) == state["prefix"]))
-            .groupBy(items["src"].alias("src"), bucket.alias("bucket"), state["rest"].alias("rest"))
-            .agg(F.sum("size").alias("n"))
-        )
-        run = Window.partitionBy("src").orderBy("bucket")
-        past = hist.withColumn("upto", F.sum("n").over(run)).where(F.col("upto") > F.col("rest"))
-        found = past.groupBy("src").agg(F.min_by(F.struct("bucket", "n", "upto", "rest"), "bucket").alias("b"))
-        state = materialize(
-            found.select("src", (F.col("b.rest") - (F.col("b.upto") - F.col("b.n"))).alias("rest"), F.col("b.bucket").alias("prefix"), F.col("b.n").alias("n")),
-            "mix-level",
-        )
+        same = _same_source(items, state) & (F.shiftrightunsigned(items[column], HASH_BITS - done) == state["prefix"])
+        for c in set(state.columns) - {"src", "rest", "prefix"}:
+            same &= items[c] == state[c]
+        kept = [state[c] for c in state.columns if c not in ("src", "prefix")]
+        hist = items.join(state, same).groupBy(items["src"].alias("src"), *kept, F.shiftrightunsigned(items[column], shift).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        past = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("src").orderBy("bucket"))).where(F.col("upto") > F.col("rest"))
+        found = past.groupBy("src").agg(F.min_by(F.struct(*[c for c in past.columns if c != "src"]), "bucket").alias("b"))
+        rest = (F.col("b.rest") - (F.col("b.upto") - F.col("b.n"))).alias("rest")
+        last = [F.col("b.rows").alias("rows")] if not shift else []
+        state = materialize(found.select("src", rest, *[f"b.{c}" for c in state.columns if c not in ("src", "rest", "prefix")], F.col("b.bucket").alias("prefix"), *last), "mix-level")
         done += bits
-    # the boundary hash itself is taken if that comes nearer to the budget than leaving it
-    edge = state.select("src", (F.col("prefix") + F.when(F.col("n") < 2 * F.col("rest"), 1).otherwise(0)).alias("edge"))
-    t = targets.alias("t")
-    e = edge.alias("e")
-    return t.join(e, F.col("t.src").eqNullSafe(F.col("e.src")), "left").select(
-        "t.*", F.when(F.col("budget") <= 0, F.lit(0)).otherwise(F.coalesce(F.col("e.edge"), F.lit(1 << HASH_BITS))).cast("long").alias("edge")
-    )
+    return state.withColumnRenamed("prefix", column)
+
+
+def thresholds(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with edge, edge2 and more: a document is taken once more if its hash u is below edge, or equal and its
+    text's hash v is below edge2; of those that are equal in both, `more` rows are.
+
+    items: src, size, u, v (HASH_BITS hash bits each). Sources whose documents all fit take the whole range."""
+    at_u = _boundary(items, targets.where(F.col("budget") > 0).select("src", F.col("budget").alias("rest")), "u")
+    if at_u.where("rows > 1").isEmpty():
+        found = at_u.withColumn("v", F.lit(None).cast("long"))
+    else:
+        found = _boundary(items, at_u.select("src", "rest", "u"), "v")
+    at = items.join(found.select(F.col("src").alias("src_"), F.col("u").alias("u_"), F.col("v").alias("v_"), "rest"), F.col("src").eqNullSafe(F.col("src_")) & (F.col("u") == F.col("u_")) & F.coalesce(F.col("v") == F.col("v_"), F.lit(True)))
+    # equal rows have one size; so many of them come nearest to what is left
+    edge = at.groupBy("src", "u", "v_").agg(F.ceil(F.first("rest") / F.max("size") - 0.5).alias("more"))
+    t, e = targets.alias("t"), edge.alias("e")
+    whole = F.when(F.col("budget") <= 0, F.lit(0)).otherwise(F.coalesce(F.col("e.u"), F.lit(1 << HASH_BITS))).cast("long")
+    any_text = F.col("e.u").isNotNull() & F.col("e.v_").isNull()  # no other row shares the boundary hash
+    return t.join(e, F.col("t.src").eqNullSafe(F.col("e.src")), "left").select("t.*", whole.alias("edge"), F.coalesce("e.v_", F.lit(-1)).alias("edge2"), F.coalesce("e.more", F.lit(0)).alias("more"), any_text.alias("any_text"))
+
+
+def repeats(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (src, size, u, v and any others) with source_size, target and times, how often the mix takes each."""
+    cut = thresholds(rows.select("src", "size", "u", "v"), targets)
+    both = rows.join(cut, _same_source(rows, cut)).drop(cut["src"])
+    # v decides only where several rows share the boundary hash
+    tie = (F.col("u") == F.col("edge")) & (F.col("any_text") | (F.col("v") == F.col("edge2")))
+    below = (F.col("u") < F.col("edge")) | ((F.col("u") == F.col("edge")) & (F.col("v") < F.col("edge2")))
+    plain = both.where(~tie).withColumn("times", F.col("copies") + F.when(below, 1).otherwise(0))
+    # rows at the boundary are numbered by the task that wrote them, each task from where those before it end
+    at = materialize(both.where(tie).withColumn("nth", F.monotonically_increasing_id()), "mix-boundary")
+    task = F.shiftright("nth", 33)
+    counts = at.groupBy("src", task.alias("task")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("src").orderBy("task")
+    counts = counts.select(F.col("src").alias("src_"), "task", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    numbered = at.withColumn("place", F.row_number().over(Window.partitionBy("src", task).orderBy("nth"))).join(counts, F.col("src").eqNullSafe(F.col("src_")) & (task == F.col("task")))
+    numbered = numbered.withColumn("times", F.col("copies") + F.when(F.col("place") + F.col("before") <= F.col("more"), 1).otherwise(0))
+    return plain.unionByName(numbered.select(plain.columns)).drop("copies", "budget", "edge", "edge2", "more", "any_text")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
-    Null texts have size 0 and are taken 0 times; a null source is a source of its own, last in order. Rows that repeat
-    an id share its hash and so its decision. Empty tables give no rows. Reruns agree: hashes depend on ids only."""
+    Null and empty texts, and those of white space, have size 0 and are taken 0 times; a null source is a source of its
+    own, last in order. Rows that repeat an id are told apart by their texts, equal rows are counted off, so that hot
+    ids and null ids do not miss the target. Long texts are counted without being split. Other columns are not read,
+    whatever their names. Empty tables give no rows. Reruns agree: hashes depend on ids and texts only."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     items = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("u")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("u"), document_hash(text).alias("v")),
         "mix-sizes",
     )
     targets = materialize(source_targets(items.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_repeat), "mix-targets")
-    cut = thresholds(items, targets)
-    taken = F.col("size") * (F.col("copies") + F.when(F.col("u") < F.col("edge"), 1).otherwise(0))
-    return items.join(cut, _same_source(items, cut)).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return repeats(items, targets).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each as often as it is taken, in the columns of docs. Texts without words have no size, so
-    the mix takes none of them."""
-    decided = docs.withColumn("mix_size_", word_count(F.col("text"))).withColumn("mix_u_", document_hash(F.col("doc_id")))
-    small = decided.select(F.col("doc_id"), F.col("source").alias("src"), F.col("mix_size_").alias("size"), F.col("mix_u_").alias("u"))
-    items = materialize(small, "mix-sizes")
+    """The documents of the mix: each as often as it is taken, in the columns of docs, which may have any names besides
+    doc_id, text and source.
+
+    Texts without words (null, empty, white space) have no size, so the mix takes none of them. Ties, repeated rows, null
+    ids and sources, and empty tables are as in mix()."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name of the table meets one of this function
+    col = lambda name: F.col(f"c{docs.columns.index(name)}")
+    text = F.coalesce(col("text"), F.lit(""))
+    decided = own.select("*", col("source").alias("src"), word_count(col("text")).alias("size"), document_hash(col("doc_id")).alias("u"), document_hash(text).alias("v"))
+    items = materialize(decided.select("src", "size", "u", "v"), "mix-sizes")
     targets = materialize(source_targets(items.groupBy("src").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    cut = thresholds(items, targets).select(F.col("src").alias("mix_src_"), F.col("copies").alias("mix_copies_"), F.col("edge").alias("mix_edge_"))
-    repeats = (F.col("mix_copies_") + F.when(F.col("mix_u_") < F.col("mix_edge_"), 1).otherwise(0)).cast("int")
-    return (
-        decided.join(cut, F.col("source").eqNullSafe(F.col("mix_src_")))
-        .where((F.col("mix_size_") > 0) & (repeats > 0))
-        .withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), repeats)))
-        .select(*docs.columns)
-    )
+    times = repeats(decided.where("size > 0"), targets).where("times > 0")
+    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*own.columns).toDF(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +161,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH items AS (
   SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '?')), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '?')), 1, 15))::BIGINT AS u, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS v
   FROM documents),
 sums AS (SELECT src, sum(size)::BIGINT AS source_size FROM items GROUP BY src),
 weighted AS (
@@ -149,13 +180,7 @@ copied AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN capped THEN 3 ELSE least(3, floor(target / source_size)) END::BIGINT AS copies FROM targets),
 budgets AS (SELECT *, greatest(0, target - copies * source_size) AS budget FROM copied),
 cum AS (
-  SELECT i.*, b.source_size, b.target, b.copies, b.budget,
-         sum(size) OVER (PARTITION BY i.src ORDER BY u RANGE UNBOUNDED PRECEDING) AS upto,
-         sum(size) OVER (PARTITION BY i.src, u) AS n
-  FROM items i JOIN budgets b ON i.src IS NOT DISTINCT FROM b.src),
-edges AS (SELECT src, min(CASE WHEN upto > budget THEN u END) AS edge FROM cum GROUP BY src)
-SELECT doc_id, size, source_size, target,
-       (size * (copies + CASE WHEN budget > 0 AND (edge IS NULL OR u < edge
-            OR (u = edge AND n < 2 * (budget - (upto - n)))) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM cum JOIN edges e ON cum.src IS NOT DISTINCT FROM e.src
+  SELECT i.*, b.source_size, b.target, b.copies, b.budget, sum(size) OVER (PARTITION BY i.src ORDER BY u, v ROWS UNBOUNDED PRECEDING) AS upto
+  FROM items i JOIN budgets b ON i.src IS NOT DISTINCT FROM b.src)
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN budget > 0 AND upto - size / 2::DOUBLE < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM cum
 """

@@ -305,6 +305,34 @@ def test_mix(docs, rows, empty):
     assert repeated.count() == sum(r.taken // r.size for r in got if r.size) and repeated.columns == docs.columns
 
 
+@pytest.mark.parametrize("key", [7, None])
+@pytest.mark.parametrize("texts", [1, 40])
+def test_rows_of_one_id_meet_the_target(spark, key, texts):
+    """A third of all rows share an id, with one text or several; other rows are unique."""
+    import duckdb
+
+    rows = [(key, " ".join(["w"] * (1 + i % texts)), "a") for i in range(1000)] + [(i + 10, "w " * (1 + i % 9), "b" if i % 2 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for s in {r.target for r in got}:
+        own = [r for r in got if r.target == s]
+        assert abs(sum(r.taken for r in own) - s) <= max(r.size for r in own)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(mixing.OP6_SQL).fetchall()
+    assert sorted(map(repr, want)) == sorted(map(repr, map(tuple, got)))
+    kept = mixing.mixed_documents(df)
+    assert kept.count() == sum(r.taken // r.size for r in got)
+
+
+def test_mixing_keeps_columns_with_any_names(spark):
+    names = ["src", "size", "u", "v", "copies", "edge", "edge2", "more", "any_text", "times", "nth", "place", "copy", "c0", "task", "before", "budget", "target", "source_size", "rest", "rows", "n"]
+    df = spark.createDataFrame([(i, "a b " * i, "x" if i % 2 else "y", *(f"{n}{i}" for n in names)) for i in range(12)], ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.exceptAll(df.crossJoin(spark.range(3)).drop("id")).count() == 0 and out.count()
+
+
 def test_caps_are_filled_and_the_rest_shared(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), (None, 400)], "src string, source_size long")
     t = {r.src: r for r in mixing.source_targets(df).collect()}
