@@ -541,13 +541,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with one of each component: the smallest id, then the smallest text hash. Texts without words
-    are linked with nothing and stay."""
+    (null, empty, white space) are linked with nothing and stay, repeated or not; a null id is larger than any other. The
+    columns are those of docs, which may have any names besides doc_id and text. An empty table stays empty."""
     first = joined_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(F.col("root").isNotNull())
-    first = first.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("id_"), F.col("r.text_hash").alias("hash_"))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(worded).withColumn("hash_", F.xxhash64("text"))
-    kept = keyed.join(first, (keyed["hash_"] == first["hash_"]) & keyed["doc_id"].cast("long").eqNullSafe(first["id_"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "hash_"]).select(*docs.columns).unionByName(docs.where(~worded))
+    first = first.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("hash"))
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name of the table meets one of this function
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    worded = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = own.where(worded).withColumn("text_hash", F.xxhash64(text))
+    kept = keyed.join(first, (F.col("text_hash") == F.col("hash")) & doc_id.cast("long").eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates([f"c{docs.columns.index('doc_id')}", "text_hash"]).select(*own.columns).unionByName(own.where(~worded)).toDF(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

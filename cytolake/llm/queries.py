@@ -20,6 +20,7 @@ QUERIES = {
 
 SQL = {
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
+    "op4_secret_scans": secrets.OP4_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
     "op7_license_lines": licenses.OP7_LINES_SQL,

@@ -75,58 +75,63 @@ def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
 
 def judged(scanned: DataFrame, min_owners: int, min_repos: int) -> DataFrame:
     """Spans by row id: start, kind, end, live. A value is an example if at least min_owners owners and min_repos
-    repositories have it. Null owners and repositories are no owner and no repository."""
+    repositories have it. Null owners and repositories are no owner and no repository.
+
+    Only the examples are joined back to the spans: few values, written as a table so that the planner knows its size."""
     flat = scanned.select("rid", "repo", "owner", F.explode("found").alias("s")).select("rid", "repo", "owner", "s.*")
-    shared = (
-        flat.groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-        .select("h", ((F.col("owners") >= min_owners) & (F.col("repos") >= min_repos)).alias("example"))
-    )
-    spans = flat.select("rid", "start", "kind", "end", "h").join(shared, "h")
-    keep = (F.col("kind") < 3) | ~F.col("example")
-    return spans.where(keep).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", (~F.col("example")).alias("live")))).alias("spans"))
+    counts = flat.groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
+    examples = materialize(counts.where((F.col("owners") >= min_owners) & (F.col("repos") >= min_repos)).select("h", F.lit(True).alias("example")), "secrets-examples")
+    spans = flat.select("rid", "start", "kind", "end", "h").join(examples, "h", "left").withColumn("live", F.col("example").isNull())
+    return spans.where((F.col("kind") < 3) | F.col("live")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = 3, min_repos: int = 3) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token (spans that the method adds), n_example.
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token (spans that the method adds), n_example and
+    n_live: how many of the spans have values that are widely shared, and how many have others.
 
-    Null and empty texts have no spans. Repeated rows are found each, and are one repository by their id."""
+    Null and empty texts have no spans. Repeated rows are found each, and are one repository by their id. Spans of a kind
+    do not overlap; those that start together are in the order of KINDS. Long texts are read in time proportional to
+    their length. Columns besides the ones named are not read, whatever their names. An empty table gives no rows."""
     scanned = scan(docs, repo_col, owner_col)
     spans = judged(scanned, min_owners, min_repos)
     both = scanned.join(spans, "rid", "left")
     n = lambda k: F.coalesce(F.size(F.filter("spans", lambda s: s["kind"] == k)), F.lit(0)).cast("long")
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    examples = F.coalesce(F.size(F.filter("spans", lambda s: ~s["live"])), F.lit(0)).cast("long")
+    n_live = F.coalesce(F.size(F.filter("spans", lambda s: s["live"])), F.lit(0)).cast("long")
     fixed = lambda c: F.when(F.col("spans").isNull(), 0).otherwise(c).cast("long")
     return both.select(
         "doc_id", fixed(n(0)).alias("n_assign"), fixed(n(1)).alias("n_access"), fixed(n(2)).alias("n_hex"), "base_sha256",
-        F.coalesce(joined, F.lit("")).alias("spans"), fixed(n(3)).alias("n_token"), fixed(examples).alias("n_example"),
+        F.coalesce(joined, F.lit("")).alias("spans"), fixed(n(3)).alias("n_token"), fixed(F.size("spans") - n_live).alias("n_example"), fixed(n_live).alias("n_live"),
     )
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", min_owners: int = 3, min_repos: int = 3) -> DataFrame:
-    """docs with every live-looking secret masked in text, and n_chars following; all rows stay, in the columns of docs.
-
-    Verdicts come back to a text by its doc_id and text hash; rows equal in both are masked alike."""
-    keyed = docs.withColumn("key_", F.xxhash64("text"))
-    scanned = scan(keyed.withColumn("repo_", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "key_")), "repo_", "source")
-    live = judged(scanned, min_owners, min_repos)
-    cuts = scanned.join(live, "rid").select(F.col("repo").alias("repo_"), F.filter("spans", lambda s: s["live"]).alias("cuts_")).where(F.size("cuts_") > 0)
-    cuts = cuts.groupBy("repo_").agg(F.first("cuts_").alias("cuts_"))
-    joined = keyed.withColumn("repo_", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "key_")).join(cuts, "repo_", "left")
-    rows = joined.select(*docs.columns, "cuts_")
-    at = rows.columns.index("text")
+    """docs with every live-looking secret masked in text, and n_chars following; all rows stay, in the columns of docs,
+    which may have any names besides doc_id, text and source.
+
+    Verdicts come back to a text by its doc_id and text hash; rows equal in both are masked alike. Null and empty texts
+    stay as they are, and an empty table stays empty. The cuts are written as a table first, so that the planner knows
+    whether they are small enough to be sent to the texts, or both have to be shuffled."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name of the table meets one of this function
+    at = docs.columns.index("text")
+    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("?")), F.xxhash64(docs["text"]).cast("string"))
+    scanned = scan(docs.select("doc_id", "text", key.alias("repo"), F.col("source").alias("owner")), "repo", "owner")
+    live = scanned.join(judged(scanned, min_owners, min_repos), "rid").select("repo", F.filter("spans", lambda s: s["live"]).alias("cuts")).where(F.size("cuts") > 0)
+    cuts = materialize(live.groupBy("repo").agg(F.first("cuts").alias("cuts")), "secrets-cuts")
+    own_key = F.concat_ws(":", F.coalesce(own[f"c{docs.columns.index('doc_id')}"].cast("string"), F.lit("?")), F.xxhash64(own[f"c{at}"]).cast("string"))
+    rows = own.withColumn("repo", own_key).join(cuts, "repo", "left").select(*own.columns, "cuts")
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, cuts in enumerate(b.column("cuts_").to_pylist()):
+            texts = b.column(at).to_pylist()
+            for i, cuts in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if cuts:
                     texts[i] = _masked(texts[i], cuts, mask)
             cols = [pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
 
-    masked = rows.mapInArrow(run, docs.schema)
+    masked = rows.mapInArrow(run, own.schema).toDF(*docs.columns)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
@@ -142,3 +147,36 @@ def _masked(text: str, cuts: list[dict], mask: str) -> str:
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def _sql_spans(kind: int, pattern: str, group: int, wanted: str) -> str:
+    """Spans of a kind: what lies between matches gives their places."""
+    return f"""SELECT doc_id, repo, owner, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+      s := list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0), n := length(m[i]), v := v[i]))) AS x
+    FROM (SELECT doc_id, doc_id::VARCHAR AS repo, source AS owner, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS p FROM texts) WHERE {wanted}"""
+
+
+_SQL_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SQL_NAMES = "['" + "', '".join(KINDS) + "'][kind + 1] || ':' || s || ':' || e"
+OP4_SQL = f"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT doc_id, repo, owner, kind, x.s::BIGINT AS s, (x.s + x.n)::BIGINT AS e, x.v AS v FROM (
+    {_sql_spans(0, _SQL_ASSIGN, 2, "len(m) > 0")}
+    UNION ALL {_sql_spans(1, "AKIA[A-Z0-9]+", 0, "len(m) > 0")}
+    UNION ALL {_sql_spans(2, "[0-9a-f]{32,}", 0, "len(m) > 0")})
+  WHERE length(x.v) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+runs AS (SELECT doc_id, repo, owner, kind, x.s::BIGINT AS s, (x.s + x.n)::BIGINT AS e, x.v AS v FROM ({_sql_spans(3, "[A-Za-z0-9_-]{24,}", 0, "len(m) > 0")})
+  WHERE regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[0-9]')),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
+examples AS (SELECT v FROM found GROUP BY v HAVING count(DISTINCT owner) >= 3 AND count(DISTINCT repo) >= 3),
+judged AS (SELECT *, v NOT IN (SELECT v FROM examples) AS live FROM found),
+kept AS (SELECT * FROM judged WHERE kind < 3 OR live),
+told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_token,
+    count(*) FILTER (NOT live) AS n_example, count(*) FILTER (live) AS n_live,
+    coalesce(string_agg({_SQL_NAMES}, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base_, string_agg({_SQL_NAMES}, ',' ORDER BY s, kind) AS spans FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_token, 0) AS n_token, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+FROM texts LEFT JOIN told USING (doc_id)
+"""

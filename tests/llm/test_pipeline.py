@@ -125,3 +125,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+#: Names that the operators use inside, and plain letters.
+NAMES = (
+    "c0 c1 c5 key_ repo_ cuts_ hash_ id_ mix_size_ mix_u_ repo owner found rid h start kind end spans cuts live example base_sha256 cls n root text_hash row_key point regular class_id hash id "
+    "component_id unit a b src size u v copies budget edge edge2 more any_text times nth place copy task before target source_size word rank score label_ y held_out predicted ids n_tokens row struct"
+).split()
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    """Every name that a stage uses inside may be a column of the documents: same rows as without, and values kept."""
+    rows = corpus()
+    spark.createDataFrame([(i, 1, int("zorkwit" in (t or ""))) for i, t, *_ in rows if i % 7], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = spark.createDataFrame([(*r, *(f"{n}:{r[0]}" for n in NAMES)) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in NAMES)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plain, str(tmp_path)), stage(spark, more, str(tmp_path))
+        assert got.columns == more.columns, name
+        found = got.collect()
+        assert sorted((tuple(r)[:5] for r in found), key=repr) == sorted(map(tuple, want.collect()), key=repr), name
+        assert all(tuple(r)[5:] == tuple(f"{n}:{r.doc_id}" for n in NAMES) for r in found), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(last(spark, more, str(tmp_path)).collect()) == sorted(last(spark, plain, str(tmp_path)).collect())
