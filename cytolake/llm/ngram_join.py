@@ -1,26 +1,26 @@
 """N-gram Jaccard join with a count-vector R-tree, exact, in steps that each grow with the input.
 
-1. Classes: texts with the same shingle set are one class; everything below is about classes.
+1. Classes: texts with the same shingle set are one class; everything below is about classes. Sets are written once.
 2. Blocking keys: a class's shingles are dealt into hashed cells, more than a linked pair can differ in, so that some
    non-empty cell must be equal in both. Prefix filtering over the cells' hashes, commonest cells last, leaves few keys.
-3. Groups of classes that share a key become units; larger groups are cut into blocks and a unit holds two blocks.
+3. Groups of classes that share a key become units. The classes of a large group first meet one of their number, its
+   pivot; those that are linked with it are connected already, and only blocks of classes that are not yet connected
+   meet each other afterwards. So a group of near copies costs what it has members.
 4. Count-vector R-tree: a class's shingles are hashed into groups, the group counts are a point, and the sum of
    coordinate minima bounds a pair's overlap. Each unit's tree gives the pairs whose bound reaches the threshold; the
    classes that such pairs connect become a smaller unit.
-5. Verification: the sets themselves meet in what units are left; links become edges of a forest, and connected
-   components give every document its class.
+5. Verification: in what units are left the sets themselves of surviving pairs are compared; links become edges of a
+   forest, and connected components give every document its class.
 Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_slices, materialize, most_frequent, read_table
@@ -30,6 +30,7 @@ WIDTH = 5
 #: Linked: 7 * overlap >= 3 * (sum of sizes), that is a Jaccard similarity of 0.75.
 OVERLAP, SIZES = 3, 7
 SMALL = 64  # below this size every shingle is a cell of its own
+SEEDS, PLAIN = 4, -1  # seeds that are tried until all sets have enough cells; then every shingle is a cell, at any size
 GROUPS = 64  # coordinates of a point, at least; a point has a quarter to half as many as its set has shingles
 BLOCK = 1024  # classes of a unit's side
 UNIT_SHINGLES = 2_000_000  # of all sets of a unit that was put together from others
@@ -43,10 +44,17 @@ MAX_SLICE, FLUSH_KEYS = 3 << 20, 1_000_000
 # --- sets, cells and keys
 
 
+def set_ids(every: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each set: sets of n elements, none empty, one behind the other in `every`, in any order."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    start = np.cumsum(n) - n
+    total, both = np.add.reduceat(every, start), np.bitwise_xor.reduceat(mix64(every + U(0xA5A5)), start)
+    return mix64(mix64(total) + both * U(0x9E3779B97F4A7C15) + n.astype(U)).astype(np.int64)
+
+
 def set_id(s: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    both = np.array([s.sum(dtype=U), np.bitwise_xor.reduce(mix64(s + U(0xA5A5)))], U)
-    return int(mix64(mix64(both[:1]) + both[1:] * U(0x9E3779B97F4A7C15) + U(len(s)))[0].astype(np.int64))
+    return int(set_ids(s, np.array([len(s)]))[0])
 
 
 def level(n: int) -> int:
@@ -55,7 +63,7 @@ def level(n: int) -> int:
 
 def cells(s: np.ndarray, lev: int, seed: int) -> np.ndarray:
     """Hashes of the non-empty cells of a sorted set at a level: each from all shingles in the cell."""
-    if lev == 0:
+    if lev == 0 or seed == PLAIN:
         return s
     h = s if seed == 0 else np.sort(mix64(s + U(seed)))
     n = (3 << (lev + 1)) // 4 if lev < 8 else 1 << lev
@@ -64,10 +72,12 @@ def cells(s: np.ndarray, lev: int, seed: int) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(h + U(77)), first) + cell[first] * U(0x9E3779B97F4A7C15) + U(lev))
 
 
-def levels(n: int) -> list[tuple[int, int]]:
+def levels(n: int, seed: int = 0) -> list[tuple[int, int]]:
     """The levels at which a set of n shingles meets its partners, and how many shingles a pair can differ in there.
 
     A pair meets at the larger set's level, so a set also stands at the next one if a linked set can be that large."""
+    if seed == PLAIN:
+        return [(0, (n + 4 * n // 3) // 7)]
     lev = level(n)
     top = SMALL - 1 if lev == 0 else (2 << lev) - 1
     most = 4 * n // 3
@@ -77,20 +87,25 @@ def levels(n: int) -> list[tuple[int, int]]:
 
 def is_regular(s: np.ndarray, seed: int) -> bool:
     """Whether the set has more cells at its level than it can differ in from a set that is not larger."""
-    return len(s) < SMALL or len(cells(s, level(len(s)), seed)) > 2 * len(s) // 7
+    return len(s) < SMALL or seed == PLAIN or len(cells(s, level(len(s)), seed)) > 2 * len(s) // 7
 
 
 def keys(s: np.ndarray, seed: int, common: np.ndarray, rank: np.ndarray, buckets: int) -> np.ndarray:
     """A set's blocking keys: at each level as many cells as can differ and one more, rare cells first."""
     out = []
-    for lev, differ in levels(len(s)):
+    for lev, differ in levels(len(s), seed):
         c = cells(s, lev, seed)
         if len(c) > differ + 1:
             if len(common):
                 tag = short_key(c, buckets)
                 at = np.minimum(np.searchsorted(common, tag), len(common) - 1)
-                c = c[np.lexsort((c, np.where(common[at] == tag, rank[at], 0)))][: differ + 1]
-            else:
+                hit = common[at] == tag
+                if hit.any():
+                    often, at, c = c[hit], at[hit], c[~hit]
+                    need = differ + 1 - len(c)
+                    if need > 0:
+                        c = np.concatenate((c, often[np.lexsort((often, rank[at]))][:need]))
+            if len(c) > differ + 1:
                 c = np.partition(c, differ)[: differ + 1]
         out.append(c)
     return np.concatenate(out)
@@ -108,14 +123,13 @@ def short_key(key: np.ndarray, buckets: int) -> np.ndarray:
 # --- map and reduce sides of the exchange of keys, packed by bucket
 
 
-def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets: int) -> DataFrame:
+def emit_keys(sets: DataFrame, seed: int, common: list[tuple[int, int]], buckets: int) -> DataFrame:
     """bucket, low, high (keys in two arrays), cls, counts: keys of all classes, many to a row."""
     table = sorted(common)
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in table], U), np.array([n for _, n in table], np.int64)))
+    shared = sets.sparkSession.sparkContext.broadcast((np.array([k for k, _ in table], U), np.array([n for _, n in table], np.int64)))
 
     def run(batches):
         tags, rank = shared.value
-        done: set[int] = set()
         found: list[np.ndarray] = []
         ids: list[int] = []
         held = 0
@@ -140,33 +154,35 @@ def emit_keys(docs: DataFrame, seed: int, common: list[tuple[int, int]], buckets
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for b in batches:
-            for part in bounded_slices(b, "text", MAX_SLICE):
-                for s in shingle_sets([(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()], WIDTH):
-                    if len(s) and (c := set_id(s)) not in done:
-                        if len(done) < 500_000:  # copies that slip by meet again at the other side
-                            done.add(c)
-                        found.append(keys(s, seed, tags, rank, buckets))
-                        ids.append(c)
-                        held += len(found[-1])
+            for c, raw in zip(b.column("cls").to_pylist(), b.column("set").to_pylist(), strict=True):
+                found.append(keys(np.frombuffer(raw, U), seed, tags, rank, buckets))
+                ids.append(c)
+                held += len(found[-1])
                 if held > FLUSH_KEYS:
                     yield from flush()
                     found, ids, held = [], [], 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, low binary, high binary, cls binary, counts binary")
+    return sets.select("cls", "set").mapInArrow(run, "bucket int, low binary, high binary, cls binary, counts binary")
 
 
 def by_bucket(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
-    """reduce(keys, classes, starts) of every bucket: its distinct (key, class) pairs by key, and where each key starts."""
+    """reduce(keys, classes, starts) of every bucket: its distinct (key, class) pairs by key, and where each key starts.
+    Keys of one class alone are left out."""
 
     def one(rows):
         key = np.concatenate([np.frombuffer(r[0], "<u4").astype(U) | (np.frombuffer(r[1], "<u2").astype(U) << U(32)) for r in rows])
         cls = np.concatenate([np.repeat(np.frombuffer(r[2], "<i8"), np.frombuffer(r[3], "<u4")) for r in rows])
+        order = np.argsort(key)
+        key, cls = key[order], cls[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same))  # most keys are one class's alone
+        key, cls = key[several], cls[several]
         order = np.lexsort((cls, key))
         key, cls = key[order], cls[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))) if len(key) else np.zeros(0, bool)
         key, cls = key[new], cls[new]
-        return key, cls, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key, cls, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
     def run(batches):
         at, rows = None, []
@@ -197,34 +213,79 @@ def common_keys(packed: DataFrame, buckets: int) -> list[tuple[int, int]]:
     return [(r.tag & 0xFFFFFFFFFFFFFFFF, r.n) for r in rows]
 
 
-def unit_rows(members: np.ndarray):
-    """(unit, class) of one group: one unit, or one for every two blocks of a larger group."""
-    blocks = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
-    pairs = [(0, 0)] if len(blocks) == 1 else [(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks))]
-    for i, j in pairs:
-        own = blocks[i] if i == j else np.concatenate((blocks[i], blocks[j]))
-        yield set_id(np.sort(own.astype(U))), own
-
-
-def units(packed: DataFrame, buckets: int) -> DataFrame:
-    """unit, cls: the groups of at least two classes; groups with the same classes are one."""
+def groups(packed: DataFrame, buckets: int) -> DataFrame:
+    """unit, cls, pivot, size: the groups of at least two classes; groups with the same classes are one."""
 
     def reduce(bucket, key, cls, start):
         end = np.append(start[1:], len(key))
-        many = end - start > 1
-        seen, unit, member = set(), [], []
-        for a, b in zip(start[many], end[many], strict=True):
-            for u, own in unit_rows(cls[a:b]):
-                if u not in seen:
-                    seen.add(u)
-                    unit.append(np.full(len(own), u, np.int64))
-                    member.append(own)
-        if unit:
-            unit, member = np.concatenate(unit), np.concatenate(member)
-            for i in range(0, len(unit), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(unit[i : i + (1 << 18)]), pa.array(member[i : i + (1 << 18)])], ["unit", "cls"])
-
-    return by_bucket(packed, buckets, reduce, "unit long, cls long").distinct()
+        many = np.flatnonzero(end - start > 1)
+        if not len(many):
+            return
+        sizes = end[many] - start[many]
+        rows = np.repeat(start[many] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        member, begin = cls[rows], np.cumsum(sizes) - sizes
+        unit = set_ids(member.astype(U), sizes)
+        _, first = np.unique(unit, return_index=True)
+        keep = np.repeat(np.isin(np.arange(len(unit)), first), sizes)
+        order = mix64(member.astype(U))
+        pivot = member[np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, begin), sizes))]  # one of each: hashes are one to one
+        cols = [np.repeat(unit, sizes)[keep], member[keep], np.repeat(pivot, sizes)[keep], np.repeat(sizes, sizes)[keep]]
+        for i in range(0, len(cols[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)].astype(np.int64)) for c in cols], ["unit", "cls", "pivot", "size"])
+
+    return by_bucket(packed, buckets, reduce, "unit long, cls long, pivot long, size long").dropDuplicates(["unit", "cls"])
+
+
+def with_pivots(large: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """a, b: the classes of large groups that are linked with a pivot, and the pivot. Many classes of a pivot are dealt to
+    tasks by hash; a task reads them one batch after the other."""
+    pairs = materialize(large.select("pivot", "cls").where("pivot <> cls").distinct(), "join-pivots")
+    parts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "join-pivot-parts")
+    one = sets.select("cls", "set").dropDuplicates(["cls"])
+    own = parts.join(one.withColumnRenamed("cls", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("pivot").alias("cls"), "set")
+    others = pairs.join(parts, "pivot").join(one, "cls").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "cls", "set")
+
+    def run(batches):
+        own = None
+        for b in batches:
+            found = []
+            for pivot, kind, cls, raw in zip(*(b.column(c).to_pylist() for c in ("pivot", "kind", "cls", "set")), strict=True):
+                s = np.frombuffer(raw, U)
+                if kind == 0:
+                    own = s
+                elif SIZES * common_count(own, s) >= OVERLAP * (len(s) + len(own)):
+                    found.append((cls, pivot))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    both = own.unionByName(others).repartition(partitions, "pivot", "part").sortWithinPartitions("pivot", "part", "kind")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def units(grouped: DataFrame, sets: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame | None]:
+    """unit, cls, and the edges found with pivots: small groups as they are; of large ones every two blocks of classes that
+    pivots have not connected. Classes that are connected are in blocks of their own, which do not meet each other."""
+    small = grouped.where(F.col("size") <= BLOCK).select("unit", "cls")
+    large = grouped.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return small, None
+    edges = materialize(with_pivots(large, sets, partitions), "join-pivot-edges")
+    roots = components(edges)
+    placed = large.select("unit", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    sized = placed.groupBy("unit", "root").agg(F.count("*").alias("n"))
+    sized = sized.withColumn("own", F.col("n") >= BLOCK // 4)  # large enough for blocks of its own
+    rest = sized.where("not own").groupBy("unit").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")).select("unit", F.lit(None).cast("long").alias("root"), "parts")
+    table = materialize(sized.where("own").select("unit", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")).unionByName(rest), "join-blocks")
+    several = table.groupBy("unit").agg(F.count("*").alias("k"), F.max(F.col("root").isNull()).alias("mixed")).where("k > 1 or mixed").select("unit")
+    table = table.join(several, "unit", "left_semi")
+    placed = placed.join(several, "unit", "left_semi").join(sized.select("unit", "root", "own"), ["unit", "root"]).withColumn("root", F.when(F.col("own"), F.col("root"))).drop("own")
+    mine = placed.alias("p").join(table.alias("t"), (F.col("p.unit") == F.col("t.unit")) & F.col("p.root").eqNullSafe(F.col("t.root"))).select("p.*", "t.parts")
+    mine = mine.withColumn("block", F.struct("root", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))).drop("parts", "root")
+    blocks = table.select(F.col("unit").alias("unit_"), F.col("root").alias("other_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part"))
+    other = F.struct(F.col("other_root").alias("root"), F.col("other_part").alias("part"))
+    meet = mine.join(blocks, (F.col("unit") == F.col("unit_")) & (F.col("block.root").isNull() | ~F.col("block.root").eqNullSafe(F.col("other_root"))))
+    pair = meet.select(F.xxhash64("unit", F.least("block", other), F.greatest("block", other)).alias("unit"), "cls")
+    return small.unionByName(pair), edges
 
 
 # --- the R-tree
@@ -392,33 +453,63 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_edges(verify: DataFrame, classes: DataFrame, docs: DataFrame, partitions: int, every: bool = False) -> DataFrame:
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two sets share; both are sorted."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def forest(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component by the links among the pairs (i, j).
+
+    In rounds, each row that is not connected with its next partner is compared with it; pairs whose rows are connected by
+    then need no comparison."""
+    label = np.arange(len(sets))
+    while len(i):
+        _, first = np.unique(i, return_index=True)
+        linked = np.array([SIZES * common_count(sets[x], sets[y]) >= OVERLAP * (sizes[x] + sizes[y]) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)], bool)
+        if linked.any():
+            joined = connected(len(sets), np.concatenate((np.arange(len(sets)), i[first[linked]])), np.concatenate((label, j[first[linked]])))
+            label = joined
+        rest = np.ones(len(i), bool)
+        rest[first] = False
+        rest &= label[i] != label[j]
+        i, j = i[rest], j[rest]
+    return label
+
+
+def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: bool = False) -> DataFrame:
     """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree. With every:
     all linked pairs of classes, a < b.
 
-    One text of each class travels to its unit; its set is made there."""
+    The sets of the classes travel to their units. The R-tree names the pairs to compare."""
 
     def edges(batches):
         for t in _unit_batches(batches):
-            own = shingle_sets([x.encode("utf-8", "replace") for x in t.column("text").to_pylist()], WIDTH)
-            cls, sizes = np.array([set_id(s) for s in own]), np.array([len(s) for s in own])
-            i, j = np.nonzero(np.triu(SIZES * overlaps(own) >= OVERLAP * (sizes[:, None] + sizes[None]), 1))
+            own = [np.frombuffer(x, U) for x in t.column("set").to_pylist()]
+            cls, sizes = t.column("cls").to_numpy(), np.array([len(s) for s in own])
             if every:
+                i, j = np.nonzero(np.triu(SIZES * overlaps(own) >= OVERLAP * (sizes[:, None] + sizes[None]), 1))
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
                 continue
-            label = connected(len(cls), i, j)
+            label = forest(own, sizes, *surviving_pairs(points_of([point(s) for s in own], sizes), sizes))
             moved = np.flatnonzero(label != np.arange(len(cls)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], ["a", "b"])
 
-    wanted = verify.join(classes.select("cls", "row_key"), "cls").select("unit", "row_key")
-    text = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").groupBy("unit", "row_key").agg(F.first("text").alias("text"))
-    return text.select("unit", "text").repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
+    rows = verify.join(sets.select("cls", "set"), "cls").repartition(partitions, "unit").dropDuplicates(["unit", "cls"])
+    return rows.select("unit", "cls", "set").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def all_units(grouped: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
+    """unit, cls: the pruned units of all groups, large ones in every two blocks."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = grouped.select("unit", "cls", parts.alias("parts")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    meet = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).where("parts = 1 or block <> other")
+    return materialize(pruned_units(meet.select(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "cls"), classes, partitions), "join-all-units")
 
 
 def verification_units(pruned: DataFrame, classes: DataFrame) -> DataFrame:
@@ -435,48 +526,51 @@ def verification_units(pruned: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root of every node of edges (a, b): alternating large and small stars until nothing changes."""
+    """node, root of every node of edges (a, b): alternating large and small stars until no edge changes, which takes about
+    the logarithm of the longest path; more than max_rounds are an error."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "join-edges")
-    before = None
-    for _ in range(max_rounds):
+    n = e.count()
+    for _ in range(max_rounds if n else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = materialize(small.where("a <> b").distinct(), "join-stars")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
+        before, e = e, materialize(small.where("a <> b").distinct(), "join-stars")
+        was, n = n, e.count()
+        if n == was and e.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def described(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, text_hash, row_key, n, cls, point, regular of every row."""
+    """doc_id, text_hash, n, cls, point, regular of every row, and the set with the first rows of a class in a task."""
 
     def run(batches):
+        done: set[int] = set()
         for b in batches:
             for part in bounded_slices(b, "text", MAX_SLICE):
                 sets = shingle_sets([(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()], WIDTH)
+                full = [s for s in sets if len(s)]
+                ids = iter(set_ids(np.concatenate([np.zeros(0, U), *full]), np.array([len(s) for s in full], np.int64)).tolist())
+                cls = [next(ids) if len(s) else None for s in sets]
+                new = []
+                for c in cls:
+                    new.append(c is not None and c not in done)
+                    if new[-1] and len(done) < 500_000:  # copies that slip by are told apart later
+                        done.add(c)
                 cols = [
-                    part.column("doc_id"), part.column("text_hash"), part.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.array([is_regular(s, seed) for s in sets], pa.bool_()),
+                    part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()),
+                    pa.array([point(s) if f else None for s, f in zip(sets, new, strict=True)], pa.binary()), pa.array([is_regular(s, seed) for s in sets], pa.bool_()),
+                    pa.array([s.tobytes() if f else None for s, f in zip(sets, new, strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "row_key", "n", "cls", "point", "regular"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "cls", "point", "regular", "set"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, text_hash long, row_key long, n long, cls long, point binary, regular boolean")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, cls long, point binary, regular boolean, set binary")
 
 
 def joined_rows(docs: DataFrame, links: bool = False) -> DataFrame:
@@ -484,31 +578,26 @@ def joined_rows(docs: DataFrame, links: bool = False) -> DataFrame:
 
     With links also n_links, the number of other rows that a row is linked with."""
     spark = docs.sparkSession
-    for seed in range(8):  # sets with too few cells for the bound are so rare that another seed settles it
+    for seed in [*range(SEEDS), PLAIN]:  # sets with too few cells for the bound are so rare that another seed settles it
         table = materialize(described(docs, seed), "join-docs")
         if table.where(~F.col("regular")).isEmpty():
             break
-    else:
-        raise RuntimeError("no seed spreads all sets over enough cells")
-    classes = materialize(
-        table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"), F.max("n").alias("n"), F.first("point").alias("point")).withColumn("row_key", F.col("first.row_key")).drop("first"),
-        "join-classes",
-    )
+    classes = materialize(table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("point", True).alias("point")), "join-classes")
+    sets = table.where(F.col("set").isNotNull()).select("cls", "set")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions, math.ceil(shingles * 5 / BUCKET_BYTES))
     buckets = min(buckets, MAX_BUCKETS)
-    common = common_keys(emit_keys(docs, seed, [], buckets), buckets)
-    release(spark)
-    grouped = materialize(units(emit_keys(docs, seed, common, buckets), buckets), "join-units")
-    release(spark)
-    verify = verification_units(materialize(pruned_units(grouped, classes, partitions), "join-pruned"), classes)
-    release(spark)
-    edges = linked_edges(verify, classes, docs, partitions, links)
-    if links:
-        edges = materialize(edges, "join-pairs")
+    common = common_keys(emit_keys(sets, seed, [], buckets), buckets)
+    grouped = materialize(groups(emit_keys(sets, seed, common, buckets), buckets), "join-units")
+    candidates, by_pivot = units(grouped, sets, partitions)
+    verify = verification_units(materialize(pruned_units(candidates, classes, partitions), "join-pruned"), classes)
+    edges = linked_edges(verify, sets, partitions)
+    if by_pivot is not None:
+        edges = edges.unionByName(by_pivot)
     roots = components(edges)
-    release(spark)
+    if links:  # all links, also those between classes that are connected already
+        edges = materialize(linked_edges(all_units(grouped, classes, partitions), sets, partitions, True), "join-pairs")
     rooted = classes.select("cls", "class_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("cls", "root", "component_id")
     counted = []

@@ -83,7 +83,8 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            own = np.sort(rolled[a : b - width + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
         elif b > a:
             out.append(mix64(np.add.reduce(words[a:b] * np.array(q[: b - a], U), keepdims=True) + U(b - a)))
         else:

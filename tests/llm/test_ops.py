@@ -152,9 +152,10 @@ def test_join_by_all_pairs(docs, rows, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch):
-    """Groups larger than a block, and units too large to be put together, lose no link."""
-    for name, value in (("BLOCK", 4), ("UNIT_SHINGLES", 300), ("COMMON", 2)):
+@pytest.mark.parametrize(("block", "seeds"), [(4, 4), (12, 4), (8, 0)])
+def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch, block, seeds):
+    """Groups larger than a block, and units too large to be put together, lose no link; nor do sets without cells."""
+    for name, value in (("BLOCK", block), ("UNIT_SHINGLES", 300), ("COMMON", 2), ("SEEDS", seeds)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(8)
     base, shared, rows = prose(rng, 70), prose(rng, 55), []
