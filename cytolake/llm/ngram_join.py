@@ -32,10 +32,11 @@ OVERLAP, SIZES = 3, 7
 SMALL = 64  # below this size every shingle is a cell of its own
 SEEDS, PLAIN = 4, -1  # seeds that are tried until all sets have enough cells; then every shingle is a cell, at any size
 GROUPS = 64  # coordinates of a point, at least; a point has a quarter to half as many as its set has shingles
-BLOCK = 1024  # classes of a unit's side
+BLOCK = 512  # classes of a unit's side
 UNIT_SHINGLES = 2_000_000  # of all sets of a unit that was put together from others
 LEAF = 32
 COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many are told to all tasks (2 MB), commonest first
+TOLD_CLASSES = 1 << 22  # so many classes may be told to all tasks (32 MB)
 BUCKET_BYTES = 24 << 20
 KEY_BITS, MAX_BUCKETS = 42, 1 << 21  # of 64 bits, the rest number the buckets
 MAX_SLICE, FLUSH_KEYS = 3 << 20, 1_000_000
@@ -236,12 +237,20 @@ def groups(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets, reduce, "unit long, cls long, pivot long, size long").dropDuplicates(["unit", "cls"])
 
 
+def sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, set of the wanted classes, once each. So many classes that tasks may be told them leave the others' sets where
+    they are; more meet them by a shuffle."""
+    few = materialize(wanted.select("cls").distinct(), "join-wanted")
+    few = F.broadcast(few) if few.count() <= TOLD_CLASSES else few
+    return sets.select("cls", "set").join(few, "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def with_pivots(large: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     """a, b: the classes of large groups that are linked with a pivot, and the pivot. Many classes of a pivot are dealt to
     tasks by hash; a task reads them one batch after the other."""
     pairs = materialize(large.select("pivot", "cls").where("pivot <> cls").distinct(), "join-pivots")
     parts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "join-pivot-parts")
-    one = sets.select("cls", "set").dropDuplicates(["cls"])
+    one = sets_of(sets, large)
     own = parts.join(one.withColumnRenamed("cls", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("pivot").alias("cls"), "set")
     others = pairs.join(parts, "pivot").join(one, "cls").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "cls", "set")
 
@@ -500,7 +509,7 @@ def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: boo
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], ["a", "b"])
 
-    rows = verify.join(sets.select("cls", "set"), "cls").repartition(partitions, "unit").dropDuplicates(["unit", "cls"])
+    rows = verify.join(sets_of(sets, verify), "cls").repartition(partitions, "unit")
     return rows.select("unit", "cls", "set").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
 
 
@@ -615,7 +624,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts without words (null, empty, white space) have no shingles and are their own component. Rows that repeat a
     text are in one component; rows that repeat an id are only if their texts link. A null id counts as larger than
-    any other: a component of null ids only has a null component_id. Empty tables give no rows."""
+    any other: a component of null ids only has a null component_id. Long texts are hashed in parts; a pair at exactly the
+    threshold is linked. Empty tables give no rows, and columns besides the two named are not read."""
     rows = joined_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
