@@ -19,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_media_columns": media.OP1_SQL,
     "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op4_secret_scans": secrets.OP4_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
