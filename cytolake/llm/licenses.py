@@ -67,12 +67,16 @@ SPELLINGS = [("licence", "license"), ("sublicence", "sublicense"), ("licenced",
 def canonical(text: Column) -> Column:
     """Lower case; no lines that state a copyright; words of letters and digits only, one space apart; one spelling."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?m)^[^\n]{0,20}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$", " ")
+    t = F.regexp_replace(t, r"(?md)^[^\n]{0,20}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$", " ")
     t = F.regexp_replace(t, r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»–—…\x{A0}]+", " ")
-    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+    t = F.concat(F.lit(" "), F.replace(F.trim(t), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has spaces of its own
     for other, one in SPELLINGS:
-        t = F.replace(t, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(_spaced(other)), F.lit(_spaced(one)))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digests_of(texts: DataFrame, text_col: str = "text") -> Column:
@@ -88,7 +92,8 @@ def find_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None) -
     """doc_id, digest, license for every row of docs: the licence whose text the whole text is, else null.
 
     Null and empty texts have the digest of the empty text, which no licence has. The table of known texts is as large
-    as the caller's list and is broadcast."""
+    as the caller's list and is broadcast; of licences with one text the first by name is given. Repeated rows are looked
+    up each, texts of any length whole; an empty table gives no rows, and columns besides doc_id and text are not read."""
     own = docs.select("doc_id", digests_of(docs).alias("digest"))
     return own.join(F.broadcast(_lookup(docs.sparkSession, known)), "digest", "left").select("doc_id", "digest", "license")
 
@@ -117,10 +122,10 @@ def _sql_canonical(t: str) -> str:
     t = f"lower(coalesce({t}, ''))"
     t = rf"regexp_replace({t}, '(?m)^[^\n]{{0,20}}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{{4}})[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$', ' ', 'g')"
     t = rf"regexp_replace({t}, '[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»–—…\x{{A0}}]+', ' ', 'g')"
-    t = f"' ' || trim({t}, ' ') || ' '"
+    t = f"' ' || replace(trim({t}, ' '), ' ', '  ') || ' '"
     for other, one in SPELLINGS:
-        t = f"replace({t}, ' {other} ', ' {one} ')"
-    return f"trim({t}, ' ')"
+        t = f"replace({t}, '{_spaced(other)}', '{_spaced(one)}')"
+    return f"trim(replace({t}, '  ', ' '), ' ')"
 
 
 _VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
