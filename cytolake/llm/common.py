@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all tasks run on
+    this machine (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='cytolake-shared-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -70,21 +74,32 @@ def most_frequent(counted: DataFrame, limit: int, label: str) -> DataFrame:
     return kept.where(step >= bound) if bound is not None else kept.limit(0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list[tuple[str, int]]:
-    """At most limit labelled texts with crc32(doc_id) mod 5 != 0, chosen by a hash of doc_id; bounded for the driver.
+def copy_key(words: list[str]) -> int:
+    """The same for near copies, mostly: the smallest checksum of three words in a row, over the whole text."""
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))), default=0)
 
-    Rows without a doc_id, label or usable text are skipped (null text counts as empty)."""
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int = 256 << 20) -> list[tuple[str, int]]:
+    """At most limit labelled texts with crc32(doc_id) mod 5 != 0, of max_bytes in all, chosen by a hash of doc_id; both
+    bounds are for the driver. A text that would pass max_bytes is left out, and shorter ones behind it may still come.
+
+    Rows without a doc_id, label or usable text are skipped (null text counts as empty). Of contradictory labels of an id
+    1 counts; of several texts of an id the first in order."""
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
         .groupBy("doc_id").agg(F.max(label).alias("label_"))
     )
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = min(1.0, 1.2 * (limit + 1000) / max(1, usable.count()))  # only so many come to be sorted
-    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    picked = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(limit)
-    rows = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(picked), "doc_id")
-        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label_").alias("y"))
-    )
-    return [(r.text, int(r.y)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    picked = usable.where(order < int(share * (1 << 30))).orderBy(order, "doc_id").limit(limit)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label_").alias("y")).withColumn("size", F.octet_length("text"))
+    rows = materialize(one, f"sample-{label}")
+    kept, held = [], 0
+    for r in rows.select("doc_id", "size").orderBy(order, "doc_id").collect():
+        if held + r["size"] <= max_bytes:
+            held += r["size"]
+            kept.append(r.doc_id)
+    chosen = rows.where(F.col("doc_id").isin(kept)) if len(kept) < rows.count() else rows
+    return [(r.text, int(r.y)) for r in sorted(chosen.select("doc_id", "text", "y").collect(), key=lambda r: r.doc_id)]

@@ -1,23 +1,26 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is the set of its hashed n-grams: character n-grams, n-grams of its outline (runs of one character class taken
-as one sign), and repeats of words and lines. Indicators are scaled by the log ratio of the classes' smoothed counts,
+A text is the set of its hashed n-grams: character n-grams and n-grams of its outline (runs of one character class taken
+as one sign); beside them, in slots of their own, steps of the rates of repeats and markup. Indicators are scaled by the log ratio of the classes' smoothed counts,
 and a linear hinge-loss model is fitted to them by dual coordinate descent. Held-back margins set the score's scale.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, labelled_sample, read_table
+from .common import bounded_slices, copy_key, labelled_sample, read_table
 from .textvec import word_hashes
 
-DIMS = 1 << 15
+#: Slots of hashed n-grams, and of what is no n-gram: rates of repeats and markup by steps, and the number of words.
+HASHED, EXTRA = 1 << 15, 64
+DIMS = HASHED + EXTRA
+STEPS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8)
+#: Positions whose n-grams are hashed at a time; bounds the working arrays whatever a text's length.
+CHUNK = 1 << 20
 MAX_SLICE = 2 << 20
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 4000
@@ -43,21 +46,25 @@ def indicators(texts: list[str]) -> np.ndarray:
     raw = [t.encode("utf-8", "replace") for t in texts]
     flags = np.zeros((len(raw), DIMS), bool)
     data = np.frombuffer(b"".join(b"\n" + r + b"\n" for r in raw), np.uint8)
-    row = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) + 2 for r in raw])
+    bounds = np.cumsum([0, *(len(r) + 2 for r in raw)])
 
-    def mark(values, rows, n, salt):
-        m = len(values) - n + 1
-        if m > 0:
-            inside = rows[:m] == rows[n - 1 :]
-            flags[rows[:m][inside], _hash([values[k : k + m] for k in range(n)], salt)[inside]] = True
+    def mark(values, bounds, n, salt):
+        """The n-grams of values, of which those of a text stand between two bounds."""
+        for at in range(0, len(values) - n + 1, CHUNK):
+            seen = values[at : at + CHUNK + n - 1]
+            row = np.repeat(np.arange(len(raw), dtype=np.int32), np.diff(np.clip(bounds - at, 0, len(seen))))
+            m = len(seen) - n + 1
+            inside = row[:m] == row[n - 1 :]
+            flags[row[:m][inside], _hash([seen[k : k + m] for k in range(n)], salt)[inside]] = True
 
     for n in (1, 2, 3):
-        mark(data, row, n, n)
+        mark(data, bounds, n, n)
     signs = _CLASS[data]
-    keep = np.concatenate(([True], (signs[1:] != signs[:-1]) | (row[1:] != row[:-1])))
-    outline, outline_row = signs[keep], row[keep]
+    keep = np.concatenate(([True], signs[1:] != signs[:-1]))
+    keep[bounds[:-1]] = True
+    outline, places = signs[keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
     for n in (4, 6):
-        mark(outline, outline_row, n, 10 + n)
+        mark(outline, places, n, 10 + n)
     words, first = word_hashes(raw, fold_case=False)
     for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
         own, n = words[a:b], b - a
@@ -67,10 +74,8 @@ def indicators(texts: list[str]) -> np.ndarray:
         same = 1 - len(set(lines)) / len(lines)
         upper = sum(map(raw[i].count, (b"!!", b"|", b"***"))) / max(1, n)
         for k, v in enumerate((pairs, 1 - unlike, same, upper)):
-            for step, level in enumerate((0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8)):
-                if v >= level:
-                    flags[i, (DIMS - 1) - 8 * k - step] = True
-        flags[i, DIMS - 64 - min(16, int(n).bit_length())] = True
+            flags[i, HASHED + 8 * k : HASHED + 8 * k + 8] = [v >= level for level in STEPS]
+        flags[i, HASHED + 32 + min(16, int(n).bit_length())] = True
     return flags
 
 
@@ -86,7 +91,7 @@ class Model:
         sets = []
         for i in range(0, len(sample), 64):
             sets += [np.flatnonzero(f) for f in indicators([t for t, _ in sample[i : i + 64]])]
-        fold = np.array([zlib.crc32(t[:400].encode("utf-8", "replace")) % folds for t, _ in sample])
+        fold = np.array([copy_key(t.split()) % folds for t, _ in sample])
         margins = np.zeros(len(y))
         for k in range(folds):
             rest = np.flatnonzero(fold != k)
@@ -159,7 +164,9 @@ def _sigmoid(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null and empty texts are scored as texts without n-grams. Without usable labels all texts get one score."""
+    Null and empty texts are scored as texts without words. Without usable labels all texts get one score. Rows are scored
+    each by its text alone, so that repeated rows and equal texts have equal scores; an empty table gives none. Long texts
+    are hashed in parts. Columns besides doc_id and text are not read."""
     model = docs.sparkSession.sparkContext.broadcast(Model(labelled_sample(docs, labels, "quality", sample)))
 
     def run(batches):

@@ -8,7 +8,6 @@ each fold's features come from the other folds' lexicon, so that trees do not le
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, labelled_sample, read_table
+from .common import bounded_slices, copy_key, labelled_sample, read_table
 
 MAX_SLICE = 4 << 20
 #: Characters that stand for letters in disguised words, and words that address the reader.
@@ -42,18 +41,13 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
 
 
-def _copy_key(words: list[str]) -> int:
-    """The same for near copies, mostly: the smallest checksum of three words in a row."""
-    return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))), default=0)
-
-
 def entry_counts(texts: list[str], y: list[int], folds: list[int]) -> list[list[Counter]]:
     """By fold and label: in how many texts each entry is, near copies counting as one text. The key None counts texts."""
     seen = set()
     counts = [[Counter(), Counter()] for _ in range(max(folds, default=0) + 1)]
     for text, label, fold in zip(texts, y, folds, strict=True):
         raw = text.split()
-        key = (_copy_key([plain(w) for w in raw]), label)
+        key = (copy_key([plain(w) for w in raw]), label)
         if key in seen:
             continue
         seen.add(key)
@@ -69,7 +63,8 @@ def entry_counts(texts: list[str], y: list[int], folds: list[int]) -> list[list[
 
 
 def lexicon_of(counts: list[list[Counter]], min_docs: int = 3, min_ratio: float = 8.0, size: int = 4000) -> dict[str, float]:
-    """Entries and their log odds: in at least min_docs toxic texts, min_ratio times more often than in others."""
+    """Entries and their log odds: in at least min_docs toxic texts, min_ratio times more often than in others; the size
+    best ones, which bounds the model that goes to the tasks."""
     toxic, other = (sum((c[label] for c in counts), Counter()) for label in (1, 0))
     n_toxic, n_other = toxic.pop(None, 0), other.pop(None, 0)
     odds = {}
@@ -109,7 +104,7 @@ class Hits(dict):
         return found
 
 
-FEATURES = ("log_words", "hit_density", "hit_weight_density", "max_weight", "hits", "distinct_hits", "near_second_person", "second_person_rate", "capital_rate", "punctuation_rate", "exclamation_rate", "disguise_rate")
+FEATURES = ("log_words", "hit_density", "hit_weight_density", "max_weight", "log_hits", "log_distinct_hits", "near_second_person", "second_person_rate", "capital_rate", "punctuation_rate", "exclamation_rate", "disguise_rate")
 
 
 def features(text: str, hits: Hits, near: int = 5) -> list[float]:
@@ -128,8 +123,8 @@ def features(text: str, hits: Hits, near: int = 5) -> list[float]:
     size = max(1, len(raw))
     weight = sum(w for _, w in toxic)
     return [
-        math.log1p(len(words)), len(toxic) / n, weight / n, max((w for _, w in toxic), default=0.0), min(len(toxic), 50), min(len({words[i] for i, _ in toxic}), 50),
-        close / max(1, len(toxic)), len(people) / n, (size - len(raw.translate(None, UPPER))) / size, (size - len(raw.translate(None, PUNCT))) / size,
+        math.log1p(len(words)), len(toxic) / n, weight / n, max((w for _, w in toxic), default=0.0), math.log1p(len(toxic)), math.log1p(len({words[i] for i, _ in toxic})),
+        close / max(1, len(toxic)), len(people) / n, (len(raw) - len(raw.translate(None, UPPER))) / size, (len(raw) - len(raw.translate(None, PUNCT))) / size,
         raw.count(b"!") / n, sum(1 for _, f in found if f[1]) / n,
     ]
 
@@ -219,7 +214,7 @@ class Model:
         if len(set(y.tolist())) < 2:  # nothing to tell apart: the share of the only label, or one half
             self.constant = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
             return
-        fold = np.array([_copy_key([plain(w) for w in t.split()]) % folds for t in texts])
+        fold = np.array([copy_key([plain(w) for w in t.split()]) % folds for t in texts])
         counts = entry_counts(texts, y.tolist(), fold.tolist())
         x = np.zeros((len(texts), len(FEATURES)))
         for k in range(len(counts)):
@@ -248,7 +243,9 @@ SAMPLE = 4000
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null and empty texts are scored as texts without words. Without usable labels all texts get one score."""
+    Null and empty texts are scored as texts without words. Without usable labels all texts get one score. Rows are scored
+    each by its text alone, so that repeated rows and equal texts have equal scores; an empty table gives none. Long texts
+    are split into words whole, in memory that grows with the text. Columns besides doc_id and text are not read."""
     model = docs.sparkSession.sparkContext.broadcast(Model(labelled_sample(docs, labels, "toxic", sample)))
 
     def run(batches):
@@ -265,7 +262,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose texts are not scored as toxic, in the columns of docs."""
+    """The rows of docs whose texts are not scored as toxic, in the columns of docs, which may have any names besides doc_id
+    and text. Null and empty texts are scored like others; repeated rows go or stay together; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(Model(labelled_sample(docs, labels, "toxic", sample)))
 
     def run(batches):

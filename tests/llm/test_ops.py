@@ -237,6 +237,87 @@ def test_toxicity_learns_words_and_disguises():
     assert [int(s >= 0.5) for s in m.score(x)] == [y for _, y in sample[240:]]
 
 
+def test_quality_by_plain_loops():
+    """Slots of n-grams one by one; the fit against projected gradients on the whole kernel; scores from both."""
+    texts = [("good prose about things number %d" % i if i % 2 else "BUY!! now | cheap *** %d %d" % (i, i)) + "\n" + "x" * (i % 5) for i in range(40)]
+    y = np.array([i % 2 for i in range(len(texts))])
+    flags = quality.indicators(texts)
+    for t, row in zip(texts, flags, strict=True):
+        data = b"\n" + t.encode() + b"\n"
+        one = lambda gram, salt: int(quality._hash([np.array([c], np.uint8) for c in gram], salt)[0])
+        signs = [int(quality._CLASS[c]) for c in data]
+        outline = [c for k, c in enumerate(signs) if not k or signs[k - 1] != c]
+        want = {one(data[k : k + n], n) for n in (1, 2, 3) for k in range(len(data) - n + 1)}
+        want |= {one(outline[k : k + n], 10 + n) for n in (4, 6) for k in range(len(outline) - n + 1)}
+        assert set(np.flatnonzero(row[: quality.HASHED]).tolist()) == want
+    sets = [np.flatnonzero(f) for f in flags]
+    w, b = quality.fit(sets, y, np.arange(len(y)), epochs=4000)
+    n1, n0 = flags[y == 1].sum(0) + 1.0, flags[y == 0].sum(0) + 1.0
+    ratio = np.log(n1 / (n1.sum() - quality.DIMS + 1)) - np.log(n0 / (n0.sum() - quality.DIMS + 1))
+    x = flags * ratio
+    length = np.sqrt((x**2).sum(1))
+    z = x / length[:, None] * 5
+    s = 2.0 * y - 1
+    gram = (z @ z.T + 1) * np.outer(s, s)
+    limit = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    dual, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        dual = np.clip(dual + step * (1 - gram @ dual), 0, limit)
+    want = (z @ ((dual * s) @ z)) / (length.mean() / 5 * 5 / length) + (dual * s).sum()
+    got = np.array([w[i].sum() + b for i in sets])
+    assert got == pytest.approx(want, abs=0.02)
+
+
+def test_quality_of_long_texts_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, n) for n in (0, 5, 400, 3000)] + ["", "a", "\n\n"]
+    whole = quality.indicators(texts)
+    monkeypatch.setattr(quality, "CHUNK", 97)
+    assert (quality.indicators(texts) == whole).all()
+
+
+def test_toxicity_by_plain_loops():
+    """Features counted word by word, trees walked node by node, and the isotonic fit by its definition."""
+    rng = random.Random(6)
+    texts = [prose(rng, 12) + (" You zorkwit!! " if i % 3 == 0 else " fine day ") + prose(rng, 6) for i in range(120)]
+    y = [int(i % 3 == 0) for i in range(120)]
+    m = toxicity.Model(list(zip(texts, y, strict=True)))
+    assert "zorkwit" in m.lexicon
+    hits = toxicity.Hits(m.lexicon)
+    for text in [*texts[:20], "", "Z0RKW1T you you zorkwit? ZORKWIT *zorkwit*", "!!! ??"]:
+        words = text.split()
+        found = []
+        for k, w in enumerate(words):
+            forms = {toxicity.plain(w)} | (set() if w.isalpha() else {toxicity.undisguised(w)})
+            weight = max((m.lexicon.get(e, 0.0) for f in forms for e in toxicity.beginnings(f)), default=0.0)
+            found.append((k, weight, toxicity.plain(w) in toxicity.SECOND_PERSON))
+        bad, people = [f for f in found if f[1]], [f[0] for f in found if f[2]]
+        n, size = max(1, len(words)), max(1, len(text.encode()))
+        got = dict(zip(toxicity.FEATURES, toxicity.features(text, hits), strict=True))
+        want = {
+            "log_words": math.log1p(len(words)), "hit_density": len(bad) / n, "hit_weight_density": sum(f[1] for f in bad) / n, "max_weight": max((f[1] for f in bad), default=0.0),
+            "log_hits": math.log1p(len(bad)), "log_distinct_hits": math.log1p(len({words[f[0]] for f in bad})), "near_second_person": sum(any(abs(p - f[0]) <= 5 for p in people) for f in bad) / max(1, len(bad)),
+            "second_person_rate": len(people) / n, "capital_rate": sum("A" <= c <= "Z" for c in text) / size, "punctuation_rate": sum(33 <= ord(c) < 127 and not c.isalnum() for c in text) / size, "exclamation_rate": text.count("!") / n,
+        }
+        assert {k: got[k] for k in want} == pytest.approx(want), text
+    x = np.array([toxicity.features(t, hits) for t in texts])
+    for row, margin in zip(x[:40], m.trees.margin(x[:40]), strict=True):
+        total = m.trees.start
+        for feature, cut, value in m.trees.trees:
+            at = 0
+            while 2 * at + 2 < len(feature) and feature[at] >= 0:
+                at = 2 * at + 1 + int(row[feature[at]] > cut[at])
+            total += value[at]
+        assert margin == pytest.approx(total)
+    z, t = np.array([rng.gauss(0, 1) for _ in range(60)]), np.array([rng.randrange(2) for _ in range(60)])
+    xs, ys = toxicity.isotonic(z, t)
+    order = np.argsort(z)
+    v = t[order].astype(float)
+    fit = [max(min(v[a : b + 1].mean() for b in range(k, 60)) for a in range(k + 1)) for k in range(60)]
+    blocks = [(f, sum(g == f for g in fit)) for f in fit]
+    assert np.interp(z[order], xs, ys) == pytest.approx([min(max((f * n + 0.5 * f) / (n + 0.5), 0.001), 0.999) for f, n in blocks], abs=1e-9)
+
+
 def test_quality_learns_outlines():
     rng = random.Random(2)
     sample = [(prose(rng, 40) if i % 3 else " ".join(w.upper() + "!!" for w in prose(rng, 40).split()), int(i % 3 > 0)) for i in range(240)]
@@ -368,6 +449,22 @@ def test_licences(spark, docs, rows, empty):
     assert licenses.find_licenses(docs).count() == len(rows) and licenses.find_licenses(empty).count() == 0
 
 
+def test_canonical_texts_stay_as_they_are(spark):
+    """Words next to each other are all respelled, so that a second pass changes nothing; only line feeds end lines."""
+    from pyspark.sql import functions as F
+
+    texts = ["licence licence licence", "per cent per cent", "copyright holder copyright holders licence", "A\u2028copyright 2020 X\nlicence", "copyright 2020 X\rlicence\nb", "(c) 2020 me\nAll rights reserved.\nTHE  Licence", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    once = df.select("doc_id", licenses.canonical(F.col("text")).alias("text"))
+    assert [r.text for r in once.orderBy("doc_id").collect()][:3] == ["license license license", "percent percent", "copyright owner copyright owners license"]
+    assert once.select("doc_id", licenses.canonical(F.col("text")).alias("text")).exceptAll(once).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(map(repr, con.execute(licenses.OP7_SQL).fetchall())) == sorted(map(repr, map(tuple, licenses.find_licenses(df).collect())))
+
+
 def test_licence_files_with_and_without_titles(spark):
     given = {n: t for n, t in licenses.known_texts() if n in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause")}
     assert len(given) == 4
@@ -472,6 +569,42 @@ def test_url_model_separates_its_table():
     assert ((p >= 0.5).astype(int) == np.array([y for _, y in urls.LABELLED])).all()
 
 
+def test_url_verdicts_by_a_dictionary(spark):
+    """Logistic regression on a dictionary of n-grams, in plain Python, over held-out urls; rules by loops."""
+    def grams(host, path):
+        raw = urls._marked(host, path)
+        return [raw[k : k + n] for n in (3, 4, 5) for k in range(len(raw) - n + 1)]
+
+    table = [(grams(*urls._host_path(u)), y) for u, y in urls.LABELLED]
+    w, bias = {}, 0.0
+    for _ in range(200):
+        step, total = {}, 0.0
+        for g, y in table:
+            scale = 1 / math.sqrt(len(g))
+            err = 1 / (1 + math.exp(-(sum(w.get(x, 0.0) for x in g) * scale + bias))) - y
+            total += err
+            for x in g:
+                step[x] = step.get(x, 0.0) + err * scale
+        for x in step:
+            w[x] = w.get(x, 0.0) - 0.5 * (step[x] / len(table) * 8 + 1e-3 * w.get(x, 0.0))
+        bias -= 0.5 * (total / len(table) * 8 + 1e-3 * bias)
+    tried = ["http://casino-win.example/bonus/free?x=1", "https://Library.example.org/en/about", "ftp://a.b/c", "http://news.town.example/2023/01/story", "http://x.com/en/1", "http://example.com/en/7/x", "http://sub.example.com/en/7", "http://cheap-pills.test/buy-now", "no scheme", None, "http://h#f", "http://", "http://EXAMPLE.net/de/8?q", "http://deexample.net/de/8", "http://" + "long" * 5000 + ".example/wiki/Page"]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(tried)), "page_id long, url string")).collect()}
+    for k, u in enumerate(tried):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0] if rest else ""
+        host = host.lower()
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        g = grams(host, path)
+        p = 1 / (1 + math.exp(-(sum(w.get(x, 0.0) for x in g) / math.sqrt(max(1, len(g))) + bias)))
+        assert (got[k].host, got[k].path) == (host, path)
+        if fits:
+            assert (got[k].rule, got[k].verdict) == max(fits)[1:] and got[k].score is None
+        else:
+            assert got[k].rule is None and got[k].score == pytest.approx(p, abs=0.06) and (abs(p - 0.5) < 0.06 or got[k].verdict == ("block" if p >= 0.5 else "allow"))
+
+
 # --- 10: BPE
 
 
