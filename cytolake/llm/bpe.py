@@ -527,7 +527,9 @@ class Shared:
 def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids for every row of docs.
 
-    Null and empty texts have no ids and decode to the empty text. path: the tokenizer's file."""
+    Null and empty texts have no ids and decode to the empty text. Texts are encoded each by itself, so that repeated rows
+    have the same result; long ones in parts that end at white space. An empty table gives no rows, and columns besides
+    doc_id and text are not read. path: the tokenizer's file."""
     shared = Shared(docs, path, words)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 

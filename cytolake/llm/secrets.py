@@ -124,12 +124,13 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", min_owners: int = 3, min_rep
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, cuts in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if cuts:
-                    texts[i] = _masked(texts[i], cuts, mask)
-            cols = [pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
+            for part in bounded_slices(b, f"c{at}", MAX_SLICE):
+                texts = part.column(at).to_pylist()
+                for i, cuts in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    if cuts:
+                        texts[i] = _masked(texts[i], cuts, mask)
+                cols = [pa.array(texts, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(part.schema)[:-1]))
 
     masked = rows.mapInArrow(run, own.schema).toDF(*docs.columns)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
