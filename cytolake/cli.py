@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .operators.windows import aggregate_windows, custom_windows, only, sliding_windows, step_windows, without
-from .sources.readers import read_windows_csv
+from .sources.readers import read_windows_csv, write_aggregated
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
             if path:
                 calls = keep(calls, spark.read.text(path).select(F.trim("value").alias("cell_id")), "cell_id")
         for spec in parse_specs(a.uniform, a.windows):
-            aggregate(calls, spec).write.mode("append").partitionBy("name").parquet(a.out)
+            write_aggregated(aggregate(calls, spec), a.out)
     elif a.command == "convert":
         df = spark.read.parquet(a.source)
         if "pct" not in df.columns:
@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
         df.drop("pct").write.option("compression", a.compression).partitionBy("context", "chr").parquet(a.out)
     else:
         column = {"context": "context", "barcode": "cell_id", "dataset": "name"}[a.level]
-        spark.read.parquet(a.source).where(F.col(column) != a.name).write.parquet(a.out)
+        spark.read.parquet(a.source).where(~F.col(column).eqNullSafe(a.name)).write.parquet(a.out)
 
 
 if __name__ == "__main__":

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators import cluster, dmr, doublets, intervals, matrix, metacells, ne
 from ..sources import genomes, readers
 from ..streaming import ingest
 from . import adapters
-from .adapters import calls, cells, genes, rates, table
+from .adapters import calls, cells, genes, rates, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,23 +62,13 @@ def query(name: str, text: str | None = None):
 
 
 def bed(spark, d):
-    """Regions from orders: some overlap, some repeat."""
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0")
-    start = (F.col("o_custkey") * 97) % 20000
-    return o.select(F.concat(F.lit("chr"), (F.col("o_orderkey") % 7 + 1).cast("string")).alias("chr"), start.alias("start"), (start + 1500).alias("end")).distinct()
-
-
-CTES["bed"] = """bed AS (SELECT DISTINCT 'chr' || (o_orderkey % 7 + 1) AS chr, (o_custkey * 97) % 20000 AS "start", (o_custkey * 97) % 20000 + 1500 AS "end" FROM orders WHERE o_orderkey % 50 = 0)"""
-
-
-def bed_all(spark, d):
     """Regions from all orders, spread over the range of the calls; most are short, so that gaps stay."""
     start = F.col("o_orderkey") * 10 + F.col("o_custkey") % 1000
     width = F.when(F.col("o_custkey") % 100 == 0, 1500).otherwise(20)
     return table(spark, d, "orders").select(F.concat(F.lit("chr"), (F.col("o_orderkey") % 7 + 1).cast("string")).alias("chr"), start.alias("start"), (start + width).alias("end")).distinct()
 
 
-BED_ALL = """bed AS (SELECT DISTINCT 'chr' || (o_orderkey % 7 + 1) AS chr, o_orderkey * 10 + o_custkey % 1000 AS "start", o_orderkey * 10 + o_custkey % 1000 + CASE WHEN o_custkey % 100 = 0 THEN 1500 ELSE 20 END AS "end" FROM orders)"""
+CTES["bed"] = """bed AS (SELECT DISTINCT 'chr' || (o_orderkey % 7 + 1) AS chr, o_orderkey * 10 + o_custkey % 1000 AS "start", o_orderkey * 10 + o_custkey % 1000 + CASE WHEN o_custkey % 100 = 0 THEN 1500 ELSE 20 END AS "end" FROM orders)"""
 
 
 def mat(s, d):
@@ -131,6 +121,14 @@ def r5(df, *cols):
     return df
 
 
+def _written_windows(s, d):
+    """Pre-aggregated windows of two names, written and read back by one of them."""
+    path = f"{shared_folder(s)}/agg-{uuid.uuid4().hex}"
+    for step in (2000, 5000):
+        readers.write_aggregated(windows.aggregate_windows(windows.step_windows(calls(s, d), step)).withColumn("name", F.lit(f"w{step}")), path)
+    return readers.read_aggregated(s, path, "w2000").drop("name")
+
+
 # --- windows
 
 for _metric, _value in (("percent", "r * 100"), ("score", "round(CASE WHEN r > g THEN (r - g) / nullif(1 - g, 0) ELSE (r - g) / nullif(g, 0) END, 3)"), ("ratio", "round(r / nullif(g, 0), 3)")):
@@ -138,7 +136,7 @@ for _metric, _value in (("percent", "r * 100"), ("score", "round(CASE WHEN r > g
     SQL[f"window_{_metric}"] = sql(f'SELECT cell_id, chr, s AS "start", s + 1000 AS "end", {_value} AS value FROM (SELECT *, round(m / (m + u)::DOUBLE, 3) AS r FROM win) JOIN rates USING (cell_id)', "calls", "win", "rates")
 
 query("bed_percent", sql('SELECT cell_id, chr, "start", "end", round(m / (m + u)::DOUBLE, 4) * 100 AS value FROM (SELECT cell_id, b.chr, b."start", b."end", count(*) FILTER (c <> 0) AS m, count(*) FILTER (t <> 0) AS u, sum(c + t) AS n FROM calls JOIN bed b ON calls.chr = b.chr AND pos BETWEEN b."start" AND b."end" GROUP BY ALL) WHERE n >= 2', "calls", "bed"))(
-    lambda s, d, bed=bed: windows.make_windows(calls(s, d), bed=bed(s, d)))
+    lambda s, d: windows.make_windows(calls(s, d), bed=bed(s, d)))
 
 _GENE = """first_ AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY ord) = 1),
 counted AS (SELECT cell_id, gene_name AS feature, count(*) FILTER (c <> 0) AS m, count(*) FILTER (t <> 0) AS u, sum(c + t) AS n
@@ -164,7 +162,7 @@ query("uniform_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "en
 query("stepped_windows", sql('SELECT cell_id, chr, s AS "start", s + 1500 AS "end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM (SELECT calls.*, pos // 500 * 500 - o * 500 AS s FROM calls CROSS JOIN (VALUES (0), (1), (2)) v(o)) GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls"))(
     lambda s, d: cli.aggregate(calls(s, d), cli.parse_uniform("1500:500")).drop("name"))
 query("custom_windows", sql('SELECT cell_id, b.chr, b."start", b."end", sum(c)::BIGINT AS c, sum(t)::BIGINT AS t, count(*) FILTER (c <> 0) AS c_nz, count(*) FILTER (t <> 0) AS t_nz FROM calls JOIN bed b ON calls.chr = b.chr AND pos >= b."start" AND pos < b."end" GROUP BY ALL HAVING sum(c) <> 0 OR sum(t) <> 0', "calls", "bed"))(
-    lambda s, d, bed=bed: windows.aggregate_windows(windows.custom_windows(calls(s, d), bed(s, d))))
+    lambda s, d: windows.aggregate_windows(windows.custom_windows(calls(s, d), bed(s, d))))
 query("context_whitelist", sql("SELECT cell_id, count(*) AS n FROM calls WHERE cell_id IN (SELECT cell_id FROM cells WHERE batch = 0) GROUP BY cell_id", "calls", "cells"))(
     lambda s, d: windows.only(calls(s, d), cells(s, d).where("batch = 0"), "cell_id").groupBy("cell_id").agg(F.count("*").alias("n")))
 query("context_blacklist", sql("SELECT cell_id, count(*) AS n FROM calls WHERE cell_id NOT IN (SELECT cell_id FROM cells WHERE batch = 0) GROUP BY cell_id", "calls", "cells"))(
@@ -185,6 +183,17 @@ f AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY gene_name ORDE
 SELECT cell_id, gene_name, round(avg(v), 6) AS value FROM w JOIN f ON w.chr = f.chr AND s >= "start" AND s + 500 <= "end" GROUP BY ALL""")(
     lambda s, d: r6(windows.fuzzy_gene_windows(calls(s, d), genes(s, d)), "value"))
 
+query("sliding_window_means", sql("""SELECT grp, chr, "start", "end", round(avg(v), 6) AS value FROM (
+  SELECT cell_id, chr, s AS "start", s + 1500 AS "end", round(count(*) FILTER (c <> 0) / (count(*) FILTER (c <> 0) + count(*) FILTER (t <> 0))::DOUBLE, 3) * 100 AS v
+  FROM (SELECT calls.*, pos // 500 * 500 - o * 500 AS s FROM calls CROSS JOIN (VALUES (0), (1), (2)) v(o)) GROUP BY ALL HAVING sum(c + t) >= 2) JOIN cells USING (cell_id) GROUP BY ALL""", "calls", "cells"))(
+    lambda s, d: r6(windows.make_windows(calls(s, d), stepsize=1500, slide=500, groups=cells(s, d)), "value"))
+query("aggregated_scan", sql("SELECT * FROM agg", "calls", "agg"))(lambda s, d: _written_windows(s, d))
+query("metacell_score", "WITH " + ",\n".join(CTES[k] for k in ("calls", "cells", "rates", "win", "members")) + """,
+mr AS (SELECT metacell_id, avg(g) AS g FROM members JOIN rates USING (cell_id) GROUP BY 1),
+p AS (SELECT metacell_id, chr, s, sum(m) / sum(m + u)::DOUBLE AS r FROM win JOIN members USING (cell_id) GROUP BY ALL)
+SELECT metacell_id, chr, s AS "start", s + 1000 AS "end", round(CASE WHEN r > g THEN (r - g) / nullif(1 - g, 0) ELSE (r - g) / nullif(g, 0) END + 1e-9, 3) AS value FROM p JOIN mr USING (metacell_id)""")(
+    lambda s, d: windows.metacell_windows(calls(s, d), members(s, d), 1000, "score", rates=rates(calls(s, d))))
+
 # --- matrices
 
 query("aggregate_matrix", sql("SELECT feature, grp, round(avg(value), 6) AS value FROM mat JOIN cells USING (cell_id) WHERE grp IN (SELECT grp FROM cells GROUP BY grp HAVING count(*) >= 5) GROUP BY ALL HAVING count(value) > 2", "calls", "cells", "win", "mat"))(
@@ -225,17 +234,32 @@ _ADJ = {
     "bh": "least(1, min(pval * n / hi) OVER (PARTITION BY {by} ORDER BY pval DESC))",
     "holm": "least(1, max((n - lo + 1) * pval) OVER (PARTITION BY {by} ORDER BY pval))",
     "hochberg": "least(1, min((n - hi + 1) * pval) OVER (PARTITION BY {by} ORDER BY pval DESC))",
+    "fdr": "least(1, min(pval * n / hi) OVER (PARTITION BY {by} ORDER BY pval DESC))",
+    "by": "least(1, min(pval * n / hi) OVER (PARTITION BY {by} ORDER BY pval DESC) * list_sum([1 / i::DOUBLE for i in range(1, n + 1)]))",
 }
 for _m, _e in _ADJ.items():
     _by = "1"
-    QUERIES[f"padj_{_m}"] = lambda s, d, m=_m: r6(stats.adjust(pseudo(s, d), method={"bh": "BH"}.get(m, m)), "padj")
+    QUERIES[f"padj_{_m}"] = lambda s, d, m=_m: r6(stats.adjust(pseudo(s, d), method={"bh": "BH", "by": "BY"}.get(m, m)), "padj")
     SQL[f"padj_{_m}"] = sql("", "calls", "cells", "bulk", "sm", "pseudo").rstrip() + ",\n" + _RANKS.format(by=_by) + f'\nSELECT chr, "start", test, pval, round({_e.format(by=_by)}, 6) AS padj FROM r'
 query("padj_within_test", sql("", "calls", "cells", "bulk", "sm", "pseudo").rstrip() + ",\n" + _RANKS.format(by="test") + f'\nSELECT chr, "start", test, pval, round({_ADJ["bh"].format(by="test")}, 6) AS padj FROM r')(
     lambda s, d: r6(stats.adjust(pseudo(s, d), method="BH", by=["test"]), "padj"))
-query("padj_hommel")(lambda s, d: stats.adjust(pseudo(s, d), method="hommel", by=["test"]))
+query("padj_hommel", sql("", "calls", "cells", "bulk", "sm", "pseudo").rstrip() + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY pval) AS i, count(*) OVER (PARTITION BY test) AS n FROM pseudo),
+l AS (SELECT test, n, list(pval ORDER BY i) AS p FROM r GROUP BY test, n),
+ms AS (SELECT test, n, p, unnest(range(2, n)) AS m FROM l),
+q AS (SELECT test, n, m, p[n - m + 1] AS edge, list_min([m * p[n - m + j] / j::DOUBLE for j in range(2, m + 1)]) AS q1 FROM ms),
+s AS (SELECT test, min(n * pval / i::DOUBLE) AS simes FROM r GROUP BY test),
+b AS (SELECT r.test, r.i, max(least(m * least(r.pval, edge), q1)) AS v FROM r JOIN q ON q.test = r.test GROUP BY r.test, r.i)
+SELECT chr, "start", test, pval, round(least(1, greatest(pval, simes, coalesce(v, 0))), 6) AS padj FROM r JOIN s USING (test) LEFT JOIN b USING (test, i)""")(lambda s, d: r6(stats.adjust(pseudo(s, d), method="hommel", by=["test"]), "padj"))
 
 _D = (*_T, "fc", "midp", "dmr")
 query("dmr_filter", sql('SELECT chr, "start", "end", test, mc, mt, nc, nt, "logFC", round(padj, 6) AS padj, direction FROM dmr', *_D))(lambda s, d: r6(dmrs(s, d), "padj").drop("pval"))
+_PADJ = """nt AS (SELECT count(*) AS n, count(DISTINCT (chr, "start", "end")) AS w FROM fc JOIN midp USING (mc, mt, nc, nt)),
+adj AS (SELECT chr, "start", "end", test, mc, mt, nc, nt, "logFC", pval, least(1, pval * nt.{n}) AS padj, CASE WHEN "logFC" < 0 THEN 'hypo' ELSE 'hyper' END AS direction FROM fc JOIN midp USING (mc, mt, nc, nt), nt)
+SELECT chr, "start", "end", test, mc, mt, nc, nt, "logFC", round(pval, 6) AS pval, round(padj, 6) AS padj, direction FROM adj"""
+query("dmr_keep_all", sql("", *_T, "fc", "midp").rstrip() + ",\n" + _PADJ.format(n="n"))(lambda s, d: r6(dmr.filter_dmr(dmr.test_dmr(sm(s, d)), keep_all=True), "pval", "padj"))
+query("dmr_within_group", sql("", *_T, "fc", "midp").rstrip() + ",\n" + _PADJ.format(n="w") + """ WHERE padj < 0.9 AND abs("logFC") > 0.3""")(
+    lambda s, d: r6(dmr.filter_dmr(dmr.test_dmr(sm(s, d)), level="withinGroup", p_threshold=0.9, log_threshold=0.3), "pval", "padj"))
 _ISLES = """pad AS (SELECT *, "start" - 500 AS s, "end" + 500 AS e FROM dmr),
 m AS (SELECT *, max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM pad),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m),
@@ -248,7 +272,7 @@ query("dmr_annotate", sql("", "genes", *_D).rstrip() + ",\n" + _ISLES.format(k="
 f AS (SELECT * FROM genes QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY ord) = 1)
 SELECT col.*, (SELECT string_agg(gene_name, ', ' ORDER BY "start", gene_name) FROM f WHERE f.chr = col.chr AND f."start" <= dmr_end AND f."end" >= dmr_start) AS gene_names FROM col""")(
     lambda s, d: r5(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d)), "dmr_padj", "dmr_logFC"))
-query("dmr_gene_list")(lambda s, d: dmr.gene_list(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d))))
+query("dmr_gene_list", SQL["dmr_annotate"].replace("SELECT col.*, (SELECT", "SELECT DISTINCT test, unnest(string_split(gene_names, ', ')) AS gene_name FROM (SELECT col.*, (SELECT") + ")")(lambda s, d: dmr.gene_list(dmr.annotate(dmr.collapse_dmr(dmrs(s, d), 500, 500), genes(s, d))))
 
 _RS = """v AS (SELECT feature, grp, value FROM mat JOIN cells USING (cell_id)),
 rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY feature, value) AS tie, count(*) OVER (PARTITION BY feature) AS n FROM v),
@@ -267,17 +291,23 @@ b AS (SELECT feature, 'batch' || batch AS ref, avg(value) AS y FROM mat JOIN cel
 cr AS (SELECT ref, grp, round(corr(x, y), 6) AS r FROM a JOIN b USING (feature) GROUP BY ALL)"""
 
 
-def _correlated(s, d, method="pearson"):
+def _correlated(s, d, method="pearson", digits=None):
+    """digits: means are rounded, so that ties are ties however they were added up."""
     m = mat(s, d).join(cells(s, d), "cell_id")
-    a = m.groupBy("feature", "grp").agg(F.avg("value").alias("value"))
-    b = m.groupBy("feature", F.concat(F.lit("batch"), F.col("batch").cast("string")).alias("ref")).agg(F.avg("value").alias("value"))
+    mean = F.avg("value") if digits is None else F.round(F.avg("value"), digits)
+    a = m.groupBy("feature", "grp").agg(mean.alias("value"))
+    b = m.groupBy("feature", F.concat(F.lit("batch"), F.col("batch").cast("string")).alias("ref")).agg(mean.alias("value"))
     return matrix.reference_correlation(a, b, method)
 
 
 query("reference_correlation", sql("", "calls", "cells", "win", "mat").rstrip() + ",\n" + _REF + "\nSELECT * FROM cr")(lambda s, d: r6(_correlated(s, d), "r"))
 query("top_correlations", sql("", "calls", "cells", "win", "mat").rstrip() + ",\n" + _REF + "\nSELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r DESC, ref)::INTEGER AS rank FROM cr) WHERE rank <= 1")(
     lambda s, d: matrix.top_correlations(r6(_correlated(s, d), "r"), 1))
-query("spearman_correlation")(lambda s, d: _correlated(s, d, "spearman"))
+query("spearman_correlation", sql("", "calls", "cells", "win", "mat").rstrip() + ",\n" + _REF.rsplit(",\ncr AS", 1)[0].replace("avg(value)", "round(avg(value), 6)") + """,
+j AS (SELECT ref, grp, x, y FROM a JOIN b USING (feature)),
+k AS (SELECT ref, grp, rank() OVER (PARTITION BY ref, grp ORDER BY x) + (count(*) OVER (PARTITION BY ref, grp, x) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY ref, grp ORDER BY y) + (count(*) OVER (PARTITION BY ref, grp, y) - 1) / 2.0::DOUBLE AS y FROM j)
+SELECT ref, grp, round(corr(x, y), 6) AS r FROM k GROUP BY ALL""")(lambda s, d: r6(_correlated(s, d, "spearman", 6), "r"))
+query("kendall_correlation")(lambda s, d: _correlated(s, d, "kendall"))
 query("dual_rank_top", sql("", *_D).rstrip() + """,
 q AS (SELECT chr, "start", "end", test, direction, round(padj, 6) AS padj, "logFC" FROM dmr),
 k AS (SELECT *, row_number() OVER (PARTITION BY test, direction ORDER BY padj, chr, "start", "end")::INTEGER AS rank_p, row_number() OVER (PARTITION BY test, direction ORDER BY abs("logFC") DESC, chr, "start", "end")::INTEGER AS rank_fc FROM q)
@@ -286,23 +316,49 @@ SELECT *, rank_p + rank_fc AS total_rank FROM k QUALIFY rank() OVER (PARTITION B
 query("overlap_class_share", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
 h AS (SELECT DISTINCT g.chr, g."start", g."end", strand, EXISTS (SELECT 1 FROM bed b WHERE b.chr = g.chr AND b."start" <= g."end" AND b."end" >= g."start") AS has_overlap FROM genes g)
 SELECT strand, has_overlap AS "overlaps", count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY strand)::DOUBLE, 6) AS share FROM h GROUP BY strand, has_overlap""")(
-    lambda s, d, bed=bed: r6(dmr.overlap_shares(genes(s, d), bed(s, d), "strand"), "share"))
+    lambda s, d: r6(dmr.overlap_shares(genes(s, d), bed(s, d), "strand"), "share"))
 query("region_venn", "WITH " + ",\n".join(CTES[k] for k in ("genes", "bed")) + """,
 a AS (SELECT chr, "start", "end", 'genes' AS name FROM genes UNION ALL SELECT chr, "start", "end", 'bed' FROM bed),
 m AS (SELECT *, max("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM a),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR "start" > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT chr, min("start") AS "start", max("end") AS "end", string_agg(DISTINCT name, ',' ORDER BY name) AS members FROM i GROUP BY chr, g""")(
-    lambda s, d, bed=bed: dmr.region_venn(genes(s, d).select("chr", "start", "end", F.lit("genes").alias("name")).unionByName(bed(s, d).withColumn("name", F.lit("bed")))))
+    lambda s, d: dmr.region_venn(genes(s, d).select("chr", "start", "end", F.lit("genes").alias("name")).unionByName(bed(s, d).withColumn("name", F.lit("bed")))))
 query("covered_sites", sql('SELECT DISTINCT calls.chr, pos FROM calls JOIN bed b ON calls.chr = b.chr AND pos BETWEEN b."start" AND b."end"', "calls", "bed"))(
-    lambda s, d, bed=bed: dmr.covered_sites(bed(s, d), calls(s, d).select("chr", "pos")))
+    lambda s, d: dmr.covered_sites(bed(s, d), calls(s, d).select("chr", "pos")))
 query("balanced_downsample", sql("", "calls", "cells", "win", "mat").rstrip() + """,
 b AS (SELECT cell_id, grp, ((row_number() OVER (PARTITION BY grp ORDER BY cell_id) - 1) % 5)::INTEGER AS bin FROM cells)
 SELECT grp, bin, feature, round(avg(value), 6) AS value FROM mat JOIN b USING (cell_id) GROUP BY ALL""")(lambda s, d: r6(dmr.balanced_means(mat(s, d), cells(s, d), 5), "value"))
-query("group_regression", "SELECT l_returnflag AS grp, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag")(
-    lambda s, d: r6(dmr.group_regression(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "grp"), "grp", "l_quantity", "l_extendedprice"), "slope", "r2").withColumn("intercept", F.round("intercept", 4)))
+query("group_regression", """WITH f AS (SELECT l_returnflag AS grp, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1)
+SELECT grp, n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2 FROM f""")(
+    lambda s, d: r6(dmr.group_regression(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "grp"), "grp", "l_quantity", "l_extendedprice"), "slope", "r2").withColumn("intercept", F.round("intercept", 4)).drop("p_value"))
+# the tail of Student's t as an integral over an angle, by Simpson's rule
+query("regression_p_values", """WITH f AS (SELECT c_nationkey AS grp, count(*) AS n, regr_slope(c_acctbal, c_custkey) AS slope, corr(c_custkey, c_acctbal) AS r FROM customer GROUP BY 1),
+t AS (SELECT *, atan(abs(r) / sqrt(1 - r * r)) AS a, n - 2 AS v FROM f),
+g AS (SELECT *, (pi() / 2 - a) / 4000 AS h, exp(lgamma((v + 1) / 2.0::DOUBLE) - lgamma(v / 2.0::DOUBLE)) / sqrt(pi()) AS k FROM t),
+i AS (SELECT grp, n, slope, h, k, unnest(range(0, 4001)) AS j, a, v FROM g)
+SELECT grp, n, round(slope, 6) AS slope, round(2 * any_value(k) * sum(CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(a + j * h), 0), v - 1)) * any_value(h) / 3, 6) AS p_value FROM i GROUP BY grp, n, slope""")(
+    lambda s, d: r6(dmr.group_regression(table(s, d, "customer").withColumnRenamed("c_nationkey", "grp"), "grp", "c_custkey", "c_acctbal"), "slope", "p_value").select("grp", "n", "slope", "p_value"))
 
 # --- genes, ranges, containers
 
+
+def _populated(s, d):
+    """A track that has one gene's windows (with other values), filled up for two genes and their surroundings."""
+    tracks = sm(s, d).select("chr", "start", "end", "grp", "pct")
+    own = workspace.populate_track(None, tracks, genes(s, d), ["Brand#1_ECONOMY"], overhang=0).withColumn("pct", -F.col("pct"))
+    return workspace.populate_track(own, tracks, genes(s, d), ["Brand#1_ECONOMY", "Brand#2_ECONOMY"])
+
+
+def _annotated(s, d):
+    """Two annotation columns written as a file without a header, read and joined."""
+    path = f"{shared_folder(s)}/annot-{uuid.uuid4().hex}"
+    parity = F.when(F.col("cell_id") % 2 == 0, "even").otherwise("odd")
+    cells(s, d).select("cell_id", F.concat(F.lit("L"), (F.col("cell_id") % 3).cast("string")), parity).write.csv(path, sep="\t")
+    own = cells(s, d).select(F.col("cell_id").cast("string").alias("cell_id"), "grp")
+    return workspace.add_metadata(own, readers.read_annotation(s, path, "kind", "parity")).withColumn("cell_id", F.col("cell_id").cast("bigint"))
+
+
+
 query("chr_index", sql("SELECT cell_id, chr, min(i) AS \"start\", count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY chr, pos, c, t) AS i FROM calls) WHERE NOT regexp_matches(chr, '_|EBV|M') GROUP BY ALL", "calls"))(
     lambda s, d: intervals.chromosome_index(calls(s, d)))
 query("gene_index", sql("SELECT cell_id, gene_name, min(i) AS first, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY chr, pos, c, t) AS i FROM calls) x JOIN genes g ON g.chr = x.chr AND pos BETWEEN g.\"start\" AND g.\"end\" GROUP BY ALL", "calls", "genes"))(
@@ -317,13 +373,13 @@ query("coding_promoters", sql("""SELECT chr, tss - 1500 AS "start", tss + 1500 A
 query("parse_regions", sql("""SELECT DISTINCT split_part(feature, '_', 1) AS chr, split_part(feature, '_', 2)::BIGINT AS "start", split_part(feature, '_', 3)::BIGINT AS "end" FROM mat""", "calls", "win", "mat"))(
     lambda s, d: intervals.parse_regions(mat(s, d).select("feature").distinct(), "feature"))
 query("windows_in_ranges", sql("""SELECT DISTINCT m.chr, m."start", m."end" FROM (SELECT DISTINCT chr, s AS "start", s + 1000 AS "end" FROM win) m JOIN bed b ON b.chr = m.chr AND m."start" >= b."start" AND m."end" <= b."end\"""", "calls", "win", "bed"))(
-    lambda s, d, bed=bed: intervals.windows_within(windows.make_windows(calls(s, d), stepsize=1000).select("chr", "start", "end").distinct(), bed(s, d)))
+    lambda s, d: intervals.windows_within(windows.make_windows(calls(s, d), stepsize=1000).select("chr", "start", "end").distinct(), bed(s, d)))
 query("region_merge", "WITH " + CTES["bed"] + """,
 m AS (SELECT *, max("end") OVER (PARTITION BY chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM bed),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR "start" > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
-SELECT chr, min("start") AS "start", max("end") AS "end" FROM i GROUP BY chr, g""")(lambda s, d, bed=bed: intervals.merged(bed(s, d), ["chr"]))
-query("add_metadata", sql("SELECT c.cell_id, c.grp, c.batch, c.cov, n.n FROM cells c LEFT JOIN (SELECT cell_id, count(*) AS n FROM calls WHERE cell_id % 3 = 0 GROUP BY 1) n USING (cell_id)", "calls", "cells"))(
-    lambda s, d: workspace.add_metadata(cells(s, d), calls(s, d).where("cell_id % 3 = 0").groupBy("cell_id").agg(F.count("*").alias("n"))))
+SELECT chr, min("start") AS "start", max("end") AS "end" FROM i GROUP BY chr, g""")(lambda s, d: intervals.merged(bed(s, d), ["chr"]))
+query("add_metadata", sql("SELECT c.cell_id, c.grp, c.batch, c.cov, n.n FROM cells c LEFT JOIN (SELECT cell_id, count(*) AS n FROM calls GROUP BY 1) n USING (cell_id)", "calls", "cells"))(
+    lambda s, d: workspace.add_metadata(cells(s, d), calls(s, d).groupBy("cell_id").agg(F.count("*").alias("n"))))
 query("add_prefix", sql("SELECT 'a_' || cell_id AS cell_id, feature, value FROM mat", "calls", "win", "mat"))(lambda s, d: workspace.Workspace(cells=cells(s, d), matrices={"m": mat(s, d)}).add_prefix("a_").matrices["m"])
 query("subset_cells", sql("SELECT * FROM mat WHERE cell_id IN (SELECT cell_id FROM cells WHERE grp = 'ASIA')", "calls", "cells", "win", "mat"))(
     lambda s, d: workspace.Workspace(cells=cells(s, d), matrices={"m": mat(s, d)}).subset(cells(s, d).where("grp = 'ASIA'")).matrices["m"])
@@ -332,10 +388,17 @@ query("combine_union", sql("SELECT '1_' || cell_id AS cell_id, feature, value FR
 query("track_upsert")(
     lambda s, d: workspace.upsert_track(sm(s, d).select("chr", "start", "end", "grp", "pct").where("start % 1000 = 0"), sm(s, d).select("chr", "start", "end", "grp", (F.col("pct") * 0 - 1).alias("pct"))))
 SQL["track_upsert"] = sql("""SELECT chr, "start", "end", grp, CASE WHEN "start" % 1000 = 0 THEN round(100::DOUBLE * c / (c + t)::DOUBLE, 2) ELSE -1 END AS pct FROM sm""", "calls", "cells", "bulk", "sm")
+query("populate_track", sql("", "calls", "cells", "genes", "bulk", "sm").rstrip() + """,
+rg AS (SELECT * FROM genes WHERE gene_name IN ('Brand#1_ECONOMY', 'Brand#2_ECONOMY') QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY "end" - "start" DESC, ord) = 1),
+tr AS (SELECT chr, "start", "end", grp, round(100::DOUBLE * c / (c + t)::DOUBLE, 2) AS pct, EXISTS (SELECT 1 FROM rg b WHERE gene_name = 'Brand#1_ECONOMY' AND b.chr = sm.chr AND sm."start" >= greatest(0, b."start") AND sm."end" <= b."end") AS old,
+  EXISTS (SELECT 1 FROM rg b WHERE b.chr = sm.chr AND sm."start" >= greatest(0, b."start" - 5000) AND sm."end" <= b."end" + 5000) AS new FROM sm)
+SELECT chr, "start", "end", grp, CASE WHEN old THEN -pct ELSE pct END AS pct FROM tr WHERE old OR new""")(
+    lambda s, d: _populated(s, d))
+query("add_annotation", sql("SELECT c.cell_id, c.grp, 'L' || c.cell_id % 3 AS kind, CASE WHEN c.cell_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM cells c", "cells"))(lambda s, d: _annotated(s, d))
 query("job_membership", sql("SELECT metacell_id, string_agg('b' || cell_id, ',' ORDER BY 'b' || cell_id) AS barcodes FROM members GROUP BY 1", "cells", "members"))(
     lambda s, d: members(s, d).groupBy("metacell_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("b"), F.col("cell_id").cast("string")))), ",").alias("barcodes")))
 query("job_json")(lambda s, d: metacells.job_spec(members(s, d), cells(s, d).select("cell_id", F.concat(F.lit("b"), F.col("cell_id").cast("string")).alias("barcode"), F.lit("/x.h5").alias("path")), windows.genome_grid(genomes.chromosome_sizes(s, "mm39"), 10_000_000)))
-query("marker_genes")(lambda s, d: readers.fetch_markers(s, "human"))
+query("marker_genes", "SELECT unnest([" + ", ".join(f"'{g.upper()}'" for g in readers.PBMC_MARKERS) + "]) AS gene_name")(lambda s, d: readers.fetch_markers(s, "human"))
 
 # --- neighbours, labels, reductions
 
@@ -372,8 +435,8 @@ query("umap")(lambda s, d: reduce.umap(embedding(s, d)))
 query("tsne")(lambda s, d: reduce.tsne(embedding(s, d)))
 query("impute")(lambda s, d: reduce.impute(mat(s, d), cells(s, d)))
 query("metacells")(lambda s, d: metacells.make_metacells(embedding(s, d), 25))
-query("metacells_dbscan")(lambda s, d: metacells.make_metacells(embedding(s, d), 25, mode="dbscan", dims=4))
-query("metacells_adaptive")(lambda s, d: metacells.make_metacells(embedding(s, d), 25, mode="adaptive", dims=4))
+query("metacells_dbscan")(lambda s, d: metacells.make_metacells(embedding(s, d), 25, mode="dbscan"))
+query("metacells_adaptive")(lambda s, d: metacells.make_metacells(embedding(s, d), 25, mode="adaptive"))
 
 
 @query("doublet_scores")
@@ -394,18 +457,26 @@ query("dim_labels", "WITH " + CTES["cells"] + f",\n{_LAY}\nSELECT grp, round(avg
 query("dim_points", "WITH " + CTES["cells"] + f",\n{_LAY}\nSELECT * FROM cells JOIN lay USING (cell_id)")(lambda s, d: plotdata.dim_points(cells(s, d), layout(s, d)))
 query("dim_values", sql("", "calls", "cells", "win", "mat").rstrip() + f",\n{_LAY}\nSELECT cell_id, feature, value, grp, batch, cov, dim_x, dim_y FROM mat JOIN cells USING (cell_id) JOIN lay USING (cell_id) WHERE feature IN ('chr1_0_1000', 'chr2_1000_2000')")(
     lambda s, d: plotdata.dim_values(mat(s, d), ["chr1_0_1000", "chr2_1000_2000"], cells(s, d), layout(s, d)))
-query("dim_blend")(lambda s, d: plotdata.blended(mat(s, d), ["chr1_0_1000", "chr2_1000_2000"], layout(s, d)))
+query("dim_blend", sql("", "calls", "win", "mat").rstrip() + f""",
+{_LAY},
+v AS (SELECT cell_id, max(value) FILTER (feature = 'chr1_0_1000') AS r, max(value) FILTER (feature = 'chr2_1000_2000') AS g, (SELECT max(value) FROM mat WHERE feature IN ('chr1_0_1000', 'chr2_1000_2000')) AS top FROM mat GROUP BY cell_id)
+SELECT cell_id, dim_x, dim_y, '#' || printf('%02X', round(r / top * 255)::INTEGER) || printf('%02X', round(g / top * 255)::INTEGER) || '00' AS mix FROM v JOIN lay USING (cell_id) WHERE r IS NOT NULL AND g IS NOT NULL""")(lambda s, d: plotdata.blended(mat(s, d), ["chr1_0_1000", "chr2_1000_2000"], layout(s, d)))
 query("violin_values", sql("SELECT feature, cell_id, grp, value FROM mat JOIN cells USING (cell_id) WHERE feature IN ('chr1_0_1000', 'chr3_2000_3000')", "calls", "cells", "win", "mat"))(
     lambda s, d: plotdata.violin_values(mat(s, d), ["chr1_0_1000", "chr3_2000_3000"], cells(s, d), "grp"))
 query("dot_means", sql("SELECT grp, feature, round(avg(value), 6) AS mean_size, round(avg(value / 100), 6) AS mean_colour FROM mat JOIN cells USING (cell_id) WHERE feature IN ('chr1_0_1000', 'chr3_2000_3000') GROUP BY ALL", "calls", "cells", "win", "mat"))(
     lambda s, d: r6(plotdata.dot_means(mat(s, d), mat(s, d).withColumn("value", F.col("value") / 100), ["chr1_0_1000", "chr3_2000_3000"], cells(s, d), "grp"), "mean_size", "mean_colour"))
 query("heat_track")(
-    lambda s, d, bed=bed: r6(plotdata.track_values(sm(s, d).select("grp", "chr", "start", "end", "pct"), bed(s, d), 1000, True), "glob_m"))
+    lambda s, d: r6(plotdata.track_values(sm(s, d).select("grp", "chr", "start", "end", "pct"), bed(s, d), 1000, True), "glob_m"))
 SQL["heat_track"] = sql("", "calls", "cells", "bulk", "sm", "bed").rstrip() + """,
 tr AS (SELECT grp, chr, "start", "end", round(100::DOUBLE * c / (c + t)::DOUBLE, 2) AS pct FROM sm),
 gm AS (SELECT grp, round(avg(pct), 6) AS glob_m FROM tr GROUP BY grp)
 SELECT tr.*, ("start" + "end") / 2::DOUBLE AS middle, glob_m FROM tr JOIN gm USING (grp)
 WHERE EXISTS (SELECT 1 FROM bed b WHERE b.chr = tr.chr AND tr."start" >= greatest(0, b."start" - 1000) AND tr."end" <= b."end" + 1000)"""
+query("track_subset", sql("", "calls", "cells", "genes", "bulk", "sm").rstrip() + """,
+rg AS (SELECT * FROM genes WHERE gene_name = 'Brand#1_ECONOMY' QUALIFY row_number() OVER (PARTITION BY gene_name ORDER BY "end" - "start" DESC, ord) = 1)
+SELECT grp, chr, "start", "end", round(100::DOUBLE * c / (c + t)::DOUBLE, 2) AS pct, ("start" + "end") / 2::DOUBLE AS middle FROM sm
+WHERE regexp_matches(grp, '^A.*A$') AND EXISTS (SELECT 1 FROM rg b WHERE b.chr = sm.chr AND sm."start" >= greatest(0, b."start" - 5000) AND sm."end" <= b."end" + 5000)""")(
+    lambda s, d: plotdata.gene_track(sm(s, d).select("grp", "chr", "start", "end", "pct"), genes(s, d), ["Brand#1_ECONOMY"], baseline=False, subset="^A.*A$"))
 query("gene_track", sql("", "calls", "cells", "genes", "bulk", "sm").rstrip() + """,
 tr AS (SELECT grp, chr, "start", "end", round(100::DOUBLE * c / (c + t)::DOUBLE, 2) AS pct FROM sm),
 gm AS (SELECT grp, round(avg(pct), 6) AS glob_m FROM tr GROUP BY grp),
@@ -415,24 +486,19 @@ WHERE EXISTS (SELECT 1 FROM rg b WHERE b.chr = tr.chr AND tr."start" >= greatest
     lambda s, d: r6(plotdata.gene_track(sm(s, d).select("grp", "chr", "start", "end", "pct"), genes(s, d), ["Brand#1_ECONOMY", "Brand#2_ECONOMY"]), "glob_m"))
 query("genome_chr_order", "SELECT DISTINCT 'chr' || l_suppkey % 23 AS chr, dense_rank() OVER (ORDER BY l_suppkey % 23)::INTEGER AS chr_rank FROM lineitem")(
     lambda s, d: table(s, d, "lineitem").select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 23).cast("string")).alias("chr")).distinct().withColumn("chr_rank", F.row_number().over(Window.orderBy(*plotdata.chromosome_order(F.col("chr"))))))
-query("genome_heat")(lambda s, d: plotdata.genome_heat(matrix.aggregate_matrix(mat(s, d), cells(s, d), 5, 2)))
+query("genome_heat", sql("", "calls", "cells", "win", "mat").rstrip() + """,
+a AS (SELECT feature, grp, round(avg(value), 6) AS value FROM mat JOIN cells USING (cell_id) WHERE grp IN (SELECT grp FROM cells GROUP BY grp HAVING count(*) >= 5) GROUP BY ALL HAVING count(value) > 2)
+SELECT split_part(feature, '_', 1) AS chr, split_part(feature, '_', 2)::BIGINT AS "start", split_part(feature, '_', 3)::BIGINT AS "end", grp, value, dense_rank() OVER (ORDER BY substr(split_part(feature, '_', 1), 4)::INTEGER)::INTEGER AS chr_rank FROM a""")(
+    lambda s, d: r6(plotdata.genome_heat(matrix.aggregate_matrix(mat(s, d), cells(s, d), 5, 2)), "value"))
 query("color_max_q999", sql("SELECT 0::DOUBLE AS low, CASE WHEN avg(pct) > 10 THEN 100 ELSE quantile_cont(pct, 0.999) END::DOUBLE AS high FROM (SELECT round(round(100::DOUBLE * c / (c + t)::DOUBLE, 2) / 10, 4) AS pct FROM sm)", "calls", "cells", "bulk", "sm"))(
     lambda s, d: plotdata.colour_range(sm(s, d).select(F.round(F.col("pct") / 10, 4).alias("pct"))))
 query("metacell_points", "WITH " + CTES["cells"] + ",\n" + CTES["members"] + f""",
 {_LAY}, ml AS (SELECT metacell_id, round(avg(dim_x), 6) AS meta_x, round(avg(dim_y), 6) AS meta_y FROM members JOIN lay USING (cell_id) GROUP BY 1)
 SELECT cell_id, metacell_id, dim_x, dim_y, meta_x, meta_y FROM members JOIN lay USING (cell_id) JOIN ml USING (metacell_id)""")(
     lambda s, d: plotdata.metacell_points(members(s, d), layout(s, d), r6(members(s, d).join(layout(s, d), "cell_id").groupBy(F.col("metacell_id").alias("cell_id")).agg(F.avg("dim_x").alias("dim_x"), F.avg("dim_y").alias("dim_y")), "dim_x", "dim_y")))
-query("meta_map")(lambda s, d: plotdata.meta_map(windows.metacell_smoothed_windows(calls(s, d), members(s, d)).select("chr", "start", "end", F.col("metacell_id").alias("grp"), "pct"), bed_all(s, d)))
+query("meta_map")(lambda s, d: plotdata.meta_map(windows.metacell_smoothed_windows(calls(s, d), members(s, d)).select("chr", "start", "end", F.col("metacell_id").alias("grp"), "pct"), bed(s, d)))
 query("palettes")(lambda s, d: plotdata.palette_table(s))
 
-# --- the queries of bed and add_metadata over whole tables
-
-for _name in ("bed_percent", "custom_windows", "overlap_class_share", "region_venn", "covered_sites", "windows_in_ranges", "region_merge", "heat_track"):
-    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], bed=bed_all)
-    SQL[f"{_name}_all"] = SQL[_name].replace(CTES["bed"], BED_ALL)
-query("add_metadata_all", sql("SELECT c.cell_id, c.grp, c.batch, c.cov, n.n FROM cells c LEFT JOIN (SELECT cell_id, count(*) AS n FROM calls GROUP BY 1) n USING (cell_id)", "calls", "cells"))(
-    lambda s, d: workspace.add_metadata(cells(s, d), calls(s, d).groupBy("cell_id").agg(F.count("*").alias("n"))))
-
 # --- sequences, streaming kernels
 
 _FASTA = [(0, ">chrA test"), (1, "ACGTCCGA"), (2, "CGNNCATG"), (3, ">chrB"), (4, "TTCAGG"), (5, "C"), (6, "G")]

@@ -20,6 +20,26 @@ def write_calls(calls: DataFrame, path: str) -> None:
     calls.repartition("context", "chr", F.floor(F.col("pos") / 10_000_000)).sortWithinPartitions("cell_id", "pos").write.mode("overwrite").partitionBy("context", "chr").parquet(path)
 
 
+def read_aggregated(spark: SparkSession, path: str, name: str, context: str | None = None) -> DataFrame:
+    """Pre-aggregated windows of one name (and context) from a table partitioned by them: other partitions are not read."""
+    df = spark.read.parquet(path).where(F.col("name") == name)
+    return df.where(F.col("context") == context) if context else df
+
+
+def write_aggregated(windows: DataFrame, path: str, mode: str = "append") -> None:
+    """Partitioned by name and, where there is one, context."""
+    windows.write.mode(mode).partitionBy("name", *[c for c in ("context",) if c in windows.columns]).parquet(path)
+
+
+def saved(df: DataFrame, path: str | None, by: str | None = "chr") -> DataFrame:
+    """df written to path, by chromosome, and read back: a checkpoint to go on from. Without a path df itself."""
+    if path is None:
+        return df
+    keys = [by] if by and by in df.columns else []
+    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
 def read_h5_calls(spark: SparkSession, files: DataFrame, context: str = "CG") -> DataFrame:
     """cell_id, chr, pos, c, t from HDF5 files (barcode, path, optional prefix), where h5py is installed."""
     try:
@@ -55,8 +75,22 @@ def read_cell_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=", ".join(CELL_INFO[:n]))
 
 
-def read_annotation(spark: SparkSession, path: str, name: str = "annot") -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=f"cell_id string, {name} string")
+def read_annotation(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """cell_id and the named columns (one, annot, by default) of a headerless TSV; workspace.add_metadata() joins them."""
+    names = names or ("annot",)
+    found = len(spark.read.csv(path, sep="\t").columns)
+    if found != 1 + len(names):
+        raise ValueError(f"{found} columns; cell_id and {len(names)} more are named")
+    return spark.read.csv(path, sep="\t", schema=", ".join(["cell_id string", *(f"`{n}` string" for n in names)]))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """df with its rows' numbers from 1 in the order of its partitions: each counts its own rows and begins where those
+    before it end, so that no task sees all rows."""
+    own = df.withColumn("id_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("id_", 33))
+    counts = own.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+    return own.join(before, "part_").withColumn(column, F.col("id_").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before_") + 1).drop("id_", "part_", "before_")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -92,16 +126,52 @@ def read_gtf(spark: SparkSession, path: str, attributes: tuple[str, ...] = ("gen
 def read_scale_matrix(spark: SparkSession, mtx: str, features: str, cells: str) -> DataFrame:
     """feature, cell_id, value of one sample: MatrixMarket entries joined to their features' and passing cells' names.
 
-    Entries that the file leaves out are 0 within a sample; they stay left out here, see matrix.filled()."""
-    lines = spark.read.text(mtx).where(~F.col("value").startswith("%")).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    size = lines.withColumn("o", F.monotonically_increasing_id()).orderBy("o").limit(1).select("value").first()[0]
-    entries = lines.where(F.col("value") != size).select(F.col("p")[0].cast("bigint").alias("i"), F.col("p")[1].cast("bigint").alias("j"), F.col("p")[2].cast("double").alias("value"))
-    order = Window.orderBy("o")
-    names = spark.read.csv(features, sep="\t").select(F.col("_c0").alias("feature"), F.monotonically_increasing_id().alias("o")).withColumn("i", F.row_number().over(order)).drop("o")
-    barcodes = spark.read.csv(cells, header=True).withColumn("o", F.monotonically_increasing_id()).where(F.col("pass") == "pass").withColumn("j", F.row_number().over(order)).select("j", F.col("cell_id"))
+    The first line that is no comment states the size; it is left out by its place, not by what it says. Entries that
+    the file leaves out are 0 within a sample; they stay left out here, see read_scale_samples()."""
+    lines = spark.read.text(mtx).withColumn("o", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    header = lines.agg(F.min("o")).first()[0]
+    p = F.split(F.trim("value"), r"\s+")
+    entries = lines.where(F.col("o") > header).select(p[0].cast("bigint").alias("i"), p[1].cast("bigint").alias("j"), p[2].cast("double").alias("value"))
+    names = numbered(spark.read.csv(features, sep="\t").select(F.col("_c0").alias("feature")), "i")
+    barcodes = numbered(spark.read.csv(cells, header=True).where(F.col("pass") == "pass").select("cell_id"), "j")
     return entries.join(names, "i").join(barcodes, "j").select("feature", "cell_id", "value")
 
 
+def scale_samples(spark: SparkSession, directory: str) -> list[str]:
+    """The samples of a directory: those that have a *.allCells.csv file."""
+    names = spark.read.format("binaryFile").load(f"{directory}/*.allCells.csv").select("path")  # the column of contents is not read
+    return sorted(r[0] for r in names.select(F.regexp_extract("path", r"([^/]+)\.allCells\.csv$", 1)).collect())
+
+
+def read_scale_samples(spark: SparkSession, directory: str, matrix: str, zeros: bool = True) -> DataFrame:
+    """feature, cell_id, value of a matrix over all samples of a directory, one below the other.
+
+    A feature that a sample's list has is 0 in its cells where the file has no entry (with zeros); one that the list
+    lacks is missing in them."""
+    kind = next((k for k in ("CG", "CH") if k in matrix), None)
+    if kind is None:
+        raise ValueError(f"neither CG nor CH in the matrix's name: {matrix}")
+    out = None
+    for sample in scale_samples(spark, directory):
+        where, cells = f"{directory}/genome_bin_matrix/{sample}", f"{directory}/{sample}.allCells.csv"
+        own = read_scale_matrix(spark, f"{where}.{matrix}.mtx.gz", f"{where}.{kind}.features.tsv", cells)
+        if zeros:  # dense, as a sample's matrix is
+            names = spark.read.csv(f"{where}.{kind}.features.tsv", sep="\t").select(F.col("_c0").alias("feature"))
+            passing = spark.read.csv(cells, header=True).where(F.col("pass") == "pass").select("cell_id")
+            own = names.crossJoin(passing).join(own, ["feature", "cell_id"], "left").select("feature", "cell_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError(f"no *.allCells.csv in {directory}")
+    return out
+
+
+def read_scale_cells(spark: SparkSession, directory: str) -> DataFrame:
+    """The passing cells of all samples of a directory, with all columns and path, where their calls lie."""
+    df = spark.read.csv(f"{directory}/*.allCells.csv", header=True).withColumn("sample", F.regexp_extract(F.input_file_name(), r"([^/]+)\.allCells\.csv$", 1))
+    path = F.concat(F.lit(f"{directory}/methylation_coverage/amethyst/"), F.col("sample"), F.lit("/"), F.col("sample"), F.lit("."), F.col("tgmt_well"), F.lit("_cov.h5"))
+    return df.where(F.col("pass") == "pass").withColumn("path", path)
+
+
 def scale_paths(spark: SparkSession, pattern: str) -> DataFrame:
     """cell_id, path of the passing cells of all *.allCells.csv files of a directory."""
     df = spark.read.csv(pattern, header=True).withColumn("dir_", F.regexp_replace(F.input_file_name(), r"/[^/]*$", ""))
@@ -127,20 +197,25 @@ def sequence_lines(fasta: DataFrame, borrow: int) -> DataFrame:
     borrow bases before it (N where there are none).
 
     ord is as read_fasta() gives it: its high bits number the file splits. Lines are placed within their split; one row
-    for each split then says how its first lines go on from the splits before. A split that starts within a sequence is
-    taken to hold at least borrow of its bases."""
+    for each split then says how its first lines go on from the splits before, however few bases these hold. With a
+    column file no sequence goes on from one file to the next."""
     split = Window.partitionBy("split").orderBy("ord")
     head = F.col("value").startswith(">")
-    lines = fasta.withColumn("split", F.shiftright("ord", 33)).withColumn("head", head.cast("int")).withColumn("s", F.when(head, "").otherwise(F.upper("value")))
+    lines = fasta if "file" in fasta.columns else fasta.withColumn("file", F.lit(""))
+    lines = lines.withColumn("split", F.shiftright("ord", 33)).withColumn("head", head.cast("int")).withColumn("s", F.when(head, "").otherwise(F.upper("value")))
     lines = lines.withColumn("part", F.sum("head").over(split)).withColumn("name", F.last(F.when(head, F.regexp_extract("value", r"^>(\S*)", 1)), True).over(split))
     part = Window.partitionBy("split", "part").orderBy("ord")
     lines = lines.withColumn("here", F.coalesce(F.sum(F.length("s")).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     near = F.concat_ws("", *[F.lag("s", i).over(part) for i in range(borrow, 0, -1)])
     lines = lines.withColumn("near", near).where((F.length("s") > 0) | (F.col("head") == 1))
-    ends = lines.groupBy("split").agg(F.max("part").alias("parts"), F.max_by(F.struct("name", (F.col("here") + F.length("s")).alias("size"), F.concat("near", "s").alias("last")), "ord").alias("e"))
+    ends = lines.groupBy("split").agg(F.first("file").alias("file"), F.max("part").alias("parts"), F.max_by(F.struct("name", (F.col("here") + F.length("s")).alias("size"), F.concat("near", "s").alias("last")), "ord").alias("e"))
     order = Window.orderBy("split")
-    ends = ends.withColumn("run", F.sum((F.col("parts") > 0).cast("int")).over(order)).withColumn("sum_", F.sum("e.size").over(Window.partitionBy("run").orderBy("split")))
-    ends = ends.select(F.col("split").alias("split_"), F.lag("sum_").over(order).alias("carry"), F.lag("e.last").over(order).alias("carried"), F.last("e.name", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_name"))
+    starts = (F.col("parts") > 0) | ~F.col("file").eqNullSafe(F.lag("file").over(order))
+    run = Window.partitionBy("run").orderBy("split")
+    ends = ends.withColumn("run", F.sum(starts.cast("int")).over(order)).withColumn("sum_", F.sum("e.size").over(run)).withColumn("end_", F.array_join(F.collect_list("e.last").over(run), ""))
+    carried = lambda c: F.when(F.lag("file").over(order).eqNullSafe(F.col("file")), c)
+    name = F.last("e.name", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("split").alias("split_"), carried(F.lag("sum_").over(order)).alias("carry"), carried(F.lag("end_").over(order)).alias("carried"), carried(name).alias("carry_name"))
     first = F.col("part") == 0
     placed = lines.where("head = 0").join(ends, F.col("split") == F.col("split_"))
     tail = F.concat(F.lit("N" * borrow), F.when(first, F.coalesce("carried", F.lit(""))).otherwise(""), "near")
@@ -165,5 +240,5 @@ def scan_motifs(fasta: DataFrame, kind: str = "CG") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """ord, value of a FASTA file's lines; .gz is read as well."""
-    return spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    """ord, file, value of the lines of FASTA files; .gz is read as well."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.input_file_name().alias("file"), "value")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .operators.intervals import gene_ranges, windows_within
+from .sources.readers import read_scale_cells, read_scale_samples
 
 
 @dataclass
@@ -100,3 +104,48 @@ def upsert_track(track: DataFrame, incoming: DataFrame, force: bool = False) ->
 def missing_windows(wanted: DataFrame, track: DataFrame) -> DataFrame:
     """Windows (chr, start, end) that the track has not yet."""
     return wanted.join(track.select("chr", "start", "end").distinct(), ["chr", "start", "end"], "left_anti")
+
+
+def populate_track(track: DataFrame | None, windows: DataFrame, genes: DataFrame | None = None, names: list[str] | None = None, regions: DataFrame | None = None, which: str = "pct", overhang: int = 5000, force: bool = False) -> DataFrame:
+    """track with the windows (chr, start, end, grp and the column `which`) that lie in the ranges of the named genes, each
+    widened by overhang, or in regions (chr, start, end).
+
+    Windows that the track has are not read again, and stay as they are; with force they are read and replace what is
+    there. Without a track the windows found are the track."""
+    require_columns(windows, ["chr", "start", "end", "grp", which])
+    if (names is None) == (regions is None):
+        raise ValueError("give exactly one of names and regions")
+    if names is not None and genes is None:
+        raise ValueError("names need genes")
+    ranges = regions if regions is not None else gene_ranges(genes.where(F.col("gene_name").isin(names)), overhang)
+    wanted = windows_within(windows.select("chr", "start", "end").distinct(), ranges.select("chr", "start", "end"))
+    if track is not None and not force:
+        wanted = missing_windows(wanted, track)
+    found = windows.join(wanted, ["chr", "start", "end"], "left_semi").select("chr", "start", "end", "grp", F.col(which).alias("pct"))
+    return found if track is None else upsert_track(track, found, force)
+
+
+def require_columns(df: DataFrame, names: list[str], kind: str = "table") -> DataFrame:
+    """df, if it has the named columns; else an error that names those it lacks."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"the {kind} lacks the columns {missing}; it has {df.columns}")
+    return df
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def reduction_of(workspace: Workspace, name: str) -> DataFrame:
+    """A reduction by name, or an error that lists those there are."""
+    if name not in workspace.reductions:
+        raise ValueError(f"no reduction {name}; there are {sorted(workspace.reductions)}")
+    return require_columns(workspace.reductions[name], ["cell_id"], "reduction")
+
+
+def read_scale_workspace(spark: SparkSession, directory: str, matrices: list[str] = (), zeros: bool = True) -> Workspace:
+    """A workspace of the samples of a directory: passing cells, the paths of their calls, and matrices by name."""
+    cells = read_scale_cells(spark, directory)
+    paths = cells.select(F.col("cell_id").alias("barcode"), "path")
+    return Workspace(paths=paths, cells=cells.drop("path"), matrices={m: read_scale_samples(spark, directory, m, zeros) for m in matrices})

@@ -246,12 +246,10 @@ def test_command_line(spark, tmp_path, capsys):
 def test_whole_bed_reads_every_order_and_the_range_of_the_calls(spark, tmp_path):
     spark.createDataFrame([(k, 1) for k in range(1, 150)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(k, 1, 1, 1, 1.0, "R") for k in range(1, 150)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
-    regions = queries.bed_all(spark, str(tmp_path))
+    regions = queries.bed(spark, str(tmp_path))
     assert regions.count() == 149 and regions.agg(F.max("start")).first()[0] == 1491
-    assert queries.QUERIES["region_merge_all"](spark, str(tmp_path)).count() == 149
-    assert queries.QUERIES["covered_sites_all"](spark, str(tmp_path)).count() > queries.QUERIES["covered_sites"](spark, str(tmp_path)).count()
-    for name in [n for n in queries.SQL if n.endswith("_all")]:
-        assert "% 50 = 0" not in queries.SQL[name] and "cell_id % 3 = 0" not in queries.SQL[name], name
+    assert queries.QUERIES["region_merge"](spark, str(tmp_path)).count() == 149
+    assert not [n for n, text in queries.SQL.items() if "orderkey % 50 = 0" in text or "cell_id % 3 = 0 GROUP" in text]
 
 
 def test_layout_and_doublet_queries_use_the_defaults(monkeypatch):
@@ -264,3 +262,108 @@ def test_layout_and_doublet_queries_use_the_defaults(monkeypatch):
     for name in ("umap", "tsne", "doublet_scores"):
         queries.QUERIES[name](None, "")
     assert given == {"umap": {}, "tsne": {}, "fit_model": {}}
+
+
+def test_matrix_entries_like_the_header_stay(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n% a comment\n3 3 3\n3 3 3\n1 1 2\n3 3 3\n")
+    (tmp_path / "f.tsv").write_text("x\ny\nz\n")
+    (tmp_path / "c.csv").write_text("cell_id,pass\na,pass\nb,pass\nc,pass\n")
+    got = readers.read_scale_matrix(spark, *(str(tmp_path / n) for n in ("m.mtx", "f.tsv", "c.csv"))).collect()
+    assert sorted(map(tuple, got)) == [("x", "a", 2.0), ("z", "c", 3.0), ("z", "c", 3.0)]
+
+
+def test_samples_side_by_side(spark, tmp_path):
+    """Zeros within a sample, nothing where its features lack a window; cells that do not pass have no column."""
+    import gzip
+
+    (tmp_path / "genome_bin_matrix").mkdir()
+    for sample, feats, cells, entries in (("s1", "w1\nw2\n", "a,pass,A\nx,fail,A\nb,pass,B\n", "2 2 2\n1 1 5\n2 2 6\n"), ("s2", "w2\nw3\n", "c,pass,A\n", "2 1 1\n2 1 7\n")):
+        (tmp_path / f"{sample}.allCells.csv").write_text("cell_id,pass,tgmt_well\n" + cells)
+        (tmp_path / "genome_bin_matrix" / f"{sample}.CG.features.tsv").write_text(feats)
+        with gzip.open(tmp_path / "genome_bin_matrix" / f"{sample}.CG.score.mtx.gz", "wt") as f:
+            f.write("%%MatrixMarket\n" + entries)
+    w = workspace.read_scale_workspace(spark, str(tmp_path), ["CG.score"])
+    assert sorted(map(tuple, w.matrices["CG.score"].collect())) == [("w1", "a", 5.0), ("w1", "b", 0.0), ("w2", "a", 0.0), ("w2", "b", 6.0), ("w2", "c", 0.0), ("w3", "c", 7.0)]
+    assert sorted(r.cell_id for r in w.cells.collect()) == ["a", "b", "c"]
+    assert {r.barcode: r.path for r in w.paths.collect()}["b"] == f"{tmp_path}/methylation_coverage/amethyst/s1/s1.B_cov.h5"
+    assert readers.read_scale_samples(spark, str(tmp_path), "CG.score", zeros=False).count() == 3
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(100).repartition(7).sortWithinPartitions("id")
+    got = [r.n for r in readers.numbered(df, "n").collect()]
+    assert sorted(got) == list(range(1, 101))
+
+
+def test_delete_keeps_rows_without_a_context(spark, tmp_path):
+    df = spark.createDataFrame([("CG", "a"), (None, "b"), ("CH", "c")], "context string, cell_id string")
+    df.write.parquet(str(tmp_path / "calls"))
+    cli.main(["delete", "context", "CH", str(tmp_path / "calls"), str(tmp_path / "less")])
+    assert {r.cell_id for r in spark.read.parquet(str(tmp_path / "less")).collect()} == {"a", "b"}
+
+
+def test_motifs_across_short_splits_and_files(spark):
+    """Splits of one base, and a second file that begins without a header line."""
+    part = lambda n, i: (n << 33) + i
+    rows = [(part(0, 0), "f1", ">chr1"), (part(0, 1), "f1", "AAC"), (part(1, 0), "f1", "C"), (part(2, 0), "f1", "T"), (part(3, 0), "f1", "ACG"), (part(4, 0), "f2", "GTC"), (part(5, 0), "f2", ">chr2"), (part(5, 1), "f2", "CAA")]
+    df = spark.createDataFrame(rows, "ord bigint, file string, value string")
+    whole = spark.createDataFrame([(0, ">chr1"), (1, "AACCTACG"), (2, ">chr2"), (3, "CAA")], "ord bigint, value string")
+    for kind in ("CG", "CHN"):
+        got = [tuple(r) for r in readers.scan_motifs(df, kind).where("chr is not null").collect()]
+        assert sorted(got) == sorted(map(tuple, readers.scan_motifs(whole, kind).collect()))
+
+
+def test_annotation_of_several_columns(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("c1\tT\t1\nc2\tB\t2\n")
+    assert [tuple(r) for r in readers.read_annotation(spark, str(tmp_path / "a.tsv"), "type", "batch").collect()] == [("c1", "T", "1"), ("c2", "B", "2")]
+    with pytest.raises(ValueError):
+        readers.read_annotation(spark, str(tmp_path / "a.tsv"), "type")
+
+
+def test_calls_and_windows_in_partitions(spark, tmp_path):
+    calls = spark.createDataFrame([("CG", "a", "chr1", 5, 1, 0), ("CG", "a", "chr2", 7, 0, 1), ("CH", "a", "chr1", 5, 1, 1)], "context string, cell_id string, chr string, pos bigint, c bigint, t bigint")
+    readers.write_calls(calls, str(tmp_path / "calls"))
+    got = readers.read_calls(spark, str(tmp_path / "calls"), "CG", ["chr1"])
+    assert got.count() == 1 and "PartitionFilters: [isnotnull(context" in got._jdf.queryExecution().toString()
+    win = calls.withColumn("name", F.col("chr"))
+    readers.write_aggregated(win, str(tmp_path / "win"))
+    assert readers.read_aggregated(spark, str(tmp_path / "win"), "chr1").count() == 2
+    assert readers.read_aggregated(spark, str(tmp_path / "win"), "chr1", "CH").first().t == 1
+
+
+def test_saved_tables_go_on_as_they_were(spark, tmp_path):
+    calls = spark.createDataFrame([(f"c{i % 3}", f"chr{i % 2 + 1}", i * 100, i % 2, 1 - i % 2) for i in range(60)], "cell_id string, chr string, pos bigint, c bigint, t bigint")
+    cells = spark.createDataFrame([(f"c{i}", f"g{i % 2}") for i in range(3)], "cell_id string, grp string")
+    plain, kept = (windows.make_windows(calls, stepsize=1000, save=p) for p in (None, str(tmp_path / "w")))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect())) and (tmp_path / "w" / "chr=chr1").exists()
+    plain, kept = (windows.smoothed_windows(calls, cells, save=p) for p in (None, str(tmp_path / "s")))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_populating_a_track(spark):
+    schema = "chr string, start bigint, end bigint, grp string, pct double"
+    wins = spark.createDataFrame([("chr1", i * 100, i * 100 + 100, "g", float(i)) for i in range(20)], schema)
+    have = spark.createDataFrame([("chr1", 500, 600, "g", -1.0)], schema)
+    ranges = spark.createDataFrame([("chr1", 400, 800)], "chr string, start bigint, end bigint")
+    values = lambda df: {r.start: r.pct for r in df.collect()}
+    assert values(workspace.populate_track(have, wins, regions=ranges)) == {400: 4.0, 500: -1.0, 600: 6.0, 700: 7.0}
+    assert values(workspace.populate_track(have, wins, regions=ranges, force=True)) == {400: 4.0, 500: 5.0, 600: 6.0, 700: 7.0}
+    genes = spark.createDataFrame([("chr1", 600, 700, "G", "+", 1)], "chr string, start bigint, end bigint, gene_name string, strand string, ord long")
+    assert values(workspace.populate_track(None, wins, genes, ["G"], overhang=100)) == {500: 5.0, 600: 6.0, 700: 7.0}
+    with pytest.raises(ValueError):
+        workspace.populate_track(have, wins.drop("pct"), regions=ranges)
+    with pytest.raises(ValueError):
+        workspace.populate_track(have, wins, genes)
+
+
+def test_refinement_keeps_communities_connected():
+    """Blobs come out whole, and every community of the refined search hangs together."""
+    rng = np.random.default_rng(3)
+    n, edges = 60, set()
+    for g in range(3):
+        own = range(g * 20, g * 20 + 20)
+        edges |= {(a, b) for a in own for b in own if a < b and rng.random() < 0.5}
+    edges |= {(0, 20), (25, 45)}
+    i, j = np.array(sorted(edges)).T
+    label = cluster.communities(n, i, j, np.ones(len(i)), 0.2, "cpm", refine=True)
+    assert len(set(label.tolist())) == 3 and all(len(set(label[g * 20 : g * 20 + 20].tolist())) == 1 for g in range(3))
