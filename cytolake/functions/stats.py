@@ -28,19 +28,36 @@ def _table(size: int = 1 << 16) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, size, dtype=np.longdouble))))).astype(float)
 
 
-def midp_fisher(mc: int, mt: int, nc: int, nt: int) -> float:
-    """Two-sided mid-p of a 2x2 table: twice the smaller tail, the observed table counting half."""
+def midp_fisher(mc: np.ndarray, mt: np.ndarray, nc: np.ndarray, nt: np.ndarray) -> np.ndarray:
+    """Two-sided mid-p of 2x2 tables: twice the smaller tail, the observed table counting half.
+
+    Sums run over the tables within 40 standard deviations of the mean; what lies beyond is below the smallest number."""
+    mc, mt, nc, nt = (np.asarray(x, np.int64).ravel() for x in (mc, mt, nc, nt))
     m, n, k = mc + nc, mt + nt, mc + mt
-    x = np.arange(max(0, k - n), min(k, m) + 1)
-    logs = log_factorials(np.array([m, n, k, m + n - k, m + n]))
-    p = np.exp(logs[0] + logs[1] + logs[2] + logs[3] - logs[4] - log_factorials(x) - log_factorials(m - x) - log_factorials(k - x) - log_factorials(n - k + x))
-    at = p[x == mc].sum() / 2
-    return float(min(1.0, 2 * min(p[x < mc].sum() + at, p[x > mc].sum() + at)))
+    total = np.maximum(m + n, 1).astype(float)
+    mean = k * m / total
+    reach = 40 * np.sqrt(mean * (n / total) * ((m + n - k) / np.maximum(total - 1, 1))) + 40
+    low = np.maximum(np.maximum(0, k - n), np.floor(mean - reach).astype(np.int64))
+    high = np.minimum(np.minimum(k, m), np.ceil(mean + reach).astype(np.int64))
+    out = np.zeros(len(m))
+    size = np.maximum(high - low + 1, 1)
+    step = np.cumsum(size) // (1 << 21)  # so many terms at a time, or one table
+    for part in np.split(np.arange(len(m)), np.flatnonzero(np.diff(step)) + 1) if len(m) else []:
+        own = size[part]
+        start = np.cumsum(own) - own
+        t = np.repeat(part, own)
+        x = np.repeat(low[part] - start, own) + np.arange(int(own.sum()))
+        fixed = log_factorials(m[part]) + log_factorials(n[part]) + log_factorials(k[part]) + log_factorials((m + n - k)[part]) - log_factorials((m + n)[part])
+        p = np.exp(np.repeat(fixed, own) - log_factorials(x) - log_factorials(m[t] - x) - log_factorials(k[t] - x) - log_factorials(n[t] - k[t] + x))
+        half = np.add.reduceat(np.where(x == mc[t], p / 2, 0), start)
+        below, above = (np.add.reduceat(np.where(side, p, 0), start) + half for side in (x < mc[t], x > mc[t]))
+        out[part] = np.minimum(1.0, 2 * np.minimum(below, above))
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def _midp(mc: pd.Series, mt: pd.Series, nc: pd.Series, nt: pd.Series) -> pd.Series:
-    return pd.Series([midp_fisher(*map(int, r)) for r in zip(mc, mt, nc, nt, strict=True)], dtype="float64")
+    return pd.Series(midp_fisher(*(x.to_numpy() for x in (mc, mt, nc, nt))), dtype="float64")
 
 
 def with_midp(df: DataFrame, cols: tuple[str, str, str, str] = ("mc", "mt", "nc", "nt"), out: str = "pval") -> DataFrame:
@@ -171,21 +188,72 @@ def _rank_sum_counts(n1: int, n2: int) -> np.ndarray:
     return ways[n1] / ways[n1].sum()
 
 
-def rank_sum_p(n1: int, n2: int, w: float, z: float | None, ties: bool) -> float:
-    """Two-sided p: exact when both groups are below 50 and nothing is tied, else by the normal approximation."""
-    if n1 == 0 or n2 == 0:
-        return math.nan
-    if n1 < 50 and n2 < 50 and not ties:
-        share = _rank_sum_counts(n1, n2)
-        k = int(round(w))
-        tail = share[: k + 1].sum() if w <= n1 * n2 / 2 else share[k:].sum()
-        return min(1.0, 2 * tail)
-    return math.nan if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
+def rank_sum_p(n1: np.ndarray, n2: np.ndarray, w: np.ndarray, z: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Two-sided p: exact when both groups are below 50 and nothing is tied, else by the normal approximation.
+
+    Rows of the same group sizes share a distribution and are looked up together."""
+    n1, n2 = (np.asarray(x, np.int64).ravel() for x in (n1, n2))
+    w, z = (np.asarray(x, float).ravel() for x in (w, z))
+    ties = np.asarray(ties, bool).ravel()
+    out = 2 * normal_tail(np.abs(z))
+    exact = (n1 > 0) & (n2 > 0) & (n1 < 50) & (n2 < 50) & ~ties
+    sizes, which = np.unique(np.stack([n1[exact], n2[exact]], 1), axis=0, return_inverse=True)
+    rows = np.flatnonzero(exact)
+    for i, (a, b) in enumerate(sizes.tolist()):
+        own = rows[which.ravel() == i]
+        below = np.cumsum(_rank_sum_counts(a, b))
+        at = np.rint(w[own]).astype(np.int64)
+        upper = np.cumsum(_rank_sum_counts(a, b)[::-1])[::-1]
+        out[own] = np.minimum(1.0, 2 * np.where(w[own] <= a * b / 2, below[at], upper[at]))
+    out[(n1 == 0) | (n2 == 0)] = np.nan
+    return out
+
+
+def normal_tail(z: np.ndarray) -> np.ndarray:
+    """How likely a standard normal value is above z >= 0: by a series up to 3, by a continued fraction beyond."""
+    z = np.asarray(z, float)
+    x = np.minimum(np.nan_to_num(z), 3.0)
+    term, total = x.copy(), x.copy()
+    for k in range(1, 60):
+        term = term * x * x / (2 * k + 1)
+        total = total + term
+    near = 0.5 - np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * total
+    far = np.maximum(np.nan_to_num(z), 3.0)
+    f = far.copy()
+    for k in range(80, 0, -1):
+        f = far + k / f
+    return np.where(np.isnan(z), np.nan, np.where(z <= 3, near, np.exp(-far * far / 2) / math.sqrt(2 * math.pi) / f))
 
 
 @F.pandas_udf(T.DoubleType())
 def rank_sum_pvalue(n1: pd.Series, n2: pd.Series, w: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([rank_sum_p(int(a), int(b), float(c), d, bool(e)) for a, b, c, d, e in zip(n1, n2, w, z, ties, strict=True)], dtype="float64")
+    return pd.Series(rank_sum_p(*(x.to_numpy() for x in (n1, n2, w, z.astype("float64"), ties))), dtype="float64")
+
+
+def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """How likely the absolute value of Student's t is at least |t|, by the incomplete beta function's continued fraction."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    x = df / (df + t * t)
+    a, b = df / 2, np.full(df.shape, 0.5)
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + p * np.log(y) + q * np.log1p(-y)) / p
+        c, d = np.ones(y.shape), 1 / (1 - (p + q) * y / (p + 1))
+        h = d.copy()
+        for m in range(1, 300):
+            for up in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+                d = 1 / (1 + up * d)
+                c = 1 + up / c
+                h = h * c * d
+    part = np.where(y <= 0, 0.0, np.minimum(front * h, 1.0))
+    return np.where(np.isnan(t), np.nan, np.where(flip, 1 - part, part))
+
+
+@F.pandas_udf(T.DoubleType())
+def student_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(student_tail(t.to_numpy(dtype="float64", na_value=np.nan), df.to_numpy(dtype="float64", na_value=np.nan)), dtype="float64")
 
 
 def log2_ratio(a: Column, b: Column) -> Column:
@@ -194,10 +262,28 @@ def log2_ratio(a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), None).when(a == 0, -inf).when(b == 0, inf).otherwise(F.log2(F.try_divide(a, b)))
 
 
+def inversions(rank: np.ndarray) -> int:
+    """How many pairs of whole numbers from 0 stand in falling order: bit by bit, a larger one before a smaller one whose
+    higher bits are the same."""
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        rank = rank[np.argsort(rank >> (bit + 1), kind="stable")]
+        one = rank >> bit & 1
+        first = np.flatnonzero(np.concatenate(([True], np.diff(rank >> (bit + 1)) != 0)))
+        ones = np.cumsum(one)
+        before = np.repeat(ones[first] - one[first], np.diff(np.append(first, len(rank))))
+        total += int((ones - before)[one == 0].sum())
+    return total
+
+
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """Kendall's tau-b."""
-    if len(x) < 2:
+    """Kendall's tau-b, in memory and time that grow with the number of pairs of values (times its logarithm)."""
+    n = len(x)
+    if n < 2:
         return math.nan
-    dx, dy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
-    both = np.sqrt((dx != 0).sum() * (dy != 0).sum())
-    return float((dx * dy).sum() / both) if both else math.nan
+    ties = lambda v: sum(c * (c - 1) // 2 for c in np.unique(v, return_counts=True, axis=0)[1].tolist())
+    order = np.lexsort((y, x))
+    falling = inversions(np.unique(y, return_inverse=True)[1][order])
+    every, in_x, in_y = n * (n - 1) // 2, ties(x), ties(y)
+    both = math.sqrt(every - in_x) * math.sqrt(every - in_y)
+    return (every - in_x - in_y + ties(np.stack([x, y], 1)) - 2 * falling) / both if both else math.nan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjust, log2_ratio, rank_sum_pvalue, rank_sums, with_midp
+from ..functions.stats import adjust, log2_ratio, rank_sum_pvalue, rank_sums, student_pvalue, with_midp
 from .intervals import islands, overlap_join
 
 KEYS = ["chr", "start", "end"]
@@ -137,8 +137,15 @@ def balanced_means(matrix: DataFrame, groups: DataFrame, bins: int = 33) -> Data
 
 
 def group_regression(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """by, n, slope, intercept, r2 of y on x."""
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    """by, n, slope, intercept, r2, p_value of y on x; p_value: of a slope of 0, null for fewer than three rows with both
+    values and where x or y do not vary."""
+    known = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())
+    fit = df.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), (known - 2).alias("df_"))
+    rest = 1 - F.col("r2")  # t squared is r2 * df / rest
+    t = F.when(rest <= 0, F.lit(float("inf"))).otherwise(F.sqrt(F.try_divide(F.col("r2") * F.col("df_"), rest)))
+    usable = (F.col("df_") > 0) & F.col("slope").isNotNull() & F.col("r2").isNotNull() & ~F.isnan("r2")
+    p = F.when(usable, student_pvalue(F.coalesce(t, F.lit(0.0)), F.greatest(F.col("df_"), F.lit(1)).cast("double")))
+    return fit.withColumn("p_value", p).drop("df_")
 
 
 def gene_list(annotated: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,33 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", bin_width: int
     return pairs.drop("row_").unionByName(alone, allowMissingColumns=True)
 
 
-def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:
-    """df with island_start and island_end: the union of intervals of the same keys that overlap or are at most gap apart."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1, tile: int = 10_000_000) -> DataFrame:
+    """df with island_start and island_end: the union of intervals of the same keys that overlap or are at most gap apart.
+
+    Islands are found within tiles (by start); one row for each tile then says how far what began before it reaches, and
+    which islands go on. So a chromosome is as many tasks as it has tiles with intervals."""
+    order = Window.partitionBy(*keys, "tile_").orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col(start) > reach + gap)).cast("int")
-    numbered = df.withColumn("new_", fresh).withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*keys, "island_")
-    return numbered.withColumn("island_start", F.min(start).over(whole)).withColumn("island_end", F.max(end).over(whole)).drop("new_", "island_")
+    placed = df.withColumn("tile_", F.floor(F.col(start) / tile)).withColumn("new_", (reach.isNull() | (F.col(start) > reach + gap)).cast("int"))
+    placed = placed.withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*keys, "tile_", "island_")
+    placed = placed.withColumn("s_", F.min(start).over(whole)).withColumn("e_", F.max(end).over(whole)).drop("new_", "island_")
+    # how far the intervals of the tiles before reach, and where the island begins that reaches so far
+    tiles = placed.groupBy(*keys, "tile_").agg(F.max(F.struct("e_", "s_")).alias("last_"))
+    by = Window.partitionBy(*keys).orderBy("tile_")
+    tiles = tiles.withColumn("reach_", F.max("last_.e_").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.col("reach_").isNull() | (F.col("last_.s_") > F.col("reach_") + gap)
+    tiles = tiles.withColumn("from_", F.last(F.when(fresh, F.col("last_.s_")), True).over(by))
+    tiles = tiles.withColumn("before_", F.lag("from_").over(by))
+    own = lambda d, names: [F.col(n).alias(f"{n}_k_") if n in names else F.col(n) for n in d.columns]
+    same = lambda names: reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_k_")) for n in names])
+    tiles = tiles.select("*", F.col("last_.s_").alias("last_s_")).drop("last_")
+    joined = placed.join(tiles.select(*own(tiles, [*keys, "tile_"])), same([*keys, "tile_"]))
+    goes_on = F.coalesce(F.col("s_") <= F.col("reach_") + gap, F.lit(False))
+    island = F.when(goes_on, F.col("before_")).when(F.col("s_") == F.col("last_s_"), F.col("from_")).otherwise(F.col("s_"))
+    joined = joined.select(*df.columns, island.alias("island_start"), "e_")
+    ends = joined.groupBy(*keys, "island_start").agg(F.max("e_").alias("island_end"))
+    return joined.join(ends.select(*own(ends, [*keys, "island_start"])), same([*keys, "island_start"])).select(*df.columns, "island_start", "island_end")
 
 
 def merged(df: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
@@ -109,19 +130,30 @@ def coding_ranges(genes: DataFrame, promoter: bool = False, reach: int = 1500) -
     return promoters(long.where("chr <> 'chrM'"), reach) if promoter else long
 
 
-def chromosome_index(calls: DataFrame, order: str = "pos", keep: list[str] | None = None) -> DataFrame:
+def chromosome_index(calls: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """cell_id, chr, start, count: where each chromosome's rows begin in a cell's rows, and how many they are.
 
-    keep: chromosomes to index; by default all but those whose name matches _, EBV or M."""
-    numbered = calls.withColumn("idx_", F.row_number().over(Window.partitionBy("cell_id").orderBy("chr", order, "c", "t")))
+    Rows are only counted; starts are running sums over a cell's chromosomes. keep: chromosomes to index; by default all
+    but those whose name matches _, EBV or M."""
+    counts = calls.groupBy("cell_id", "chr").agg(F.count("*").alias("count"))
+    before = F.sum("count").over(Window.partitionBy("cell_id").orderBy("chr")) - F.col("count")
+    numbered = counts.withColumn("start", before + 1)
     chosen = numbered.where(F.col("chr").isin(keep)) if keep else numbered.where(~F.col("chr").rlike("_|EBV|M"))
-    return chosen.groupBy("cell_id", "chr").agg(F.min("idx_").cast("bigint").alias("start"), F.count("*").alias("count"))
+    return chosen.select("cell_id", "chr", "start", "count")
+
 
+def gene_index(calls: DataFrame, genes: DataFrame, order: str = "pos", bin_width: int = 100_000) -> DataFrame:
+    """cell_id, gene_name, first, count: where each gene's rows begin in a cell's rows, and how many they are.
 
-def gene_index(calls: DataFrame, genes: DataFrame, order: str = "pos") -> DataFrame:
-    """cell_id, gene_name, start, count: where each gene's rows begin in a cell's rows."""
-    numbered = calls.withColumn("idx_", F.row_number().over(Window.partitionBy("cell_id").orderBy("chr", order, "c", "t")))
-    return range_join(numbered, genes.select("chr", "start", "end", "gene_name")).groupBy("cell_id", "gene_name").agg(F.min("idx_").cast("bigint").alias("first"), F.count("*").alias("count"))
+    Rows are numbered within a cell's bin only; a running sum over the bins says how many come before."""
+    binned = calls.withColumn("tile_", F.floor(F.col("pos") / bin_width))
+    by = Window.partitionBy("cell_id", "chr", "tile_").orderBy(order, "c", "t")
+    placed = range_join(binned.withColumn("in_bin_", F.row_number().over(by)), genes.select("chr", "start", "end", "gene_name"))
+    found = placed.groupBy("cell_id", "gene_name").agg(F.min(F.struct("chr", "tile_", "in_bin_")).alias("f_"), F.count("*").alias("count"))
+    counts = binned.groupBy("cell_id", "chr", "tile_").agg(F.count("*").alias("n_"))
+    before = counts.withColumn("before_", F.sum("n_").over(Window.partitionBy("cell_id").orderBy("chr", "tile_")) - F.col("n_")).select("cell_id", "chr", "tile_", "before_")
+    flat = found.select("cell_id", "gene_name", "count", "f_.*")
+    return flat.join(before, ["cell_id", "chr", "tile_"]).select("cell_id", "gene_name", (F.col("before_") + F.col("in_bin_")).alias("first"), "count")
 
 
 def gene_calls(calls: DataFrame, genes: DataFrame, name: str, cells: DataFrame | None = None) -> DataFrame:

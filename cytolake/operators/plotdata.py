@@ -55,17 +55,18 @@ def dot_means(sizes: DataFrame, colours: DataFrame, genes: list[str], cells: Dat
     return a.join(b, ["feature", "cell_id"]).join(cells.select("cell_id", *by), "cell_id").groupBy(*by, "feature").agg(F.avg("s_").alias("mean_size"), F.avg("c_").alias("mean_colour"))
 
 
-def track_values(track: DataFrame, ranges: DataFrame, overhang: int = 0, baseline: bool = False) -> DataFrame:
+def track_values(track: DataFrame, ranges: DataFrame, overhang: int = 0, baseline: bool = False, subset: str | None = None) -> DataFrame:
     """Rows of a long track (chr, start, end, grp, pct) that lie in the ranges, with their middle and, for a baseline,
-    their group's mean over the whole track."""
+    their group's mean over the whole track. subset: a regular expression that a group's name must match somewhere."""
+    track = track.where(F.col("grp").rlike(subset)) if subset else track
     wide = ranges.select("chr", F.greatest(F.lit(0), F.col("start") - overhang).alias("start"), (F.col("end") + overhang).alias("end"))
     inside = windows_within(track, wide).withColumn("middle", (F.col("start") + F.col("end")) / 2)
     return inside.join(track.groupBy("grp").agg(F.avg("pct").alias("glob_m")), "grp", "left") if baseline else inside
 
 
-def gene_track(track: DataFrame, genes: DataFrame, names: list[str], overhang: int = 5000, baseline: bool = True) -> DataFrame:
+def gene_track(track: DataFrame, genes: DataFrame, names: list[str], overhang: int = 5000, baseline: bool = True, subset: str | None = None) -> DataFrame:
     """The same around genes, by their longest rows."""
-    return track_values(track, gene_ranges(genes.where(F.col("gene_name").isin(names)), overhang), 0, baseline)
+    return track_values(track, gene_ranges(genes.where(F.col("gene_name").isin(names)), overhang), 0, baseline, subset)
 
 
 def gene_layers(genes: DataFrame, names: list[str], reach: int = 1500) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import saved
 from .intervals import first_genes, promoters, range_join
 
 METRICS = ("percent", "score", "ratio")
@@ -73,18 +74,20 @@ def regular_chromosomes(df: DataFrame) -> DataFrame:
 def make_windows(
     calls: DataFrame, *, stepsize: int | None = None, bed: DataFrame | None = None, genes: DataFrame | None = None, promoter: bool = False,
     metric: str = "percent", nmin: int = 2, rates: DataFrame | None = None, groups: DataFrame | None = None, chromosomes: list[str] | None = None, rounding: str = "half_up",
+    slide: int | None = None, save: str | None = None,
 ) -> DataFrame:
     """Values by cell (or, with groups, their mean by group) and window.
 
-    Exactly one of stepsize, bed and genes. Step windows and regions give chr, start, end; genes give feature. groups:
-    cell_id, grp."""
+    Exactly one of stepsize, bed and genes. Step windows and regions give chr, start, end; genes give feature. slide:
+    windows of stepsize begin every so many bases. groups: cell_id, grp. save: a path that the cells' values are written
+    to first, by chromosome."""
     if sum(x is not None for x in (stepsize, bed, genes)) != 1:
         raise ValueError("give exactly one of stepsize, bed, genes")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     own = calls.where(F.col("chr").isin(chromosomes)) if chromosomes else calls
     if stepsize is not None:
-        keys, digits, assigned = ["chr", "start", "end"], 3, regular_chromosomes(step_windows(own, stepsize))
+        keys, digits, assigned = ["chr", "start", "end"], 3, regular_chromosomes(sliding_windows(own, stepsize, slide) if slide else step_windows(own, stepsize))
     elif bed is not None:
         keys, digits, assigned = ["chr", "start", "end"], 4, range_join(own, bed.select("chr", "start", "end"))
     else:
@@ -92,6 +95,7 @@ def make_windows(
         chosen = promoters(chosen) if promoter else chosen
         keys, digits, assigned = ["feature"], 4, range_join(own, chosen.select("chr", "start", "end", F.col("gene_name").alias("feature")))
     values = measured(count_sites(assigned, ["cell_id", *keys]), metric, digits, nmin, rates, rounding).select("cell_id", *keys, "value")
+    values = saved(values, save)
     if groups is None:
         return values
     return values.join(groups.select("cell_id", "grp"), "cell_id").groupBy("grp", *keys).agg(F.avg("value").alias("value"))
@@ -121,14 +125,14 @@ def pseudobulk(calls: DataFrame, cells: DataFrame, step: int) -> DataFrame:
 
 
 def smoothed_windows(
-    calls: DataFrame, cells: DataFrame, step: int = 500, smooth: int = 3, sizes: DataFrame | None = None, region: tuple[str, int, int] | None = None, compat: bool = True,
+    calls: DataFrame, cells: DataFrame, step: int = 500, smooth: int = 3, sizes: DataFrame | None = None, region: tuple[str, int, int] | None = None, compat: bool = True, save: str | None = None,
 ) -> DataFrame:
     """grp, chr, start, end, c, t, pct: centred sums over `smooth` bins of each group's reads.
 
     Bins hand their sums to their neighbours and one aggregation adds them up, so no sorted window over the genome is
     needed. sizes (chr, size): chromosome lengths, else the last call's bin ends the chromosome. Bins without a full
     neighbourhood are left out; compat also leaves out the last bin but one, as established results do. region: only
-    windows that touch it, the scan being limited to it as well."""
+    windows that touch it, the scan being limited to it as well. save: a path that the sums are written to by chromosome."""
     half = (smooth - 1) // 2
     own = calls
     if region:
@@ -142,7 +146,7 @@ def smoothed_windows(
     out = kept.where((F.col("c") != 0) | (F.col("t") != 0)).select("grp", "chr", (F.col("bin") * step).alias("start"), ((F.col("bin") + 1) * step).alias("end"), "c", "t")
     if region:
         out = out.where((F.col("start") <= hi) & (F.col("end") >= lo))
-    return out.withColumn("pct", percent_of("c", "t"))
+    return saved(out, save).withColumn("pct", percent_of("c", "t"))
 
 
 def percent_of(c: str, t: str) -> Column:

@@ -115,3 +115,91 @@ def test_bad_regions_raise(spark):
     with pytest.raises(Exception, match="not chr_start_end"):
         intervals.parse_regions(spark.createDataFrame([("chr1_5",)], "region string")).collect()
     assert intervals.parse_regions(spark.createDataFrame([("chr1_5_9",)], "region string")).select(F.sum("end")).first()[0] == 9
+
+
+def test_midp_of_deep_tables_is_the_whole_sum():
+    """Sums over the significant range equal those over all tables; a batch gives what its rows give one by one."""
+    import numpy as np
+
+    rng = random.Random(4)
+    tables = [[rng.randint(0, 4000) for _ in range(4)] for _ in range(20)] + [[0, 0, 0, 0], [5, 0, 0, 5], [100_000, 900_000, 101_000, 899_000], [1, 2_000_000, 3, 5]]
+    batch = stats.midp_fisher(*np.array(tables).T)
+    for t, got in zip(tables, batch, strict=True):
+        assert got == pytest.approx(stats.midp_fisher(*t)[0])
+    for t, got in zip(tables[:5], batch, strict=False):
+        mc, mt, nc, nt = t
+        logs = [-sum(math.lgamma(v + 1) for v in (x, mc + nc - x, mc + mt - x, nt + mt - (mc + mt - x))) for x in range(max(0, mc - nt), min(mc + nc, mc + mt) + 1)]
+        top = max(logs)
+        p = [math.exp(v - top) for v in logs]
+        k = mc - max(0, mc - nt)
+        whole = sum(p)
+        assert got == pytest.approx(min(1, 2 * min(sum(p[:k]) + p[k] / 2, sum(p[k + 1 :]) + p[k] / 2) / whole), rel=1e-6, abs=1e-12)
+
+
+def test_tails_of_distributions():
+    import numpy as np
+
+    z = np.linspace(0, 12, 200)
+    assert stats.normal_tail(z) == pytest.approx([0.5 * math.erfc(v / math.sqrt(2)) for v in z], rel=1e-9)
+    assert math.isnan(stats.normal_tail(np.array([math.nan]))[0])
+    for df in (1, 2, 3, 7, 30, 400):
+        for t in (0.0, 0.3, 1.0, 2.5, 9.0):
+            grid = np.linspace(math.atan(t / math.sqrt(df)), math.pi / 2, 20001)
+            f = np.maximum(np.cos(grid), 0) ** (df - 1)
+            area = (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) * (grid[1] - grid[0]) / 3
+            want = 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi) * area
+            assert stats.student_tail(t, df) == pytest.approx(want, rel=1e-6, abs=1e-12)
+
+
+def test_regression_p(spark):
+    rows = [("a", float(i), 2.0 * i + (-1) ** i) for i in range(10)] + [("b", 1.0, 2.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0), ("d", 1.0, 1.0), ("d", 2.0, 2.0), ("d", 3.0, 3.0)]
+    got = {r.g: r for r in dmr.group_regression(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y").collect()}
+    assert 0 < got["a"].p_value < 1e-6 and got["b"].p_value is None and got["c"].p_value is None and got["d"].p_value == 0
+
+
+def test_kendall_by_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 17, 120):
+        x, y = rng.integers(0, 9, n), rng.integers(0, 30, n) + rng.integers(0, 9, n)
+        dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        both = math.sqrt((dx != 0).sum() * (dy != 0).sum())
+        assert stats.kendall(x, y) == pytest.approx((dx * dy).sum() / both if both else math.nan, nan_ok=True)
+    assert math.isnan(stats.kendall(np.ones(5), np.arange(5)))
+
+
+@pytest.mark.parametrize("tile", [7, 50, 10_000_000])
+@pytest.mark.parametrize("gap", [0, 1, 5])
+def test_islands_by_sweep(spark, tile, gap):
+    """Tiles of any size give the islands of one sweep over a chromosome."""
+    rng = random.Random(tile + gap)
+    rows = [(rng.choice(["a", "b", None]), s := rng.randint(-40, 400), s + rng.choice([0, 1, 3, 10, 60])) for _ in range(150)]
+    want = []
+    for key in ("a", "b", None):
+        own, open_ = sorted(r[1:] for r in rows if r[0] == key), []
+        for s, e in own:
+            if open_ and s <= open_[-1][1] + gap:
+                open_[-1][1] = max(open_[-1][1], e)
+            else:
+                open_.append([s, e])
+        want += [(key, s, e, *next(i for i in open_ if i[0] <= s and e <= i[1])) for s, e in own]
+    df = spark.createDataFrame(rows, "chr string, start long, end long")
+    got = [(r.chr, r.start, r.end, r.island_start, r.island_end) for r in intervals.islands(df, ["chr"], gap=gap, tile=tile).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_neighbours_in_chunks(monkeypatch):
+    import numpy as np
+
+    from cytolake.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "CHUNK", 16)
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 4, (30, 5)).astype(float), rng.integers(0, 4, (70, 5)).astype(float)
+    for k in (1, 4, 40, 100):
+        i, j, d = neighbors.nearest_rows(x, y, k)
+        for r in range(30):
+            exact = ((y - x[r]) ** 2).sum(1)
+            order = np.lexsort((np.arange(70), exact))[:k]
+            assert j[i == r].tolist() == order.tolist() and d[i == r].tolist() == exact[order].tolist()
