@@ -66,13 +66,30 @@ SPELLINGS = [("licence", "license"), ("sublicence", "sublicense"), ("licenced",
 
 def canonical(text: Column) -> Column:
     """Lower case; no lines that state a copyright; words of letters and digits only, one space apart; one spelling."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?md)^[^\n]{0,20}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$", " ")
-    t = F.regexp_replace(t, r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»–—…\x{A0}]+", " ")
-    t = F.concat(F.lit(" "), F.replace(F.trim(t), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has spaces of its own
-    for other, one in SPELLINGS:
-        t = F.replace(t, F.lit(_spaced(other)), F.lit(_spaced(one)))
-    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+    def stated(t):
+        lines = F.regexp_replace(t, r"(?md)^[^\n]{0,20}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$", " ")
+        return F.when(_any_of(t, "copyright", "(c)", "©", "all rights reserved"), lines).otherwise(t)  # most texts have none of these
+
+    def spelled(t):
+        words = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has spaces of its own
+        for other, one in SPELLINGS:
+            words = F.replace(words, F.lit(_spaced(other)), F.lit(_spaced(one)))
+        return F.when(_any_of(t, *(other for other, _ in SPELLINGS)), F.trim(F.replace(words, F.lit("  "), F.lit(" ")))).otherwise(t)
+
+    words = F.regexp_replace(_let(F.lower(F.coalesce(text, F.lit(""))), stated), r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»–—…\x{A0}]+", " ")
+    return _let(F.trim(words), spelled)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value being worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _any_of(text: Column, *parts: str) -> Column:
+    found = F.lit(False)
+    for p in parts:
+        found = found | F.contains(text, F.lit(p))
+    return found
 
 
 def _spaced(words: str) -> str:
