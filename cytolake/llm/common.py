@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes that a task gathers before it writes them: wide columns would fill the default of 128 MB in every task.
+ROW_GROUP = 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> Iterator[None]:
+    """Rows of wide columns go to Python workers in batches of so many rows and bytes, by what is run inside the block."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none and all tasks run on
     this machine (tests)."""
@@ -31,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str, **write) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **write)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, **write)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

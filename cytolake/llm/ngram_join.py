@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialize, most_frequent, read_table
+from .common import bounded_slices, materialize, most_frequent, read_table, small_batches
 from .textvec import U, mix64, shingle_sets
 
 WIDTH = 5
@@ -39,7 +39,7 @@ COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many a
 TOLD_CLASSES = 1 << 22  # so many classes may be told to all tasks (32 MB)
 BUCKET_BYTES = 24 << 20
 KEY_BITS, MAX_BUCKETS = 42, 1 << 21  # of 64 bits, the rest number the buckets
-MAX_SLICE, FLUSH_KEYS = 3 << 20, 1_000_000
+MAX_SLICE, FLUSH_KEYS = 3 << 20, 400_000
 
 
 # --- sets, cells and keys
@@ -586,6 +586,11 @@ def joined_rows(docs: DataFrame, links: bool = False) -> DataFrame:
     """doc_id, text_hash, n, root, component_id for every row of docs (doc_id, text); no words: root is null.
 
     With links also n_links, the number of other rows that a row is linked with."""
+    with small_batches(docs.sparkSession):  # every step below is written before the block ends
+        return _joined_rows(docs, links)
+
+
+def _joined_rows(docs: DataFrame, links: bool) -> DataFrame:
     spark = docs.sparkSession
     for seed in [*range(SEEDS), PLAIN]:  # sets with too few cells for the bound are so rare that another seed settles it
         table = materialize(described(docs, seed), "join-docs")
