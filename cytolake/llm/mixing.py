@@ -96,20 +96,26 @@ def thresholds(items: DataFrame, targets: DataFrame) -> DataFrame:
         found = _boundary(items, at_u.select("src", "rest", "u"), "v")
     at = items.join(found.select(F.col("src").alias("src_"), F.col("u").alias("u_"), F.col("v").alias("v_"), "rest"), F.col("src").eqNullSafe(F.col("src_")) & (F.col("u") == F.col("u_")) & F.coalesce(F.col("v") == F.col("v_"), F.lit(True)))
     # equal rows have one size; so many of them come nearest to what is left
-    edge = at.groupBy("src", "u", "v_").agg(F.ceil(F.first("rest") / F.max("size") - 0.5).alias("more"))
+    edge = at.groupBy("src", "u", "v_").agg(F.ceil(F.first("rest") / F.max("size") - 0.5).alias("more"), F.count("*").alias("equal"))
     t, e = targets.alias("t"), edge.alias("e")
     whole = F.when(F.col("budget") <= 0, F.lit(0)).otherwise(F.coalesce(F.col("e.u"), F.lit(1 << HASH_BITS))).cast("long")
     any_text = F.col("e.u").isNotNull() & F.col("e.v_").isNull()  # no other row shares the boundary hash
-    return t.join(e, F.col("t.src").eqNullSafe(F.col("e.src")), "left").select("t.*", whole.alias("edge"), F.coalesce("e.v_", F.lit(-1)).alias("edge2"), F.coalesce("e.more", F.lit(0)).alias("more"), any_text.alias("any_text"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cut = t.join(e, F.col("t.src").eqNullSafe(F.col("e.src")), "left").select("t.*", whole.alias("edge"), F.coalesce("e.v_", F.lit(-1)).alias("edge2"), zero("e.more").alias("more"), zero("e.equal").alias("equal"), any_text.alias("any_text"))
+    return materialize(cut, "mix-cut")
 
 
-def repeats(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """rows (src, size, u, v and any others) with source_size, target and times, how often the mix takes each."""
-    cut = thresholds(rows.select("src", "size", "u", "v"), targets)
+def repeats(rows: DataFrame, items: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (src, u, v and any others) with source_size, target and times, how often the mix takes each; items: src, size,
+    u, v of the same rows."""
+    cut = thresholds(items, targets)
     both = rows.join(cut, _same_source(rows, cut)).drop(cut["src"])
     # v decides only where several rows share the boundary hash
     tie = (F.col("u") == F.col("edge")) & (F.col("any_text") | (F.col("v") == F.col("edge2")))
     below = (F.col("u") < F.col("edge")) | ((F.col("u") == F.col("edge")) & (F.col("v") < F.col("edge2")))
+    gone = ["copies", "budget", "edge", "edge2", "more", "equal", "any_text"]
+    if cut.where("equal > 1").isEmpty():  # nothing to count off
+        return both.withColumn("times", F.col("copies") + F.when(below | (tie & (F.col("more") > 0)), 1).otherwise(0)).drop(*gone)
     plain = both.where(~tie).withColumn("times", F.col("copies") + F.when(below, 1).otherwise(0))
     # rows at the boundary are numbered by the task that wrote them, each task from where those before it end
     at = materialize(both.where(tie).withColumn("nth", F.monotonically_increasing_id()), "mix-boundary")
@@ -119,7 +125,7 @@ def repeats(rows: DataFrame, targets: DataFrame) -> DataFrame:
     counts = counts.select(F.col("src").alias("src_"), "task", (F.sum("n").over(order) - F.col("n")).alias("before"))
     numbered = at.withColumn("place", F.row_number().over(Window.partitionBy("src", task).orderBy("nth"))).join(counts, F.col("src").eqNullSafe(F.col("src_")) & (task == F.col("task")))
     numbered = numbered.withColumn("times", F.col("copies") + F.when(F.col("place") + F.col("before") <= F.col("more"), 1).otherwise(0))
-    return plain.unionByName(numbered.select(plain.columns)).drop("copies", "budget", "edge", "edge2", "more", "any_text")
+    return plain.unionByName(numbered.select(plain.columns)).drop(*gone)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
@@ -135,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "mix-sizes",
     )
     targets = materialize(source_targets(items.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_repeat), "mix-targets")
-    return repeats(items, targets).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return repeats(items, items, targets).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -147,10 +153,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name of the table meets one of this function
     col = lambda name: F.col(f"c{docs.columns.index(name)}")
     text = F.coalesce(col("text"), F.lit(""))
-    decided = own.select("*", col("source").alias("src"), word_count(col("text")).alias("size"), document_hash(col("doc_id")).alias("u"), document_hash(text).alias("v"))
-    items = materialize(decided.select("src", "size", "u", "v"), "mix-sizes")
+    decided = own.select("*", col("source").alias("src"), document_hash(col("doc_id")).alias("u"), document_hash(text).alias("v"))
+    items = materialize(decided.select("src", word_count(col("text")).alias("size"), "u", "v"), "mix-sizes")
     targets = materialize(source_targets(items.groupBy("src").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    times = repeats(decided.where("size > 0"), targets).where("times > 0")
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    times = repeats(decided.where(worded), items, targets).where("times > 0")
     return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*own.columns).toDF(*docs.columns)
 
 
