@@ -119,7 +119,7 @@ def overlap_shares(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
 
 def region_venn(sets: DataFrame) -> DataFrame:
     """chr, start, end and members: which sets (column name) have a region that overlaps each island of all sets' union."""
-    grouped = islands(sets, ["chr"]).groupBy("chr", F.col("island_start").alias("start"), F.col("island_end").alias("end"))
+    grouped = islands(sets, ["chr"], tile=10_000_000).groupBy("chr", F.col("island_start").alias("start"), F.col("island_end").alias("end"))
     return grouped.agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("members"))
 
 

@@ -45,17 +45,21 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", bin_width: int
     return pairs.drop("row_").unionByName(alone, allowMissingColumns=True)
 
 
-def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1, tile: int = 10_000_000) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1, tile: int | None = None) -> DataFrame:
     """df with island_start and island_end: the union of intervals of the same keys that overlap or are at most gap apart.
 
-    Islands are found within tiles (by start); one row for each tile then says how far what began before it reaches, and
-    which islands go on. So a chromosome is as many tasks as it has tiles with intervals."""
+    One sweep for each group of keys; with tile, where a group may be a whole chromosome, within tiles of that width (by
+    start): one row for each tile then says how far what began before it reaches, and which islands go on. So a
+    chromosome is as many tasks as it has tiles with intervals; df is read three times for it."""
+    tiled = df.withColumn("tile_", F.floor(F.col(start) / tile) if tile else F.lit(0))
     order = Window.partitionBy(*keys, "tile_").orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = df.withColumn("tile_", F.floor(F.col(start) / tile)).withColumn("new_", (reach.isNull() | (F.col(start) > reach + gap)).cast("int"))
+    placed = tiled.withColumn("new_", (reach.isNull() | (F.col(start) > reach + gap)).cast("int"))
     placed = placed.withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*keys, "tile_", "island_")
     placed = placed.withColumn("s_", F.min(start).over(whole)).withColumn("e_", F.max(end).over(whole)).drop("new_", "island_")
+    if not tile:
+        return placed.select(*df.columns, F.col("s_").alias("island_start"), F.col("e_").alias("island_end"))
     # how far the intervals of the tiles before reach, and where the island begins that reaches so far
     tiles = placed.groupBy(*keys, "tile_").agg(F.max(F.struct("e_", "s_")).alias("last_"))
     by = Window.partitionBy(*keys).orderBy("tile_")
@@ -76,7 +80,7 @@ def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "en
 
 def merged(df: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     """The islands themselves: keys, start, end."""
-    return islands(df, keys, gap=gap).groupBy(*keys, F.col("island_start").alias("start"), F.col("island_end").alias("end")).agg(F.count("*").alias("n")).drop("n")
+    return islands(df, keys, gap=gap, tile=10_000_000).groupBy(*keys, F.col("island_start").alias("start"), F.col("island_end").alias("end")).agg(F.count("*").alias("n")).drop("n")
 
 
 def parse_regions(df: DataFrame, column: str = "region") -> DataFrame:
