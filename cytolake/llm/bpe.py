@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, most_frequent, read_table
+from .common import bounded_slices, most_frequent, read_table, tidy
 from .lexicon import Lexicon, compile_words
 
 MAX_SLICE = 3 << 20
 #: Characters that are cut into words at a time; bounds the working arrays whatever a text's length.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Words compiled into the lexicon, at most; all others are merged.
 LEXICON_WORDS = 65_536
 #: Merged words that a worker remembers, and distinct words that a task counts before it passes them on.
@@ -506,7 +506,7 @@ def frequent_words(docs: DataFrame, vocabulary, limit: int) -> list[str]:
         if held:
             yield from counted().to_batches()
 
-    words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(r.word for r in most_frequent(words, limit, "bpe-words").select("word").collect())
 
 
@@ -545,7 +545,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXI
                     cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(every), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), out)
 
 
 _codecs: dict[tuple[str, int], Codec] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, read_table
+from .common import bounded_slices, read_table, tidy
 
 BLOCK, MAX_SLICE = 64, 16 << 20
 
@@ -336,7 +336,7 @@ def sniff_column(df: DataFrame, id_col: str, data_col: str, declared_col: str |
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
-    return df.select(F.col(id_col), F.col(data_col).alias("data_"), declared.alias("declared_")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(data_col).alias("data_"), declared.alias("declared_")).mapInArrow(tidy(run), out)
 
 
 def media_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -364,7 +364,7 @@ def media_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 cols = list(zip(*map(one, (x.as_py() for x in part.column("text"))), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), out)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

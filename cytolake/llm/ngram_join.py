@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialize, most_frequent, read_table, small_batches
+from .common import bounded_slices, materialize, most_frequent, read_table, small_batches, tidy
 from .textvec import U, mix64, shingle_sets
 
 WIDTH = 5
@@ -164,7 +164,7 @@ def emit_keys(sets: DataFrame, seed: int, common: list[tuple[int, int]], buckets
                     found, ids, held = [], [], 0
         yield from flush()
 
-    return sets.select("cls", "set").mapInArrow(run, "bucket int, low binary, high binary, cls binary, counts binary")
+    return sets.select("cls", "set").mapInArrow(tidy(run), "bucket int, low binary, high binary, cls binary, counts binary")
 
 
 def by_bucket(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
@@ -198,7 +198,7 @@ def by_bucket(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame
         if rows:
             yield from reduce(at, *one(rows))
 
-    return packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(tidy(run), schema)
 
 
 def common_keys(packed: DataFrame, buckets: int) -> list[tuple[int, int]]:
@@ -268,7 +268,7 @@ def with_pivots(large: DataFrame, sets: DataFrame, partitions: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     both = own.unionByName(others).repartition(partitions, "pivot", "part").sortWithinPartitions("pivot", "part", "kind")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def units(grouped: DataFrame, sets: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame | None]:
@@ -425,7 +425,7 @@ def pruned_units(unit_table: DataFrame, classes: DataFrame, partitions: int) ->
 
     with_points = unit_table.join(classes.select("cls", "n", "point"), "cls").select("unit", "cls", "n", "point")
     sorted_units = with_points.repartition(partitions, "unit").sortWithinPartitions("unit")
-    return sorted_units.mapInArrow(lambda batches: _pairs_of(parts(batches)), "unit long, cls long").distinct()
+    return sorted_units.mapInArrow(tidy(lambda batches: _pairs_of(parts(batches))), "unit long, cls long").distinct()
 
 
 # --- verification
@@ -510,7 +510,7 @@ def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: boo
                 yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], ["a", "b"])
 
     rows = verify.join(sets_of(sets, verify), "cls").repartition(partitions, "unit")
-    return rows.select("unit", "cls", "set").sortWithinPartitions("unit").mapInArrow(edges, "a long, b long").distinct()
+    return rows.select("unit", "cls", "set").sortWithinPartitions("unit").mapInArrow(tidy(edges), "a long, b long").distinct()
 
 
 def all_units(grouped: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
@@ -579,7 +579,7 @@ def described(docs: DataFrame, seed: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "cls", "point", "regular", "set"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, cls long, point binary, regular boolean, set binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(run), "doc_id long, text_hash long, n long, cls long, point binary, regular boolean, set binary")
 
 
 def joined_rows(docs: DataFrame, links: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, copy_key, labelled_sample, read_table
+from .common import bounded_slices, copy_key, labelled_sample, read_table, tidy
 from .textvec import word_hashes
 
 #: Slots of hashed n-grams, and of what is no n-gram: rates of repeats and markup by steps, and the number of words.
@@ -175,7 +175,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                 score = model.value.score([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, materialize, read_table
+from .common import bounded_slices, materialize, read_table, tidy
 
 #: The base kinds in listed order, and the kind that the method adds.
 KINDS = ("assign", "access", "hex", "token")
@@ -70,7 +70,7 @@ def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("repo"), part.column("owner"), pa.array(shas, pa.string()), pa.array(spans, pa.list_(item))], ["doc_id", "repo", "owner", "base_sha256", "found"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), "text")
-    return materialize(text.mapInArrow(run, out).withColumn("rid", F.monotonically_increasing_id()), "secrets-scan")
+    return materialize(text.mapInArrow(tidy(run), out).withColumn("rid", F.monotonically_increasing_id()), "secrets-scan")
 
 
 def judged(scanned: DataFrame, min_owners: int, min_repos: int) -> DataFrame:
@@ -132,7 +132,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", min_owners: int = 3, min_rep
                 cols = [pa.array(texts, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns[:-1])]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(part.schema)[:-1]))
 
-    masked = rows.mapInArrow(run, own.schema).toDF(*docs.columns)
+    masked = rows.mapInArrow(tidy(run), own.schema).toDF(*docs.columns)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, copy_key, labelled_sample, read_table
+from .common import bounded_slices, copy_key, labelled_sample, read_table, tidy
 
 MAX_SLICE = 4 << 20
 #: Characters that stand for letters in disguised words, and words that address the reader.
@@ -256,7 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 x = np.array([features(t.as_py() or "", hits) for t in part.column("text")]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.score(x), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -274,7 +274,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                 x = np.array([features(t.as_py() or "", hits) for t in part.column("text")]).reshape(-1, len(FEATURES))
                 yield part.filter(pa.array(m.score(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
