@@ -44,6 +44,33 @@ def test_hommel_by_closed_testing():
         assert list(stats.hommel(np.array(p))) == pytest.approx(want)
 
 
+def test_hommel_of_many(spark):
+    import time
+
+    import numpy as np
+
+    def plain(p):  # all numbers of largest hypotheses one by one
+        n, s, best = len(p), np.sort(p), np.zeros(len(p))
+        for k in range(1, n + 1):
+            best = np.maximum(best, np.minimum(k * p, (k * s[n - k :] / np.arange(1, k + 1)).min()))
+        return np.minimum(best, 1.0)
+
+    rng = np.random.default_rng(3)
+    families = {"a": rng.random(300) ** 4, None: rng.integers(0, 40, 300) / 50, "b": rng.random(1), "c": np.zeros(5), "d": np.arange(1, 200) ** 2 / 50_000, "e": 10.0 ** -rng.integers(0, 320, 100)}
+    rows = [(f, i, float(v)) for f, p in families.items() for i, v in enumerate(p)]
+    df = spark.createDataFrame([*rows, ("a", -1, None), ("a", -2, math.nan)], "f string, i int, p double")
+    got = {(r.f, r.i): r.q for r in stats.adjust(df, "p", "hommel", ["f"], out="q").collect()}
+    assert len(got) == len(rows) + 2 and got.pop(("a", -1)) is None and got.pop(("a", -2)) is None
+    for f, p in families.items():
+        assert [got[f, i] for i in range(len(p))] == pytest.approx(list(plain(p)), rel=1e-9, abs=0)
+        assert list(stats.hommel(p)) == pytest.approx(list(plain(p)), rel=1e-9, abs=0)
+    one = stats.adjust(df.where("f = 'a'"), "p", "hommel", out="q").where("i >= 0").orderBy("i").collect()
+    assert [r.q for r in one] == pytest.approx(list(plain(families["a"])))
+    p, began = rng.random(200_000) ** 2, time.time()
+    q = stats.hommel(p)
+    assert time.time() - began < 30 and (np.diff(q[np.argsort(p)]) >= -1e-12).all() and (q >= p).all()
+
+
 def test_rank_sums(spark):
     df = spark.createDataFrame([("f", g, float(v)) for g, v in zip("aaabbbb", (1, 2, 4, 3, 5, 6, 7), strict=True)], "feature string, grp string, value double")
     r = {x.grp: x for x in stats.rank_sums(df).collect()}
