@@ -169,6 +169,15 @@ def test_layouts_keep_neighbours(spark, layout):
     assert (d.argmin(1) % 3 == np.arange(90) % 3).mean() > 0.95
 
 
+@pytest.mark.parametrize("layout", [reduce.tsne, reduce.umap])
+def test_layouts_beyond_the_bound_keep_neighbours(spark, layout):
+    rows = layout(blobs(spark), 10, rounds=150, limit=20).orderBy("cell_id").collect()
+    xy = np.array([(r.dim_x, r.dim_y) for r in rows])
+    assert len(xy) == 90 and np.isfinite(xy).all()
+    d = ((xy[:, None] - xy[None]) ** 2).sum(-1) + np.eye(90) * 1e9
+    assert (d.argmin(1) % 3 == np.arange(90) % 3).mean() > 0.95
+
+
 @pytest.mark.parametrize("mode", ["knn", "dbscan", "adaptive"])
 def test_metacells_hold_every_cell(spark, mode):
     got = metacells.make_metacells(blobs(spark), 10, mode=mode)
