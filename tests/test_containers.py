@@ -137,6 +137,18 @@ def test_svd_beyond_the_bound_of_the_gram_matrix(spark, small, monkeypatch, fill
     assert reduce.singular_values(m.limit(0), cells, 5) == pytest.approx(np.zeros(5))
 
 
+def test_svd_of_many_singular_values_that_are_nearly_equal(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    one = rng.random((8, 6)) * (rng.random((8, 6)) < 0.8)
+    rows = [(f"f{copy}_{f}", copy * 6 + c, float(one[f, c] * (1 + copy * 1e-9))) for copy in range(60) for f in range(8) for c in range(6) if one[f, c]]
+    m, cells = spark.createDataFrame(rows, "feature string, cell_id bigint, value double"), spark.range(360).select(F.col("id").alias("cell_id"))
+    monkeypatch.setattr(reduce, "GRAM_CELLS", 10)
+    monkeypatch.setattr(reduce, "CHUNK", 100, raising=False)
+    ids, sigma, v = reduce.top_singular(m, cells, 5)
+    assert sigma == pytest.approx(np.full(5, np.linalg.svd(one, compute_uv=False)[0]), rel=1e-6)
+    assert v.T @ v == pytest.approx(np.eye(5), abs=1e-9) and ids == list(range(360))
+
+
 def test_residuals_do_not_follow_coverage(spark, small):
     _, cells = small
     e = cells.select("cell_id", F.array(F.ln(F.col("cov").cast("double")) * 3 + 1, F.col("cov").cast("double")).alias("vec"))
