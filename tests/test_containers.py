@@ -149,6 +149,14 @@ def test_svd_of_many_singular_values_that_are_nearly_equal(spark, monkeypatch):
     assert v.T @ v == pytest.approx(np.eye(5), abs=1e-9) and ids == list(range(360))
 
 
+@pytest.mark.parametrize("fill", [0.0, 1.5, "cov"])
+def test_imputation_beyond_the_bound(spark, small, fill):
+    m, cells = small
+    m = m.where("cell_id <> 'c3'").unionByName(spark.createDataFrame([("chr9_0_1000", "elsewhere", 3.0)], m.schema))  # one cell without values, one feature without cells
+    want, got = ({(r.feature, r.cell_id): r.value for r in reduce.impute(m, cells, 4, fill, limit=n).collect()} for n in (5000, 10))
+    assert len(got) == 13 * 18 and got == pytest.approx(want, abs=1e-6)
+
+
 def test_residuals_do_not_follow_coverage(spark, small):
     _, cells = small
     e = cells.select("cell_id", F.array(F.ln(F.col("cov").cast("double")) * 3 + 1, F.col("cov").cast("double")).alias("vec"))
