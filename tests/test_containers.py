@@ -149,6 +149,13 @@ def test_svd_of_many_singular_values_that_are_nearly_equal(spark, monkeypatch):
     assert v.T @ v == pytest.approx(np.eye(5), abs=1e-9) and ids == list(range(360))
 
 
+def test_svd_of_many_equal_singular_values(spark, monkeypatch):
+    values = [1.0] * 60 + np.linspace(0.01, 0.9, 100).tolist()
+    m = spark.createDataFrame([(f"f{i}", i, x) for i, x in enumerate(values)], "feature string, cell_id bigint, value double")
+    monkeypatch.setattr(reduce, "GRAM_CELLS", 10)
+    assert reduce.singular_values(m, m.select("cell_id"), 5) == pytest.approx(np.ones(5))
+
+
 @pytest.mark.parametrize("fill", [0.0, 1.5, "cov"])
 def test_imputation_beyond_the_bound(spark, small, fill):
     m, cells = small
