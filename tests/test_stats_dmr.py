@@ -78,6 +78,29 @@ def test_rank_sums(spark):
     assert stats.rank_sum_p(3, 4, 1.0, None, False) == pytest.approx(4 / 35)
 
 
+def _as_sql(tables, body):
+    """What the queries' SQL gives for 2x2 tables: tests is a relation of these."""
+    import duckdb
+
+    from cytolake.plans.queries import CTES
+
+    rows = ", ".join(f"({i}, {mc}::BIGINT, {mt}::BIGINT, {nc}::BIGINT, {nt}::BIGINT)" for i, (mc, mt, nc, nt) in enumerate(tables))
+    with duckdb.connect() as c:
+        return c.execute(f"WITH tests(i, mc, mt, nc, nt) AS (VALUES {rows}),\n" + ",\n".join(CTES[k] for k in ("fc", "midp", "dmr")) + body).fetchall()
+
+
+def _tested(spark, tables):
+    return stats.with_midp(dmr.with_log_fc(spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, mc bigint, mt bigint, nc bigint, nt bigint")))
+
+
+def test_p_on_the_threshold_as_sql(spark):
+    tables = [(0, 8, 2, 5), (2, 5, 0, 8), (5, 2, 8, 0), (8, 0, 5, 2), (0, 16, 1, 3), (16, 0, 3, 1), (0, 20, 1, 4), (1, 4, 0, 20), (4, 1, 20, 0), (3, 40, 20, 30), (9, 9, 9, 9)]
+    assert all(brute_midp(*t) == pytest.approx(0.2, abs=1e-12) for t in tables[:9])
+    want = {i for (i,) in _as_sql(tables, " SELECT i FROM dmr")}
+    got = dmr.filter_dmr(_tested(spark, tables), "none", p_threshold=0.2, log_threshold=0.3)
+    assert {r.i for r in got.collect()} == want
+
+
 def test_infinite_fold_changes(spark):
     df = spark.createDataFrame([("chr1", 0, 1, "g", 0, 10, 5, 5), ("chr1", 1, 2, "g", 5, 5, 0, 10), ("chr1", 2, 3, "g", None, None, None, None)], "chr string, start bigint, end bigint, test string, mc bigint, mt bigint, nc bigint, nt bigint")
     got = [r.logFC for r in dmr.with_log_fc(df).orderBy("start").collect()]
