@@ -101,6 +101,14 @@ def test_p_on_the_threshold_as_sql(spark):
     assert {r.i for r in got.collect()} == want
 
 
+def test_fold_change_that_rounds_to_zero_as_sql(spark):
+    tables = [(292, 227, 768, 597), (768, 597, 292, 227), (9, 9, 9, 9), (0, 9, 0, 9), (0, 9, 9, 9), (9, 0, 0, 9), (300, 200, 299, 200)]
+    want = _as_sql(tables, ' SELECT "logFC"::VARCHAR FROM fc ORDER BY i')
+    assert [x for (x,) in want[:3]] == ["-0.0", "0.0", "0.0"]
+    got = _tested(spark, tables).orderBy("i").collect()
+    assert [r.logFC if r.logFC is None else str(r.logFC) for r in got] == [x for (x,) in want]
+
+
 def test_infinite_fold_changes(spark):
     df = spark.createDataFrame([("chr1", 0, 1, "g", 0, 10, 5, 5), ("chr1", 1, 2, "g", 5, 5, 0, 10), ("chr1", 2, 3, "g", None, None, None, None)], "chr string, start bigint, end bigint, test string, mc bigint, mt bigint, nc bigint, nt bigint")
     got = [r.logFC for r in dmr.with_log_fc(df).orderBy("start").collect()]
