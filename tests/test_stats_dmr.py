@@ -101,6 +101,16 @@ def test_p_on_the_threshold_as_sql(spark):
     assert {r.i for r in got.collect()} == want
 
 
+def test_p_between_two_decimals_as_sql(spark):
+    tables = [(1, 9, 0, 246), (1, 13, 0, 242), (0, 26, 1, 229), (0, 30, 1, 225), (0, 34, 1, 221), (1, 33, 0, 222), (9, 9, 9, 9), (300, 200, 299, 200), (292, 227, 768, 597)]
+    n = len(tables)
+    want = _as_sql(tables, f""" SELECT i, mc, mt, nc, nt, "logFC"::VARCHAR, round(pval, 6), round(least(1, pval * {n}), 6), CASE WHEN "logFC" < 0 THEN 'hypo' ELSE 'hyper' END FROM fc JOIN midp USING (mc, mt, nc, nt) ORDER BY i""")
+    kept = dmr.filter_dmr(_tested(spark, tables), keep_all=True)
+    assert kept.columns == ["i", "mc", "mt", "nc", "nt", "logFC", "pval", "padj", "direction"]
+    got = kept.withColumns({c: F.round(c, 6) for c in ("pval", "padj")}).orderBy("i").collect()
+    assert [(*r[:5], str(r.logFC), *r[6:]) for r in got] == want
+
+
 def test_fold_change_that_rounds_to_zero_as_sql(spark):
     tables = [(292, 227, 768, 597), (768, 597, 292, 227), (9, 9, 9, 9), (0, 9, 0, 9), (0, 9, 9, 9), (9, 0, 0, 9), (300, 200, 299, 200)]
     want = _as_sql(tables, ' SELECT "logFC"::VARCHAR FROM fc ORDER BY i')
