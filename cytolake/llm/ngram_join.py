@@ -4,11 +4,12 @@
 2. Blocking keys: a class's shingles are dealt into hashed cells, more than a linked pair can differ in, so that some
    non-empty cell must be equal in both. Prefix filtering over the cells' hashes, commonest cells last, leaves few keys.
 3. Groups of classes that share a key become units. The classes of a large group first meet one of their number, its
-   pivot; those that are linked with it are connected already, and only blocks of classes that are not yet connected
-   meet each other afterwards. So a group of near copies costs what it has members.
+   pivot, and some that it is not linked with; what is linked with them is connected already, and only blocks of classes
+   that are not yet connected meet each other afterwards. So a group of near copies costs what it has members. Large
+   groups with the same pivot are one, unless that makes more pairs.
 4. Count-vector R-tree: a class's shingles are hashed into groups, the group counts are a point, and the sum of
-   coordinate minima bounds a pair's overlap. Each unit's tree gives the pairs whose bound reaches the threshold; the
-   classes that such pairs connect become a smaller unit.
+   coordinate minima bounds a pair's overlap. Each unit's tree gives the pairs that are not connected yet and whose bound
+   reaches the threshold; the classes that such pairs connect become a smaller unit.
 5. Verification: in what units are left the sets themselves of surviving pairs are compared; links become edges of a
    forest, and connected components give every document its class.
 Shingles and sets are compared by 64-bit hashes.
@@ -35,6 +36,8 @@ GROUPS = 64  # coordinates of a point, at least; a point has a quarter to half a
 BLOCK = 512  # classes of a unit's side
 UNIT_SHINGLES = 2_000_000  # of all sets of a unit that was put together from others
 LEAF = 32
+LEADERS, BARREN = 32, 8  # so many classes of a large group's part meet all others, of them so many that connect nothing
+TASK_EDGES = 1 << 20  # so many edges are connected in one task (16 MB); more of them in rounds of all tasks
 COMMON, MAX_COMMON = 8, 1 << 18  # a key of so many classes is common; so many are told to all tasks (2 MB), commonest first
 TOLD_CLASSES = 1 << 22  # so many classes may be told to all tasks (32 MB)
 BUCKET_BYTES = 24 << 20
@@ -245,9 +248,32 @@ def sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.select("cls", "set").join(few, "cls", "left_semi").dropDuplicates(["cls"])
 
 
+def led_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j of linked sets: a forest. The first set meets all others, then some that are not connected with it do."""
+    sizes = np.array([len(x) for x in sets])
+    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    label, asked = np.arange(len(sets)), np.zeros(len(sets), bool)
+    left, right, lead, barren = [], [], 0, 0
+    for _ in range(LEADERS):
+        own = sets[lead]
+        shared = np.bincount(owner[own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every], minlength=len(sets))
+        linked = np.flatnonzero((SIZES * shared >= OVERLAP * (sizes + sizes[lead])) & (label != label[lead]))
+        _, first = np.unique(label[linked], return_index=True)
+        left.append(linked[first])
+        right.append(np.full(len(first), lead))
+        label[np.isin(label, label[linked])] = label[lead]
+        asked[lead] = True
+        barren += not len(first)
+        apart = np.flatnonzero(~asked & (label != label[0]))
+        if barren >= BARREN or not len(apart):
+            break
+        lead = int(apart[0])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def with_pivots(large: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """a, b: the classes of large groups that are linked with a pivot, and the pivot. Many classes of a pivot are dealt to
-    tasks by hash; a task reads them one batch after the other."""
+    """a, b: linked classes of large groups, first those that are linked with the pivot. Many classes of a pivot are dealt
+    to tasks by hash, in parts of about a block."""
     pairs = materialize(large.select("pivot", "cls").where("pivot <> cls").distinct(), "join-pivots")
     parts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "join-pivot-parts")
     one = sets_of(sets, large)
@@ -255,31 +281,35 @@ def with_pivots(large: DataFrame, sets: DataFrame, partitions: int) -> DataFrame
     others = pairs.join(parts, "pivot").join(one, "cls").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "cls", "set")
 
     def run(batches):
-        own = None
-        for b in batches:
-            found = []
-            for pivot, kind, cls, raw in zip(*(b.column(c).to_pylist() for c in ("pivot", "kind", "cls", "set")), strict=True):
-                s = np.frombuffer(raw, U)
-                if kind == 0:
-                    own = s
-                elif SIZES * common_count(own, s) >= OVERLAP * (len(s) + len(own)):
-                    found.append((cls, pivot))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+        for t in _unit_batches(batches):
+            cls = t.column("cls").to_numpy()
+            i, j = led_pairs([np.frombuffer(x, U) for x in t.column("set").to_pylist()])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], ["a", "b"])
 
-    both = own.unionByName(others).repartition(partitions, "pivot", "part").sortWithinPartitions("pivot", "part", "kind")
-    return both.mapInArrow(tidy(run), "a long, b long")
+    both = own.unionByName(others).select(F.xxhash64("pivot", "part").alias("unit"), "kind", "cls", "set")
+    return both.repartition(partitions, "unit").sortWithinPartitions("unit", "kind").mapInArrow(tidy(run), "a long, b long")
+
+
+def merged_groups(large: DataFrame) -> DataFrame:
+    """unit, cls, pivot: groups with the same pivot as one where that has no more pairs than they have together. A passage
+    gives a group for each of its keys, with nearly the same classes."""
+    once = large.groupBy("pivot", "cls").agg(F.sum("size").alias("n"))
+    fewer = once.groupBy("pivot").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k * k <= n").select("pivot", F.lit(True).alias("one"))
+    unit = F.when(F.col("one"), F.col("pivot")).otherwise(F.col("unit"))
+    return materialize(large.join(fewer, "pivot", "left").select(unit.alias("unit"), "cls", "pivot").distinct(), "join-merged")
 
 
 def units(grouped: DataFrame, sets: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame | None]:
-    """unit, cls, and the edges found with pivots: small groups as they are; of large ones every two blocks of classes that
-    pivots have not connected. Classes that are connected are in blocks of their own, which do not meet each other."""
+    """unit, cls, and node, root of the classes that pivots connect: small groups as they are; of large ones every two
+    blocks of classes that are not connected. Classes that are connected are in blocks of their own, which do not meet each
+    other."""
     small = grouped.where(F.col("size") <= BLOCK).select("unit", "cls")
     large = grouped.where(F.col("size") > BLOCK)
     if large.isEmpty():
         return small, None
-    edges = materialize(with_pivots(large, sets, partitions), "join-pivot-edges")
-    roots = components(edges)
+    large = merged_groups(large)
+    roots = connections(with_pivots(large, sets, partitions))
     placed = large.select("unit", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     sized = placed.groupBy("unit", "root").agg(F.count("*").alias("n"))
     sized = sized.withColumn("own", F.col("n") >= BLOCK // 4)  # large enough for blocks of its own
@@ -294,40 +324,51 @@ def units(grouped: DataFrame, sets: DataFrame, partitions: int) -> tuple[DataFra
     other = F.struct(F.col("other_root").alias("root"), F.col("other_part").alias("part"))
     meet = mine.join(blocks, (F.col("unit") == F.col("unit_")) & (F.col("block.root").isNull() | ~F.col("block.root").eqNullSafe(F.col("other_root"))))
     pair = meet.select(F.xxhash64("unit", F.least("block", other), F.greatest("block", other)).alias("unit"), "cls")
-    return small.unionByName(pair), edges
+    return small.unionByName(pair), roots
 
 
 # --- the R-tree
 
 
 class Node:
-    """A box of points: the largest value of each coordinate and the smallest size; children, or rows of a leaf."""
+    """A box of points: the largest value of each coordinate and the smallest size; the component, if all rows are of one;
+    children, or rows of a leaf."""
 
-    __slots__ = ("high", "size", "children", "rows")
+    __slots__ = ("high", "size", "part", "children", "rows")
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rows: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, rows: np.ndarray):
         self.high, self.size = points[rows].max(0), int(sizes[rows].min())
         self.rows, self.children = rows, None
+        part, count = np.unique(parts[rows], return_counts=True)
+        self.part = part[0] if len(part) == 1 else None
         if len(rows) > LEAF:
-            spread = points[rows].astype(np.int64)
-            axis = int((spread.max(0) - spread.min(0)).argmax())
-            order = rows[np.argsort(spread[:, axis], kind="stable")]
-            half = len(order) // 2
-            self.children = (Node(points, sizes, order[:half]), Node(points, sizes, order[half:]))
-
-
-def surviving_pairs(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows whose summed coordinate minima reach the overlap of a linked pair."""
+            if self.part is None and count.max() > LEAF:  # a component first, so that its rows need not meet
+                inside = parts[rows] == part[count.argmax()]
+                halves = rows[inside], rows[~inside]
+            else:
+                spread = points[rows].astype(np.int64)
+                axis = int((spread.max(0) - spread.min(0)).argmax())
+                order = rows[np.argsort(spread[:, axis], kind="stable")]
+                halves = order[: len(order) // 2], order[len(order) // 2 :]
+            self.children = tuple(Node(points, sizes, parts, x) for x in halves)
+
+
+def surviving_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows whose summed coordinate minima reach the overlap of a linked pair; with parts, the component of
+    each row, only pairs of different components."""
     left, right = [], []
-    root = Node(points, sizes, np.arange(len(points)))
+    parts = np.arange(len(points)) if parts is None else parts
+    root = Node(points, sizes, parts, np.arange(len(points)))
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
+        if a.part is not None and a.part == b.part:
+            continue
         if SIZES * int(np.minimum(a.high, b.high).sum(dtype=np.int64)) < OVERLAP * (a.size + b.size):
             continue
         if a.children is None and b.children is None:
             bound = np.minimum(points[a.rows][:, None], points[b.rows][None]).sum(-1, dtype=np.int64)
-            i, j = np.nonzero(SIZES * bound >= OVERLAP * (sizes[a.rows][:, None] + sizes[b.rows][None]))
+            i, j = np.nonzero((SIZES * bound >= OVERLAP * (sizes[a.rows][:, None] + sizes[b.rows][None])) & (parts[a.rows][:, None] != parts[b.rows][None]))
             if a is b:
                 i, j = i[i < j], j[i < j]
             left.append(a.rows[i])
@@ -366,18 +407,17 @@ def points_of(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component."""
+    """The smallest row of each row's component: in rounds, every component joins the smallest one that it touches."""
     label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        apart = low != high
+        if not apart.any():
+            return label
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def _unit_batches(batches):
@@ -408,13 +448,21 @@ def _pairs_of(rows, batch: int = 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(cls))], ["unit", "cls"])
 
 
-def pruned_units(unit_table: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
-    """unit, cls: the parts of the units that pairs connect whose bound reaches the threshold."""
+def rooted_rows(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the root of each cls by roots (node, root), which is cls itself if they do not have it."""
+    if roots is None:
+        return rows.withColumn("root", F.col("cls"))
+    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def pruned_units(unit_table: DataFrame, classes: DataFrame, partitions: int, roots: DataFrame | None = None) -> DataFrame:
+    """unit, cls: the parts of the units that pairs connect whose bound reaches the threshold, by pairs that roots do not
+    connect."""
 
     def parts(batches):
         for t in _unit_batches(batches):
             cls, sizes = t.column("cls").to_numpy(), t.column("n").to_numpy()
-            i, j = surviving_pairs(points_of(t.column("point").to_pylist(), sizes), sizes)
+            i, j = surviving_pairs(points_of(t.column("point").to_pylist(), sizes), sizes, t.column("root").to_numpy())
             label = connected(len(cls), i, j)
             order = np.argsort(label, kind="stable")
             start = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
@@ -423,7 +471,7 @@ def pruned_units(unit_table: DataFrame, classes: DataFrame, partitions: int) ->
                     own = np.sort(cls[order[a:b]])
                     yield set_id(own.astype(U)), own
 
-    with_points = unit_table.join(classes.select("cls", "n", "point"), "cls").select("unit", "cls", "n", "point")
+    with_points = unit_table.join(rooted_rows(classes.select("cls", "n", "point"), roots), "cls").select("unit", "cls", "n", "point", "root")
     sorted_units = with_points.repartition(partitions, "unit").sortWithinPartitions("unit")
     return sorted_units.mapInArrow(tidy(lambda batches: _pairs_of(parts(batches))), "unit long, cls long").distinct()
 
@@ -470,12 +518,13 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def forest(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component by the links among the pairs (i, j).
+def forest(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest row of each row's component by the links among the pairs (i, j), and by label, the smallest rows of
+    components that are known.
 
     In rounds, each row that is not connected with its next partner is compared with it; pairs whose rows are connected by
     then need no comparison."""
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label
     while len(i):
         _, first = np.unique(i, return_index=True)
         linked = np.array([SIZES * common_count(sets[x], sets[y]) >= OVERLAP * (sizes[x] + sizes[y]) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)], bool)
@@ -489,9 +538,9 @@ def forest(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarr
     return label
 
 
-def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: bool = False) -> DataFrame:
-    """a, b: edges of a forest that connects the linked classes of each unit; b is the smallest of its tree. With every:
-    all linked pairs of classes, a < b.
+def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: bool = False, roots: DataFrame | None = None) -> DataFrame:
+    """a, b: edges of a forest that connects the linked classes of each unit, besides those that roots connect; units may
+    name an edge again. With every: all linked pairs of classes, a < b, once each.
 
     The sets of the classes travel to their units. The R-tree names the pairs to compare."""
 
@@ -504,13 +553,16 @@ def linked_edges(verify: DataFrame, sets: DataFrame, partitions: int, every: boo
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
                 continue
-            label = forest(own, sizes, *surviving_pairs(points_of([point(s) for s in own], sizes), sizes))
-            moved = np.flatnonzero(label != np.arange(len(cls)))
+            _, first, known = np.unique(t.column("root").to_numpy(), return_index=True, return_inverse=True)
+            known = first[known]
+            label = forest(own, sizes, *surviving_pairs(points_of([point(s) for s in own], sizes), sizes, known), known)
+            moved = np.flatnonzero((known == np.arange(len(cls))) & (label != known))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], ["a", "b"])
 
-    rows = verify.join(sets_of(sets, verify), "cls").repartition(partitions, "unit")
-    return rows.select("unit", "cls", "set").sortWithinPartitions("unit").mapInArrow(tidy(edges), "a long, b long").distinct()
+    rows = verify.join(rooted_rows(sets_of(sets, verify), roots), "cls").repartition(partitions, "unit")
+    found = rows.select("unit", "cls", "set", "root").sortWithinPartitions("unit").mapInArrow(tidy(edges), "a long, b long")
+    return found.distinct() if every else found
 
 
 def all_units(grouped: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
@@ -525,7 +577,7 @@ def verification_units(pruned: DataFrame, classes: DataFrame) -> DataFrame:
     """unit, cls: the classes that units connect, each in one unit; where such a component is too large for a task, its
     classes stay in the units of before, which hold all of its pairs and are bounded."""
     first = pruned.groupBy("unit").agg(F.min("cls").alias("b"))
-    roots = components(pruned.join(first, "unit").select(F.col("cls").alias("a"), "b"))
+    roots = connections(pruned.join(first, "unit").select(F.col("cls").alias("a"), "b"))
     rooted = roots.select(F.col("node").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
     sized = rooted.join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     large = sized.where((F.col("k") > 2 * BLOCK) | (F.col("n") > UNIT_SHINGLES)).select("root")
@@ -534,6 +586,24 @@ def verification_units(pruned: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(small.unionByName(pruned.join(rest, "cls", "left_semi").select("unit", "cls")), "join-verify")
 
 
+def connections(edges: DataFrame) -> DataFrame:
+    """components(), by one task if it can hold the edges: a round costs many small steps, however few the edges."""
+    e = materialize(edges.where("a <> b"), "join-connections")
+    if e.count() > TASK_EDGES:
+        return components(e)
+
+    def run(batches):
+        pairs = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            node, row = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = connected(len(node), row[: len(a)], row[len(a) :])
+            moved = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["node", "root"])
+
+    return materialize(e.coalesce(1).mapInArrow(tidy(run), "node long, root long"), "join-roots")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of every node of edges (a, b): alternating large and small stars until no edge changes, which takes about
     the logarithm of the longest path; more than max_rounds are an error."""
@@ -605,11 +675,11 @@ def _joined_rows(docs: DataFrame, links: bool) -> DataFrame:
     common = common_keys(emit_keys(sets, seed, [], buckets), buckets)
     grouped = materialize(groups(emit_keys(sets, seed, common, buckets), buckets), "join-units")
     candidates, by_pivot = units(grouped, sets, partitions)
-    verify = verification_units(materialize(pruned_units(candidates, classes, partitions), "join-pruned"), classes)
-    edges = linked_edges(verify, sets, partitions)
+    verify = verification_units(materialize(pruned_units(candidates, classes, partitions, by_pivot), "join-pruned"), classes)
+    edges = linked_edges(verify, sets, partitions, roots=by_pivot)
     if by_pivot is not None:
-        edges = edges.unionByName(by_pivot)
-    roots = components(edges)
+        edges = edges.unionByName(by_pivot.toDF("a", "b"))
+    roots = connections(edges)
     if links:  # all links, also those between classes that are connected already
         edges = materialize(linked_edges(all_units(grouped, classes, partitions), sets, partitions, True), "join-pairs")
     rooted = classes.select("cls", "class_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))

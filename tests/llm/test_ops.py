@@ -187,6 +187,40 @@ def test_components_do_not_stop_short(spark):
     assert {r.root for r in ngram_join.components(chain).collect()} == {0}
 
 
+def test_connections_in_one_task_are_those_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(-30, 30)]
+    edges = spark.createDataFrame(chain + [(rng.randrange(100, 900), rng.randrange(100, 900)) for _ in range(300)], "a long, b long")
+    rounds = {tuple(r) for r in ngram_join.components(edges).collect()}
+    for bound in (0, 1000):  # the second: not a round
+        monkeypatch.setattr(ngram_join, "TASK_EDGES", bound)
+        if bound:
+            monkeypatch.setattr(ngram_join, "components", None)
+        assert {tuple(r) for r in ngram_join.connections(edges).collect()} == rounds
+    assert (30, -30) in rounds and ngram_join.connections(edges.limit(0)).count() == 0
+
+
+def test_groups_of_one_passage_meet_once(spark, monkeypatch):
+    """Documents with a common passage share many keys; their pairs are not dealt out again for each key."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    dealt, real = [], ngram_join.pruned_units
+    monkeypatch.setattr(ngram_join, "pruned_units", lambda table, *rest: dealt.append(table.count()) or real(table, *rest))
+    rng = random.Random(6)
+    shared = prose(rng, 50)
+    rows = [(i, shared + " " + prose(rng, rng.choice((8, 18, 40)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(ngram_join.jaccard_components(df)) == sorted(brute_components(brute_sets(rows)), key=repr)
+    assert dealt[0] < 2000
+
+
+def test_pairs_of_one_component_do_not_meet_in_the_rtree():
+    rng = np.random.default_rng(2)
+    points, sizes, parts = rng.integers(0, 4, (300, 64)).astype(np.int16), np.full(300, 90), rng.integers(0, 4, 300)
+    pairs = set(zip(*(x.tolist() for x in ngram_join.surviving_pairs(points, sizes)), strict=True))
+    apart = set(zip(*(x.tolist() for x in ngram_join.surviving_pairs(points, sizes, parts)), strict=True))
+    assert {frozenset(p) for p in apart} == {frozenset(p) for p in pairs if parts[p[0]] != parts[p[1]]} and 0 < len(apart) < len(pairs)
+
+
 def test_rtree_gives_every_pair_that_reaches_the_bound():
     rng = np.random.default_rng(2)
     points = rng.poisson(rng.choice([1, 3, 6], (150, 1)), (150, 16)).astype(np.int16)
